@@ -9,8 +9,7 @@ from __future__ import annotations
 from datetime import datetime
 from functools import cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.functions.time import DAY_COLUMN
 from fleetlens.sources.tables import Tables
@@ -29,118 +28,96 @@ def job_run_timeline(orders: DataFrame, lineitem: DataFrame, customer: DataFrame
     Orders meet customers first: of the two joins on large tables only the one
     with line items then moves line items, and it leaves them partitioned by run.
     """
-    start = F.timestamp_add("MINUTE", (F.col("l_linenumber") - 1) * 10, F.col("o_orderdate"))
-    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
-    state = (
-        F.when((status == "P") | (F.col("l_linestatus") == "O"), None)
-        .when((status == "O") | (F.col("l_returnflag") == "R"), "SUCCESS")
-        .when(priority == "1-URGENT", "FAILED")
-        .when(priority == "2-HIGH", "TIMEOUT")
-        .when(priority == "3-MEDIUM", "CANCELLED")
-        .when(priority == "5-LOW", "SKIPPED")
-        .otherwise("SUCCESS")
-    )
-    runs = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+    runs = orders.join(customer, orders.o_custkey == customer.c_custkey).select(
         "c_nationkey", "o_custkey", "o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority"
     )
-    return lineitem.join(runs, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.col("c_nationkey").alias("workspace_id"),
-        F.col("o_custkey").alias("job_id"),
-        F.col("o_orderkey").alias("run_id"),
-        start.alias("period_start_time"),
-        F.timestamp_add("MINUTE", F.col("l_quantity").cast("int"), start).alias("period_end_time"),
-        state.alias("result_state"),
+    start = "timestampadd(MINUTE, (l_linenumber - 1) * 10, o_orderdate)"
+    return lineitem.join(runs, lineitem.l_orderkey == runs.o_orderkey).selectExpr(
+        "c_nationkey AS workspace_id",
+        "o_custkey AS job_id",
+        "o_orderkey AS run_id",
+        f"{start} AS period_start_time",
+        f"timestampadd(MINUTE, CAST(l_quantity AS INT), {start}) AS period_end_time",
+        """CASE
+            WHEN o_orderstatus = 'P' OR l_linestatus = 'O' THEN NULL
+            WHEN o_orderstatus = 'O' OR l_returnflag = 'R' THEN 'SUCCESS'
+            WHEN o_orderpriority = '1-URGENT' THEN 'FAILED'
+            WHEN o_orderpriority = '2-HIGH' THEN 'TIMEOUT'
+            WHEN o_orderpriority = '3-MEDIUM' THEN 'CANCELLED'
+            WHEN o_orderpriority = '5-LOW' THEN 'SKIPPED'
+            ELSE 'SUCCESS' END AS result_state""",
         # Order dates are midnights and slices start within the next hour.
-        F.col("o_orderdate").cast("date").alias(DAY_COLUMN),
+        f"CAST(o_orderdate AS DATE) AS {DAY_COLUMN}",
     )
 
 
 def jobs(orders: DataFrame, customer: DataFrame) -> DataFrame:
     """One version per order; every tenth customer is a job without metadata."""
-    named = customer.filter(F.col("c_custkey") % 10 != 0)
-    return orders.join(named, F.col("o_custkey") == F.col("c_custkey")).select(
-        F.col("c_nationkey").alias("workspace_id"),
-        F.col("c_custkey").alias("job_id"),
-        F.concat("c_name", F.lit("/"), "o_orderpriority").alias("name"),
-        F.timestamp_add("MICROSECOND", F.col("o_orderkey"), F.col("o_orderdate")).alias(
-            "change_time"
-        ),
+    named = customer.filter("c_custkey % 10 <> 0")
+    return orders.join(named, orders.o_custkey == named.c_custkey).selectExpr(
+        "c_nationkey AS workspace_id",
+        "c_custkey AS job_id",
+        "concat(c_name, '/', o_orderpriority) AS name",
+        "timestampadd(MICROSECOND, o_orderkey, o_orderdate) AS change_time",
     )
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("double")
-
-
-def _slot() -> Column:
-    return F.col("user_id") % 20
-
-
-def _cluster_id() -> Column:
-    return F.concat(F.lit("c-"), F.lpad(_slot().cast("string"), 2, "0"))
+K = "CAST(get_json_object(props, '$.k') AS DOUBLE)"
+CLUSTER_ID = "concat('c-', lpad(CAST(user_id % 20 AS STRING), 2, '0'))"
 
 
 def node_timeline(events: DataFrame) -> DataFrame:
     """One reading per event; an instance is a user. Takes streams as well."""
-    kind, k, value = F.col("event_type"), F.col("k"), F.col("value")
-    hundredths = F.round(value * 100).cast("bigint")
-    load = (F.col("user_id") * 7 % 20) * 5.0 + k / 20
-    return events.withColumn("k", _k()).select(
-        _cluster_id().alias("cluster_id"),
-        F.concat(F.lit("i-"), F.col("user_id").cast("string")).alias("instance_id"),
-        (F.floor(F.col("user_id") / 20) % 3 == 0).alias("driver"),
-        F.col("ts").alias("start_time"),
-        F.timestamp_add("MINUTE", F.lit(1), F.col("ts")).alias("end_time"),
-        F.when((kind == "error") & (k < 25), None)
-        .otherwise(_slot() * 5.0 + value / 50)
-        .alias("cpu_user_percent"),
-        (k / 20).alias("cpu_system_percent"),
-        F.when((kind == "view") & (k < 25), None)
-        .otherwise(k / 4 + _slot() / 4.0)
-        .alias("cpu_wait_percent"),
-        F.when((kind == "signup") & (k < 10), None)
-        .otherwise(F.least(F.lit(99.0), load))
-        .alias("mem_used_percent"),
-        (hundredths * 10000).alias("network_received_bytes"),
-        F.when(kind == "click", None).otherwise(hundredths * 5000).alias("network_sent_bytes"),
+    return events.selectExpr("*", f"{K} AS k").selectExpr(
+        f"{CLUSTER_ID} AS cluster_id",
+        "concat('i-', user_id) AS instance_id",
+        "(user_id div 20) % 3 = 0 AS driver",
+        "ts AS start_time",
+        "timestampadd(MINUTE, 1, ts) AS end_time",
+        """CASE WHEN event_type = 'error' AND k < 25 THEN NULL
+                ELSE (user_id % 20) * 5.0D + value / 50 END AS cpu_user_percent""",
+        "k / 20 AS cpu_system_percent",
+        """CASE WHEN event_type = 'view' AND k < 25 THEN NULL
+                ELSE k / 4 + (user_id % 20) / 4.0D END AS cpu_wait_percent""",
+        """CASE WHEN event_type = 'signup' AND k < 10 THEN NULL
+                ELSE least(99.0D, (user_id * 7 % 20) * 5.0D + k / 20) END AS mem_used_percent""",
+        "CAST(round(value * 100) AS BIGINT) * 10000 AS network_received_bytes",
+        """CASE WHEN event_type = 'click' THEN NULL
+                ELSE CAST(round(value * 100) AS BIGINT) * 5000 END AS network_sent_bytes""",
     )
 
 
 def clusters(events: DataFrame) -> DataFrame:
     """One version per sign-up; cluster 13 has no metadata."""
-    signups = events.filter((F.col("event_type") == "signup") & (_slot() != 13))
-    return signups.withColumn("k", _k()).select(
-        _cluster_id().alias("cluster_id"),
-        F.concat(
-            F.lit("cluster-"), _slot().cast("string"), F.lit("-v"), F.col("event_id").cast("string")
-        ).alias("cluster_name"),
-        F.when(F.col("k") < 50, "JOB").otherwise("UI").alias("cluster_source"),
-        F.col("ts").alias("change_time"),
-        F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")).alias("driver_node_type_id"),
-        F.concat(F.lit("w"), (F.col("user_id") % 5).cast("string")).alias("node_type_id"),
-        (F.col("k").cast("bigint") % 8).alias("num_workers"),
+    signups = events.filter("event_type = 'signup' AND user_id % 20 <> 13")
+    return signups.selectExpr("*", f"{K} AS k").selectExpr(
+        f"{CLUSTER_ID} AS cluster_id",
+        "concat('cluster-', user_id % 20, '-v', event_id) AS cluster_name",
+        "CASE WHEN k < 50 THEN 'JOB' ELSE 'UI' END AS cluster_source",
+        "ts AS change_time",
+        "concat('d', user_id % 4) AS driver_node_type_id",
+        "concat('w', user_id % 5) AS node_type_id",
+        "CAST(k AS BIGINT) % 8 AS num_workers",
     )
 
 
 def node_types(part: DataFrame) -> DataFrame:
-    sized = part.select("p_type", "p_size").distinct()
-    size = F.col("p_size")
-    return sized.select(
-        F.concat("p_type", F.lit("-"), size.cast("string")).alias("node_type"),
-        (size * 1024).cast("bigint").alias("memory_mb"),
-        (size % 16 + 1).cast("double").alias("core_count"),
-        (size % 3).cast("bigint").alias("gpu_count"),
+    return part.select("p_type", "p_size").distinct().selectExpr(
+        "concat(p_type, '-', p_size) AS node_type",
+        "CAST(p_size * 1024 AS BIGINT) AS memory_mb",
+        "CAST(p_size % 16 + 1 AS DOUBLE) AS core_count",
+        "CAST(p_size % 3 AS BIGINT) AS gpu_count",
     )
 
 
 def billing_usage(events: DataFrame) -> DataFrame:
-    cluster_id = F.when(F.col("event_type") != "view", _cluster_id())
-    return events.select(
-        F.struct(cluster_id.alias("cluster_id")).alias("usage_metadata"),
-        F.concat(F.lit("SKU_"), "event_type").alias("sku_name"),
-        F.lit("DBU").alias("usage_unit"),
-        F.col("value").cast("decimal(18,2)").alias("usage_quantity"),
-        F.col("ts").cast("date").alias("usage_date"),
+    return events.selectExpr(
+        f"""named_struct('cluster_id',
+                CASE WHEN event_type <> 'view' THEN {CLUSTER_ID} END) AS usage_metadata""",
+        "concat('SKU_', event_type) AS sku_name",
+        "'DBU' AS usage_unit",
+        "CAST(value AS DECIMAL(18, 2)) AS usage_quantity",
+        "CAST(ts AS DATE) AS usage_date",
     )
 
 

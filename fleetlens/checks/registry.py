@@ -293,36 +293,30 @@ def cluster_quantiles(t: Tables) -> DataFrame:
     return reports.cluster_quantiles(_zero(t))
 
 
-def _job_tables(t: Tables, staged: bool) -> dict[str, DataFrame]:
-    """The tables of the job report, each at the clock of its input."""
-    health = jobs.job_health(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
-    if staged:
-        health = stage(health, "job-health")
-    return {
-        "runtime_metrics": jobs.runtime_view(health, ordered=False),
-        "failure_analysis": jobs.failure_view(health, ordered=False),
-        "cluster_utilization": nodes.cluster_utilization_top(
-            t.node_timeline, NODE_DAYS, NODE_AS_OF
-        ),
-    }
+def _health(t: Tables) -> DataFrame:
+    return jobs.job_health(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
 
 
 @_register
 def job_report_summary(t: Tables) -> DataFrame:
-    bundle = _job_tables(t, staged=False)
-    return reports.job_summary(
-        bundle["runtime_metrics"], bundle["failure_analysis"], bundle["cluster_utilization"]
-    )
+    return reports.job_summary(_health(t), cluster_utilization_top20(t))
 
 
 @_register
 def job_report_lines(t: Tables) -> DataFrame:
-    return reports.job_report_lines(_job_tables(t, staged=True), JOB_DAYS, JOB_AS_OF, LIMITS)
+    health = stage(_health(t), "job-health")
+    top = cluster_utilization_top20(t)
+    return reports.job_report_lines(health, top, JOB_DAYS, JOB_AS_OF, LIMITS)
 
 
 @_register
 def cluster_monitor_summary(t: Tables) -> DataFrame:
-    return reports.cluster_monitor_summary(_instances(t))
+    # The key figures need no descriptions, so the roll-up is enough.
+    rollup = nodes.node_rollup(t.node_timeline, NODE_DAYS, NODE_AS_OF)
+    figures = ["avg_cpu_utilization", "avg_memory_utilization"]
+    return reports.cluster_monitor_summary(
+        nodes.utilization_view(rollup, figures, digits=CHECK_DIGITS)
+    )
 
 
 @_register

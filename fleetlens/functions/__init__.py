@@ -1,25 +1,27 @@
 from fleetlens.functions.numbers import (
+    FAILED,
+    SUCCEEDED,
     descending,
-    failure_flag,
     format_duration,
     minutes,
-    percent_of,
+    percent,
+    rounded,
     stable_round,
-    success_flag,
     threshold_level,
 )
 from fleetlens.functions.time import calendar_lookback, clamp_days, rolling_lookback
 
 __all__ = [
+    "FAILED",
+    "SUCCEEDED",
     "calendar_lookback",
     "clamp_days",
     "descending",
-    "failure_flag",
     "format_duration",
     "minutes",
-    "percent_of",
+    "percent",
     "rolling_lookback",
+    "rounded",
     "stable_round",
-    "success_flag",
     "threshold_level",
 ]

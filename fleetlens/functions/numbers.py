@@ -1,4 +1,8 @@
-"""Column expressions shared by the operators. Built-in functions only."""
+"""Expressions shared by the operators. Built-in functions only.
+
+Long lists of figures are written as SQL text: Spark parses a text in one step,
+while a Column is built over the Python bridge one call at a time.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,13 @@ from fleetlens.config import FAILURE_STATES, SUCCESS_STATE
 
 BYTES_PER_MB = 1024 * 1024
 
+# Conditions on the state of a run slice; null for an unknown state.
+SUCCEEDED = f"result_state = '{SUCCESS_STATE}'"
+FAILED = f"result_state IN {FAILURE_STATES}"
 
-def stable_round(value: Column, digits: int | None = 2) -> Column:
-    """Round half up to ``digits`` and return a double.
+
+def rounded(sql: str, digits: int | None = 2) -> str:
+    """SQL that rounds ``sql`` half up to ``digits`` and gives a double.
 
     A sum of doubles differs in its last bits with the order of the tasks. The
     detour over a six-digit decimal removes that noise first, so a value on a
@@ -22,13 +30,20 @@ def stable_round(value: Column, digits: int | None = 2) -> Column:
     it is. NaN becomes null, and so never passes a threshold.
     """
     if digits is None:
-        return value
-    return F.round(value.try_cast("decimal(38,6)"), digits).cast("double")
+        return sql
+    return f"CAST(round(try_cast({sql} AS DECIMAL(38, 6)), {digits}) AS DOUBLE)"
 
 
-def percent_of(part: Column, whole: Column, digits: int = 2) -> Column:
-    """``part`` as a rounded percentage of ``whole``; null for an empty whole."""
-    return stable_round(F.try_divide(part * F.lit(100.0), whole), digits)
+def percent(part: str, whole: str) -> str:
+    """SQL of ``part`` as a rounded percentage of ``whole``; null for an empty whole."""
+    return rounded(f"try_divide({part} * 100.0D, {whole})")
+
+
+def stable_round(value: Column, digits: int | None = 2) -> Column:
+    """``rounded`` for a column."""
+    if digits is None:
+        return value
+    return F.round(value.try_cast("decimal(38,6)"), digits).cast("double")
 
 
 def descending(keys: Sequence[str], *columns: str) -> list[Column]:
@@ -40,15 +55,6 @@ def minutes(seconds: Column) -> Column:
     return stable_round(seconds / F.lit(60))
 
 
-def success_flag(state: Column) -> Column:
-    """True or false for a known state, null for an unknown one."""
-    return state == F.lit(SUCCESS_STATE)
-
-
-def failure_flag(state: Column) -> Column:
-    return state.isin(*FAILURE_STATES)
-
-
 def format_duration(seconds: Column) -> Column:
     """Seconds as ``12.3s``, ``4.5m`` or ``6.7h``."""
 

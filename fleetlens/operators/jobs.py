@@ -11,19 +11,19 @@ from __future__ import annotations
 from datetime import datetime
 from typing import Literal
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens import wording
 from fleetlens.config import TOP_JOB_ROWS
 from fleetlens.functions import (
+    FAILED,
+    SUCCEEDED,
     calendar_lookback,
     descending,
-    failure_flag,
-    percent_of,
+    percent,
     rolling_lookback,
-    stable_round,
-    success_flag,
+    rounded,
 )
 from fleetlens.operators.versions import latest_jobs
 
@@ -67,23 +67,23 @@ def _with_names(per_job: DataFrame, jobs: DataFrame, fallback: bool = True) -> D
 
 def run_rollup(slices: DataFrame) -> DataFrame:
     """One row per run: its envelope, its active time and the states it went through."""
-    succeeded, failed = success_flag(F.col("result_state")), failure_flag(F.col("result_state"))
-    active = F.timestamp_diff("MICROSECOND", F.col("period_start_time"), F.col("period_end_time"))
     return (
         slices.groupBy(*RUN_KEYS)
         .agg(
             F.min("period_start_time").alias("started"),
             F.max("period_end_time").alias("ended"),
-            F.sum(active).alias("active_micros"),
-            F.max(F.col("result_state").isNotNull()).alias("has_state"),
-            F.max(F.coalesce(succeeded, F.lit(False))).alias("succeeded"),
-            F.max(F.coalesce(failed, F.lit(False))).alias("failed"),
+            F.expr(
+                "sum(timestampdiff(MICROSECOND, period_start_time, period_end_time))"
+                " AS active_micros"
+            ),
+            F.expr("max(result_state IS NOT NULL) AS has_state"),
+            F.expr(f"max(coalesce({SUCCEEDED}, false)) AS succeeded"),
+            F.expr(f"max(coalesce({FAILED}, false)) AS failed"),
         )
-        .withColumns(
-            {
-                "envelope_seconds": F.unix_timestamp("ended") - F.unix_timestamp("started"),
-                "active_seconds": F.expr("active_micros div 1000000"),
-            }
+        .selectExpr(
+            "*",
+            "unix_timestamp(ended) - unix_timestamp(started) AS envelope_seconds",
+            "active_micros div 1000000 AS active_seconds",
         )
     )
 
@@ -103,44 +103,41 @@ def run_durations(
     return runs.select(*RUN_KEYS, F.col(f"{mode}_seconds").alias("duration_seconds"))
 
 
+# Not complementary: a run may count as both, or as neither.
+def _rates(total: str) -> list[str]:
+    return [
+        f"{percent('successful_runs', total)} AS success_rate_percent",
+        f"{percent('failed_runs', total)} AS failure_rate_percent",
+    ]
+
+
 def _job_health(slices: DataFrame, jobs: DataFrame) -> DataFrame:
-    seconds = F.col("envelope_seconds")
-    known = F.col("run_id").isNotNull()
     per_job = (
         run_rollup(slices)
         .groupBy(*JOB_KEYS)
         .agg(
             F.count("run_id").alias("runs"),
-            stable_round(F.avg(seconds)).alias("avg_duration_seconds"),
-            F.min(seconds).alias("min_duration_seconds"),
-            F.max(seconds).alias("max_duration_seconds"),
+            F.expr(f"{rounded('avg(envelope_seconds)')} AS avg_duration_seconds"),
+            F.min("envelope_seconds").alias("min_duration_seconds"),
+            F.max("envelope_seconds").alias("max_duration_seconds"),
             # One bounded sketch per job for all three fractions.
-            F.percentile_approx(seconds, [0.5, 0.9, 0.95], 10_000).alias("_quantiles"),
-            F.count_if(known & F.col("has_state")).alias("finished_runs"),
-            F.count_if(known & F.col("succeeded")).alias("successful_runs"),
-            F.count_if(known & F.col("failed")).alias("failed_runs"),
+            F.expr("percentile_approx(envelope_seconds, array(0.5, 0.9, 0.95), 10000) AS q"),
+            F.expr("count_if(run_id IS NOT NULL AND has_state) AS finished_runs"),
+            F.expr("count_if(run_id IS NOT NULL AND succeeded) AS successful_runs"),
+            F.expr("count_if(run_id IS NOT NULL AND failed) AS failed_runs"),
         )
-        .filter(F.col("runs") > 0)
-        .select(
-            "*",
-            F.col("_quantiles")[0].alias("median_duration_seconds"),
-            F.col("_quantiles")[1].alias("p90_duration_seconds"),
-            F.col("_quantiles")[2].alias("p95_duration_seconds"),
-            *_rates(F.col("finished_runs")),
+        .filter("runs > 0")
+        .selectExpr(
+            "* EXCEPT (q)",
+            "q[0] AS median_duration_seconds",
+            "q[1] AS p90_duration_seconds",
+            "q[2] AS p95_duration_seconds",
+            *_rates("finished_runs"),
         )
-        .drop("_quantiles")
     )
     return _with_names(per_job, jobs)
 
 
-def _rates(total: Column) -> list[Column]:
-    # Not complementary: a run may count as both, or as neither.
-    return [
-        percent_of(F.col("successful_runs"), total).alias("success_rate_percent"),
-        percent_of(F.col("failed_runs"), total).alias("failure_rate_percent"),
-    ]
-
-
 def job_health(
     timeline: DataFrame, jobs: DataFrame, days: int = 7, as_of: datetime | None = None
 ) -> DataFrame:
@@ -208,31 +205,31 @@ def job_runtime_active(
     bounded by the distinct durations rather than by the runs of the job.
     """
     runs = run_durations(timeline, days, as_of, mode="active")
-    seconds, n = F.col("duration_seconds"), F.col("n")
-    timed = F.when(seconds.isNotNull(), n)
     per_job = (
         runs.groupBy(*JOB_KEYS, "duration_seconds")
         .agg(F.count(F.lit(1)).alias("n"), F.count("run_id").alias("n_runs"))
         .groupBy(*JOB_KEYS)
         .agg(
             F.sum("n_runs").alias("total_runs"),
-            F.try_divide(F.sum(seconds * n), F.sum(timed)).alias("avg_duration_seconds"),
-            F.min(seconds).alias("min_duration_seconds"),
-            F.max(seconds).alias("max_duration_seconds"),
-            F.percentile(seconds, [0.5, 0.9, 0.95], n).alias("_quantiles"),
+            F.expr(
+                "try_divide(sum(duration_seconds * n), sum(n) FILTER (WHERE duration_seconds"
+                " IS NOT NULL)) AS mean"
+            ),
+            F.min("duration_seconds").alias("min_duration_seconds"),
+            F.max("duration_seconds").alias("max_duration_seconds"),
+            F.expr("percentile(duration_seconds, array(0.5, 0.9, 0.95), n) AS q"),
         )
     )
-    quantiles = F.col("_quantiles")
-    result = _with_names(per_job, jobs, fallback=False).select(
+    result = _with_names(per_job, jobs, fallback=False).selectExpr(
         *JOB_KEYS,
         "job_name",
         "total_runs",
-        stable_round(F.col("avg_duration_seconds"), digits).alias("avg_duration_seconds"),
+        f"{rounded('mean', digits)} AS avg_duration_seconds",
         "min_duration_seconds",
         "max_duration_seconds",
-        stable_round(quantiles[0], digits).alias("median_duration_seconds"),
-        stable_round(quantiles[1], digits).alias("p90_duration_seconds"),
-        stable_round(quantiles[2], digits).alias("p95_duration_seconds"),
+        f"{rounded('q[0]', digits)} AS median_duration_seconds",
+        f"{rounded('q[1]', digits)} AS p90_duration_seconds",
+        f"{rounded('q[2]', digits)} AS p95_duration_seconds",
     )
     return _sorted(result, ordered, "avg_duration_seconds")
 
@@ -245,16 +242,15 @@ def job_failure_slices(
     ordered: bool = True,
 ) -> DataFrame:
     """Outcome rates over slices instead of runs; slices without a state count too."""
-    state = F.col("result_state")
     per_job = (
         rolling_lookback(timeline, "period_start_time", days, as_of)
         .groupBy(*JOB_KEYS)
         .agg(
             F.count(F.lit(1)).alias("total_runs"),
-            F.count_if(success_flag(state)).alias("successful_runs"),
-            F.count_if(failure_flag(state)).alias("failed_runs"),
+            F.expr(f"count_if({SUCCEEDED}) AS successful_runs"),
+            F.expr(f"count_if({FAILED}) AS failed_runs"),
         )
-        .select("*", *_rates(F.col("total_runs")))
+        .selectExpr("*", *_rates("total_runs"))
     )
     result = _with_names(per_job, jobs, fallback=False).select(*FAILURE_COLUMNS)
     return _sorted(result, ordered, "failure_rate_percent", "total_runs")
@@ -274,16 +270,14 @@ def simple_job_data(
     slices = calendar_lookback(timeline, "period_start_time", days, as_of).select(
         *RUN_KEYS, "period_start_time", "period_end_time", F.to_date("period_start_time").alias("day")
     )
-    merged = slices.groupingSets(
-        [(*RUN_KEYS,), (*JOB_KEYS, "day")], *RUN_KEYS, "day"
-    ).agg(
-        F.grouping("day").alias("by_run"),
+    merged = slices.groupingSets([(*RUN_KEYS,), (*JOB_KEYS, "day")], *RUN_KEYS, "day").agg(
+        F.expr("grouping(day) = 1 AS by_run"),
         F.min("period_start_time").alias("first_run"),
         F.max("period_end_time").alias("last_run"),
     )
     per_job = merged.groupBy(*JOB_KEYS).agg(
-        F.count(F.when(F.col("by_run") == 1, F.col("run_id"))).alias("total_runs"),
-        F.count(F.when(F.col("by_run") == 0, F.col("day"))).alias("active_days"),
+        F.expr("count(run_id) FILTER (WHERE by_run) AS total_runs"),
+        F.expr("count(day) FILTER (WHERE NOT by_run) AS active_days"),
         F.min("first_run").alias("first_run"),
         F.max("last_run").alias("last_run"),
     )
@@ -299,30 +293,28 @@ def recent_job_activity(
     Ids are counted without their workspace. One grouping set for jobs and one
     for runs spread a busy day over all tasks before the count per day.
     """
-    state = F.col("result_state")
     slices = (
         calendar_lookback(timeline, "period_start_time", days, as_of)
-        .filter(state.isNotNull())
-        .select(
-            F.to_date("period_start_time").alias("job_date"),
+        .filter("result_state IS NOT NULL")
+        .selectExpr(
+            "to_date(period_start_time) AS job_date",
             "job_id",
             "run_id",
-            success_flag(state).alias("succeeded"),
-            failure_flag(state).alias("failed"),
+            f"{SUCCEEDED} AS succeeded",
+            f"{FAILED} AS failed",
         )
     )
     merged = slices.groupingSets(
         [("job_date", "job_id"), ("job_date", "run_id")], "job_date", "job_id", "run_id"
     ).agg(
-        F.grouping("job_id").alias("by_run"),
+        F.expr("grouping(job_id) = 1 AS by_run"),
         F.max("succeeded").alias("succeeded"),
         F.max("failed").alias("failed"),
     )
-    a_run = (F.col("by_run") == 1) & F.col("run_id").isNotNull()
     per_day = merged.groupBy("job_date").agg(
-        F.count(F.when(F.col("by_run") == 0, F.col("job_id"))).alias("unique_jobs"),
-        F.count_if(a_run).alias("total_runs"),
-        F.count_if(a_run & F.col("succeeded")).alias("successful_runs"),
-        F.count_if(a_run & F.col("failed")).alias("failed_runs"),
+        F.expr("count(job_id) FILTER (WHERE NOT by_run) AS unique_jobs"),
+        F.expr("count(run_id) FILTER (WHERE by_run) AS total_runs"),
+        F.expr("count(run_id) FILTER (WHERE by_run AND succeeded) AS successful_runs"),
+        F.expr("count(run_id) FILTER (WHERE by_run AND failed) AS failed_runs"),
     )
     return per_day.orderBy(F.desc("job_date")) if ordered else per_day

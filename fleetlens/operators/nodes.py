@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from fleetlens import wording
 from fleetlens.config import TOP_UTILIZATION_ROWS, Thresholds
-from fleetlens.functions import calendar_lookback, descending, percent_of, stable_round
+from fleetlens.functions import calendar_lookback, descending, percent, rounded
 from fleetlens.functions.numbers import BYTES_PER_MB
 from fleetlens.operators.versions import latest_clusters
 
@@ -34,72 +34,68 @@ def readings(timeline: DataFrame, null_policy: NullPolicy = "skip", *extra: str)
     missing if either half is; ``zero`` counts every missing part as 0.
     """
 
-    def value(name: str) -> Column:
-        number = F.col(name).cast("double")
-        return F.coalesce(number, F.lit(0.0)) if null_policy == "zero" else number
+    def value(name: str) -> str:
+        number = f"CAST({name} AS DOUBLE)"
+        return f"coalesce({number}, 0.0D)" if null_policy == "zero" else number
 
-    return timeline.select(
+    return timeline.selectExpr(
         *extra,
-        (value("cpu_user_percent") + value("cpu_system_percent")).alias("cpu"),
-        value("cpu_wait_percent").alias("wait"),
-        value("mem_used_percent").alias("memory"),
-        value("network_received_bytes").alias("received"),
-        value("network_sent_bytes").alias("sent"),
+        f"{value('cpu_user_percent')} + {value('cpu_system_percent')} AS cpu",
+        f"{value('cpu_wait_percent')} AS wait",
+        f"{value('mem_used_percent')} AS memory",
+        f"{value('network_received_bytes')} AS received",
+        f"{value('network_sent_bytes')} AS sent",
     )
 
 
+def _aggregates(parts: dict[str, str]) -> list[Column]:
+    return [F.expr(f"{sql} AS {name}") for name, sql in parts.items()]
+
+
 def partials(limits: Thresholds = Thresholds()) -> list[Column]:
     """Mergeable aggregates of readings. Those no figure uses are pruned by Spark."""
-    columns = [F.count(F.lit(1)).alias("points")]
+    parts = {"points": "count(1)"}
     for name in METRICS:
-        columns += [
-            F.sum(name).alias(f"{name}_sum"),
-            F.count(name).alias(f"{name}_count"),
-            F.min(name).alias(f"{name}_min"),
-            F.max(name).alias(f"{name}_max"),
-        ]
-    return [
-        *columns,
-        F.count_if(F.col("cpu") < limits.low_cpu_reading).alias("low_cpu_count"),
-        F.count_if(F.col("memory") < limits.low_memory_reading).alias("low_memory_count"),
-        F.min("start_time").alias("first_start"),
-        F.max("end_time").alias("last_end"),
-    ]
+        parts |= {f"{name}_{part}": f"{part}({name})" for part in ("sum", "count", "min", "max")}
+    return _aggregates(
+        parts
+        | {
+            "low_cpu_count": f"count_if(cpu < {limits.low_cpu_reading}D)",
+            "low_memory_count": f"count_if(memory < {limits.low_memory_reading}D)",
+            "first_start": "min(start_time)",
+            "last_end": "max(end_time)",
+        }
+    )
 
 
 def merged_partials() -> list[Column]:
     """The aggregates that merge ``partials`` of finer groups."""
-    sums = ["points", "low_cpu_count", "low_memory_count"]
-    sums += [f"{name}_{part}" for name in METRICS for part in ("sum", "count")]
-    return [
-        *[F.sum(name).alias(name) for name in sums],
-        *[F.min(f"{name}_min").alias(f"{name}_min") for name in METRICS],
-        *[F.max(f"{name}_max").alias(f"{name}_max") for name in METRICS],
-        F.min("first_start").alias("first_start"),
-        F.max("last_end").alias("last_end"),
-    ]
-
-
-def _mean(metric: str) -> Column:
-    return F.try_divide(F.col(f"{metric}_sum"), F.col(f"{metric}_count"))
-
-
-def figures() -> dict[str, Column]:
-    """Every figure over the partial aggregates, under its public name."""
-    return {
-        "avg_cpu_utilization": _mean("cpu"),
-        "peak_cpu_utilization": F.col("cpu_max"),
-        "min_cpu_utilization": F.col("cpu_min"),
-        "avg_cpu_wait": _mean("wait"),
-        "max_cpu_wait": F.col("wait_max"),
-        "avg_memory_utilization": _mean("memory"),
-        "max_memory_utilization": F.col("memory_max"),
-        "peak_memory_utilization": F.col("memory_max"),
-        "min_memory_utilization": F.col("memory_min"),
-        "avg_network_mb_received_per_minute": _mean("received") / BYTES_PER_MB,
-        "avg_network_mb_sent_per_minute": _mean("sent") / BYTES_PER_MB,
-    }
-
+    how = {"points": "sum", "low_cpu_count": "sum", "low_memory_count": "sum"}
+    for name in METRICS:
+        how |= {f"{name}_sum": "sum", f"{name}_count": "sum"}
+        how |= {f"{name}_min": "min", f"{name}_max": "max"}
+    how |= {"first_start": "min", "last_end": "max"}
+    return _aggregates({name: f"{function}({name})" for name, function in how.items()})
+
+
+def _mean(metric: str) -> str:
+    return f"try_divide({metric}_sum, {metric}_count)"
+
+
+#: Every figure over the partial aggregates, under its public name.
+FIGURES = {
+    "avg_cpu_utilization": _mean("cpu"),
+    "peak_cpu_utilization": "cpu_max",
+    "min_cpu_utilization": "cpu_min",
+    "avg_cpu_wait": _mean("wait"),
+    "max_cpu_wait": "wait_max",
+    "avg_memory_utilization": _mean("memory"),
+    "max_memory_utilization": "memory_max",
+    "peak_memory_utilization": "memory_max",
+    "min_memory_utilization": "memory_min",
+    "avg_network_mb_received_per_minute": f"{_mean('received')} / {BYTES_PER_MB}",
+    "avg_network_mb_sent_per_minute": f"{_mean('sent')} / {BYTES_PER_MB}",
+}
 
 NETWORK_FIGURES = ("avg_network_mb_received_per_minute", "avg_network_mb_sent_per_minute")
 SKIP_FIGURES = (
@@ -132,9 +128,9 @@ INSTANCE_FIGURES = (
 )
 
 
-def show(names: Sequence[str], digits: int | None) -> list[Column]:
-    known = figures()
-    return [stable_round(known[name], digits).alias(name) for name in names]
+def show(names: Sequence[str], digits: int | None) -> list[str]:
+    """SQL of the named figures over partial aggregates."""
+    return [f"{rounded(FIGURES[name], digits)} AS {name}" for name in names]
 
 
 def by_cpu(df: DataFrame, *keys: str) -> DataFrame:
@@ -174,8 +170,8 @@ def utilization_view(
 ) -> DataFrame:
     """Figures per (cluster_id, driver) of a roll-up at that grain."""
     enough = rollup.filter(F.col("points") >= min_points) if min_points else rollup
-    count = [] if count_as is None else [F.col("points").alias(count_as)]
-    return enough.select(*NODE_KEYS, *count, *show(names, digits))
+    count = [] if count_as is None else [f"points AS {count_as}"]
+    return enough.selectExpr(*NODE_KEYS, *count, *show(names, digits))
 
 
 def cluster_utilization_top(
@@ -224,7 +220,7 @@ def instance_view(
     described = latest_clusters(clusters).select(
         "cluster_id", "cluster_name", "driver_node_type_id", "node_type_id"
     )
-    view = rollup.join(described, "cluster_id", "left").select(
+    view = rollup.join(described, "cluster_id", "left").selectExpr(
         "cluster_id",
         "cluster_name",
         "driver_node_type_id",
@@ -232,9 +228,9 @@ def instance_view(
         "driver",
         "instance_id",
         *show(INSTANCE_FIGURES, digits),
-        F.col("points").alias("measurement_count"),
-        F.col("first_start").alias("monitoring_start"),
-        F.col("last_end").alias("monitoring_end"),
+        "points AS measurement_count",
+        "first_start AS monitoring_start",
+        "last_end AS monitoring_end",
     )
     return by_cpu(view, *INSTANCE_KEYS) if ordered else view
 
@@ -259,20 +255,22 @@ def efficiency_view(
 ) -> DataFrame:
     """Efficiency category per cluster of a roll-up at cluster grain."""
     cpu, memory = _mean("cpu"), _mean("memory")
-    low = (cpu < limits.efficient_cpu_floor) & (memory < limits.efficient_memory_floor)
-    high = (cpu > limits.efficient_cpu_ceiling) | (memory > limits.efficient_memory_ceiling)
-    view = rollup.select(
+    view = rollup.selectExpr(
         "cluster_id",
         *show(["avg_cpu_utilization", "avg_memory_utilization"], digits),
-        F.col("points").alias("total_measurements"),
+        "points AS total_measurements",
         "low_cpu_count",
         "low_memory_count",
-        percent_of(F.col("low_cpu_count"), F.col("points")).alias("low_cpu_percent"),
-        percent_of(F.col("low_memory_count"), F.col("points")).alias("low_memory_percent"),
-        F.when(low, wording.CATEGORY_LOW)
-        .when(high, wording.CATEGORY_HIGH)
-        .otherwise(wording.CATEGORY_NORMAL)
-        .alias("efficiency_category"),
+        f"{percent('low_cpu_count', 'points')} AS low_cpu_percent",
+        f"{percent('low_memory_count', 'points')} AS low_memory_percent",
+        f"""CASE
+            WHEN {cpu} < {limits.efficient_cpu_floor}D
+                 AND {memory} < {limits.efficient_memory_floor}D
+            THEN '{wording.CATEGORY_LOW}'
+            WHEN {cpu} > {limits.efficient_cpu_ceiling}D
+                 OR {memory} > {limits.efficient_memory_ceiling}D
+            THEN '{wording.CATEGORY_HIGH}'
+            ELSE '{wording.CATEGORY_NORMAL}' END AS efficiency_category""",
     )
     return by_cpu(view, "cluster_id") if ordered else view
 

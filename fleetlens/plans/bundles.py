@@ -1,4 +1,8 @@
-"""Metric bundles: the tables one report needs, from as few scans as possible."""
+"""Metric bundles: the tables of one report, from as few scans as possible.
+
+Each bundle rests on one aggregate that several of its tables share. A caller
+that uses more than one of them passes the aggregate in staged form.
+"""
 
 from __future__ import annotations
 
@@ -8,46 +12,46 @@ from pyspark.sql import DataFrame
 
 from fleetlens.functions import clamp_days
 from fleetlens.operators import clusters, jobs, nodes
-from fleetlens.sources.sinks import stage
 from fleetlens.sources.tables import Tables
 
 
-def _keep(df: DataFrame, name: str, staged: bool) -> DataFrame:
-    return stage(df, name) if staged else df
-
-
 def job_bundle(
-    tables: Tables, days: int = 7, as_of: datetime | None = None, staged: bool = False
+    tables: Tables,
+    days: int = 7,
+    as_of: datetime | None = None,
+    health: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Runtime, failures and node utilisation for one look-back.
 
-    Runtime and failures are views of one pass over the run slices. ``staged``
-    computes that pass once and keeps it in the shared folder, for callers that
-    use several tables of the bundle.
+    Runtime and failures are views of ``jobs.job_health``, one pass over the slices.
     """
-    health = jobs.job_health(tables.job_run_timeline, tables.jobs, days, as_of)
-    health = _keep(health, "job-health", staged)
-    top = nodes.cluster_utilization_top(tables.node_timeline, days, as_of)
+    if health is None:
+        health = jobs.job_health(tables.job_run_timeline, tables.jobs, days, as_of)
     return {
         "runtime_metrics": jobs.runtime_view(health),
         "failure_analysis": jobs.failure_view(health),
-        "cluster_utilization": _keep(top, "cluster-utilization", staged),
+        "cluster_utilization": nodes.cluster_utilization_top(tables.node_timeline, days, as_of),
     }
 
 
 def cluster_bundle(
-    tables: Tables, days: int = 7, as_of: datetime | None = None, staged: bool = False
+    tables: Tables,
+    days: int = 7,
+    as_of: datetime | None = None,
+    rollup: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Instance utilisation, node types, efficiency and costs for one clamped look-back.
 
-    Utilisation and efficiency come from one roll-up of the node timeline.
+    Utilisation and efficiency come from ``nodes.node_rollup`` per instance.
     """
     days = clamp_days(days)
-    rollup = _keep(nodes.node_rollup(tables.node_timeline, days, as_of), "node-rollup", staged)
-    costs = clusters.cluster_costs(tables.billing_usage, tables.clusters, days, as_of)
+    if rollup is None:
+        rollup = nodes.node_rollup(tables.node_timeline, days, as_of)
     return {
         "cluster_utilization": nodes.instance_view(rollup, tables.clusters),
         "node_types": clusters.node_types(tables.node_types),
         "efficiency_metrics": nodes.efficiency_view(nodes.regroup(rollup, ["cluster_id"])),
-        "cost_analysis": _keep(costs, "cluster-costs", staged),
+        "cost_analysis": clusters.cluster_costs(
+            tables.billing_usage, tables.clusters, days, as_of
+        ),
     }

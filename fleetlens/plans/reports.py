@@ -5,7 +5,7 @@ in the report and ``rank`` the order inside the block, so a report of any length
 sorts in parallel. Full result tables are written as Parquet next to the text.
 
 A report reads its metric tables several times. The ``write_*`` functions stage
-them first, so that the input is scanned once.
+the aggregates behind them first, so that the input is scanned once.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from fleetlens import wording
 from fleetlens.config import TOP_ANOMALY_ROWS, Thresholds
-from fleetlens.functions import clamp_days, descending, minutes, stable_round
+from fleetlens.functions import clamp_days, descending, minutes, rounded, stable_round
 from fleetlens.functions.time import clock
 from fleetlens.operators import advise, detect, nodes, stats
-from fleetlens.operators.jobs import JOB_KEYS
+from fleetlens.operators.jobs import JOB_KEYS, failure_view, job_health, runtime_view
 from fleetlens.plans.bundles import cluster_bundle, job_bundle
 from fleetlens.sources.sinks import stage, write_report, write_table
 from fleetlens.sources.tables import Tables
@@ -90,41 +90,36 @@ def cluster_quantiles(utilization: DataFrame) -> DataFrame:
     )
 
 
-def job_summary(runtime: DataFrame, failures: DataFrame, utilization: DataFrame) -> DataFrame:
-    """Key figures of the job report: (metric_no, metric, value, text)."""
-    runtime_totals = runtime.agg(
-        F.count(F.lit(1)).alias("n_jobs"),
-        (F.avg("avg_duration_seconds") / 60).alias("avg_minutes"),
-    ).filter(F.col("n_jobs") > 0)
-    failure_totals = failures.agg(
-        F.avg("success_rate_percent").alias("success"),
-        F.sum("total_runs").alias("runs"),
-        F.sum("failed_runs").alias("failed"),
+def job_summary(health: DataFrame, utilization: DataFrame) -> DataFrame:
+    """Key figures of the job report: (metric_no, metric, value, text).
+
+    Averages are plain means over jobs and over node groups. Figures of an empty
+    table are left out.
+    """
+    jobs = health.agg(
+        F.expr("nullif(count(1), 0) AS n_jobs"),
+        F.expr(f"{rounded('avg(avg_duration_seconds) / 60')} AS minutes"),
+        F.expr("avg(success_rate_percent) FILTER (WHERE finished_runs > 0) AS success"),
+        F.expr("sum(finished_runs) FILTER (WHERE finished_runs > 0) AS runs"),
+        F.expr("sum(failed_runs) FILTER (WHERE finished_runs > 0) AS failed"),
+    )
+    fleet = utilization.agg(
+        F.avg("avg_cpu_utilization").alias("avg_cpu"),
+        F.avg("avg_memory_utilization").alias("avg_memory"),
     )
-    average = stable_round(F.col("avg_minutes"))
-    return (
+    duration = F.col("minutes")
+    return _figures(
+        jobs,
+        _count(1, wording.JOBS_MONITORED, "n_jobs"),
+        _figure(2, wording.JOB_RUNTIME, duration, "%.2f minutes", duration),
+        _percent(3, wording.JOB_SUCCESS, "success"),
+        _count(4, wording.JOB_RUNS, "runs"),
+        _count(5, wording.JOB_FAILURES, "failed"),
+    ).unionByName(
         _figures(
-            runtime_totals,
-            _count(1, wording.JOBS_MONITORED, "n_jobs"),
-            _figure(2, wording.JOB_RUNTIME, average, "%.2f minutes", average),
-        )
-        .unionByName(
-            _figures(
-                failure_totals,
-                _percent(3, wording.JOB_SUCCESS, "success"),
-                _count(4, wording.JOB_RUNS, "runs"),
-                _count(5, wording.JOB_FAILURES, "failed"),
-            )
-        )
-        .unionByName(
-            _figures(
-                utilization.agg(
-                    F.avg("avg_cpu_utilization").alias("avg_cpu"),
-                    F.avg("avg_memory_utilization").alias("avg_memory"),
-                ),
-                _percent(6, wording.FLEET_CPU, "avg_cpu"),
-                _percent(7, wording.FLEET_MEMORY, "avg_memory"),
-            )
+            fleet,
+            _percent(6, wording.FLEET_CPU, "avg_cpu"),
+            _percent(7, wording.FLEET_MEMORY, "avg_memory"),
         )
     )
 
@@ -213,18 +208,22 @@ def _joined(*parts: DataFrame) -> DataFrame:
 
 
 def job_report_lines(
-    bundle: dict[str, DataFrame],
+    health: DataFrame,
+    utilization: DataFrame,
     days: int = 7,
     as_of: datetime | None = None,
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
-    """The job report: header, key figures and the first anomalies of each kind."""
-    runtime, failures = bundle["runtime_metrics"], bundle["failure_analysis"]
-    utilization = bundle["cluster_utilization"]
+    """The job report: header, key figures and the first anomalies of each kind.
+
+    ``health`` is read several times and should be staged.
+    """
+    runtime = runtime_view(health, ordered=False)
+    failures = failure_view(health, ordered=False)
     average_minutes = minutes(F.col("avg_duration_seconds")).cast("string")
     return _joined(
         _header(runtime, "Job Monitoring Report", days, as_of, "Summary Statistics"),
-        _summary_lines(job_summary(runtime, failures, utilization)),
+        _summary_lines(job_summary(health, utilization)),
         _fixed_lines(runtime, "anomalies", {20: "## Detected Anomalies"}),
         _anomaly_lines(
             runtime.filter(detect.runs_long(limits)),
@@ -398,8 +397,11 @@ def write_job_report(
     limits: Thresholds = Thresholds(),
 ) -> None:
     """Write ``report`` (text) and the three metric tables (Parquet) below ``path``."""
-    bundle = job_bundle(tables, days, as_of, staged=True)
-    _write(job_report_lines(bundle, days, as_of, limits), bundle, path)
+    health = stage(job_health(tables.job_run_timeline, tables.jobs, days, as_of), "job-health")
+    bundle = job_bundle(tables, days, as_of, health)
+    top = stage(bundle["cluster_utilization"], "cluster-utilization")
+    lines = job_report_lines(health, top, days, as_of, limits)
+    _write(lines, {**bundle, "cluster_utilization": top}, path)
 
 
 def write_cluster_monitor_report(
@@ -411,7 +413,8 @@ def write_cluster_monitor_report(
 ) -> None:
     """Write the cluster monitor ``report`` and its four metric tables below ``path``."""
     days = clamp_days(days)
-    bundle = cluster_bundle(tables, days, as_of, staged=True)
+    rollup = stage(nodes.node_rollup(tables.node_timeline, days, as_of), "node-rollup")
+    bundle = cluster_bundle(tables, days, as_of, rollup)
     lines = cluster_monitor_lines(bundle["cluster_utilization"], days, as_of, limits)
     _write(lines, bundle, path)
 

@@ -51,11 +51,11 @@ def windowed_utilization(
         .groupBy(F.window("start_time", window).alias("window"), *NODE_KEYS)
         .agg(*partials())
     )
-    return grouped.filter(F.col("points") >= min_points).select(
-        F.col("window.start").alias("window_start"),
-        F.col("window.end").alias("window_end"),
+    return grouped.filter(F.col("points") >= min_points).selectExpr(
+        "window.start AS window_start",
+        "window.end AS window_end",
         *NODE_KEYS,
-        F.col("points").alias("data_points"),
+        "points AS data_points",
         *show(ZERO_FIGURES, 2),
     )
 
