@@ -1,0 +1,229 @@
+from __future__ import annotations
+
+from datetime import date, timedelta
+from decimal import Decimal
+
+import pytest
+from frames import AS_OF, DAY, clusters, readings
+
+from conftest import rows, ts
+from fleetlens.operators import clusters as cluster_ops
+from fleetlens.operators import nodes
+from fleetlens.operators.versions import latest_version
+
+
+def test_missing_cpu_half_is_skipped_or_counted_as_zero(spark):
+    timeline = readings(
+        spark,
+        ("c", 10.0, 5.0, 0.0, 0.0),
+        ("c", None, 5.0, 0.0, 0.0),
+        ("c", 20.0, None, 0.0, 0.0),
+    )
+    skipped = nodes.cluster_utilization_raw(timeline, 7, AS_OF).first()
+    zero = nodes.cluster_utilization(timeline, 7, AS_OF, min_points=0).first()
+    assert skipped.avg_cpu_utilization == 15.0
+    assert zero.avg_cpu_utilization == 13.33
+
+
+def test_minimum_number_of_readings(spark):
+    sizes = {"four": 4, "five": 5, "six": 6}
+    timeline = readings(
+        spark, *[(name, 1.0, 1.0, 0.0, 0.0) for name, n in sizes.items() for _ in range(n)]
+    )
+
+    def names(df):
+        return {row.cluster_id for row in df.collect()}
+
+    assert names(nodes.cluster_utilization_top(timeline, 7, AS_OF)) == {"six"}
+    assert names(nodes.cluster_utilization(timeline, 7, AS_OF)) == {"five", "six"}
+    assert names(nodes.cluster_utilization_raw(timeline, 7, AS_OF)) == set(sizes)
+
+
+def test_top_is_limited_and_ordered_with_nulls_last(spark):
+    timeline = readings(
+        spark,
+        *[("busy", 50.0, 1.0, 0.0, 0.0)] * 6,
+        *[("idle", 5.0, 1.0, 0.0, 0.0)] * 6,
+        *[("silent", None, None, None, None)] * 6,
+    )
+    found = nodes.cluster_utilization_top(timeline, 7, AS_OF)
+    assert rows(found, "cluster_id") == [("busy",), ("idle",), ("silent",)]
+    assert rows(nodes.cluster_utilization_top(timeline, 7, AS_OF, limit=1), "cluster_id") == [
+        ("busy",)
+    ]
+
+
+def test_network_is_in_megabytes(spark):
+    row = nodes.cluster_utilization(readings(spark, *[("c", 1.0, 1.0, 0.0, 0.0)] * 5), 7, AS_OF)
+    assert rows(
+        row, "avg_network_mb_received_per_minute", "avg_network_mb_sent_per_minute"
+    ) == [(1.0, 0.0)]
+
+
+def test_instances_with_newest_description(spark):
+    timeline = readings(
+        spark,
+        ("a", 10.0, 0.0, 1.0, 40.0, False, "i1"),
+        ("a", 30.0, 0.0, 3.0, 20.0, False, "i1"),
+        ("a", 5.0, 0.0, 1.0, 10.0, True, "i2"),
+        ("gone", 1.0, 0.0, 1.0, 1.0, False, "i3"),
+        (None, 2.0, 0.0, 1.0, 1.0, False, "i4"),
+    )
+    described = clusters(spark, ("a", "old", ts("2024-01-01")), ("a", "new", ts("2024-01-02")))
+    found = nodes.cluster_instance_utilization(timeline, described, 7, AS_OF)
+    assert rows(
+        found,
+        "cluster_id",
+        "cluster_name",
+        "instance_id",
+        "avg_cpu_utilization",
+        "min_cpu_utilization",
+        "peak_memory_utilization",
+        "measurement_count",
+        "monitoring_start",
+        "monitoring_end",
+    ) == [
+        ("a", "new", "i1", 20.0, 10.0, 40.0, 2, DAY, DAY + timedelta(minutes=2)),
+        (
+            "a",
+            "new",
+            "i2",
+            5.0,
+            5.0,
+            10.0,
+            1,
+            DAY + timedelta(minutes=2),
+            DAY + timedelta(minutes=3),
+        ),
+        (
+            None,
+            None,
+            "i4",
+            2.0,
+            2.0,
+            1.0,
+            1,
+            DAY + timedelta(minutes=4),
+            DAY + timedelta(minutes=5),
+        ),
+        (
+            "gone",
+            None,
+            "i3",
+            1.0,
+            1.0,
+            1.0,
+            1,
+            DAY + timedelta(minutes=3),
+            DAY + timedelta(minutes=4),
+        ),
+    ]
+
+
+def test_efficiency_categories(spark):
+    timeline = readings(
+        spark,
+        ("low", 5.0, 0.0, 0.0, 10.0),
+        ("low", 15.0, 0.0, 0.0, 30.0),
+        ("hot", 90.0, 0.0, 0.0, 10.0),
+        ("full", 50.0, 0.0, 0.0, 86.0),
+        ("edge", 80.0, 0.0, 0.0, 85.0),
+        ("floor", 20.0, 0.0, 0.0, 10.0),
+        ("silent", None, None, None, 50.0),
+    )
+    found = {row.cluster_id: row for row in nodes.cluster_efficiency(timeline, 7, AS_OF).collect()}
+    assert {name: row.efficiency_category for name, row in found.items()} == {
+        "low": "Underutilized",
+        "hot": "High Utilization",
+        "full": "High Utilization",
+        "edge": "Normal",
+        "floor": "Normal",
+        "silent": "Normal",
+    }
+    assert (found["low"].low_cpu_count, found["low"].low_cpu_percent) == (1, 50.0)
+    assert (found["low"].low_memory_count, found["low"].low_memory_percent) == (1, 50.0)
+    assert (found["silent"].low_cpu_count, found["silent"].total_measurements) == (0, 1)
+
+
+def test_regrouped_rollup_equals_direct_grouping(spark):
+    timeline = readings(
+        spark,
+        *[
+            (f"c{i % 3}", float(i), i / 7 if i % 4 else None, i / 3, float(i % 50), i % 2 == 0, f"i{i % 5}")
+            for i in range(60)
+        ],
+    )
+    rollup = nodes.node_rollup(timeline, 7, AS_OF)
+    for by in (["cluster_id"], ["cluster_id", "driver"]):
+        direct = nodes.node_rollup(timeline, 7, AS_OF, by=by)
+        merged = nodes.regroup(rollup, by).select(direct.columns)
+        left, right = (sorted(rows(df), key=str) for df in (direct, merged))
+        for a, b in zip(left, right, strict=True):
+            for x, y in zip(a, b, strict=True):
+                assert x == (pytest.approx(y) if isinstance(y, float) else y)
+
+
+def test_latest_version_keeps_one_row_per_key(spark):
+    versions = spark.createDataFrame(
+        [(k, t, tie) for k in "ab" for t in (1, 2) for tie in "xyz"], "k STRING, t INT, tie STRING"
+    )
+    assert sorted(rows(latest_version(versions, ["k"], "t", ["tie"]))) == [
+        ("a", 2, "z"),
+        ("b", 2, "z"),
+    ]
+
+
+def test_basic_info_lists_distinct_recent_versions_newest_first(spark):
+    versions = clusters(
+        spark,
+        ("a", "one", ts("2024-01-10")),
+        ("a", "one", ts("2024-01-10")),
+        ("a", "two", ts("2024-01-12")),
+        ("a", "stale", ts("2023-01-01")),
+    )
+    found = cluster_ops.cluster_basic_info(versions, as_of=AS_OF)
+    assert rows(found, "cluster_name") == [("two",), ("one",)]
+
+
+def test_node_types_are_sorted_by_size(spark):
+    catalogue = spark.createDataFrame(
+        [("big", 64, 8.0, 1), ("small", 8, 4.0, 0), ("wide", 32, 8.0, 0)],
+        "node_type STRING, memory_mb BIGINT, core_count DOUBLE, gpu_count BIGINT",
+    )
+    found = cluster_ops.node_types(catalogue)
+    assert found.columns == ["node_type_id", "memory_mb", "num_cores", "num_gpus"]
+    assert rows(found, "node_type_id") == [("small",), ("wide",), ("big",)]
+
+
+@pytest.mark.parametrize(
+    "metadata",
+    ["named_struct('cluster_id', c)", "map('cluster_id', c, 'job_id', '1')"],
+    ids=["struct", "map"],
+)
+def test_costs_from_struct_or_map(spark, metadata):
+    usage = spark.createDataFrame(
+        [
+            ("a", "S", 1.5, date(2024, 1, 8)),
+            ("a", "S", 2.0, date(2024, 1, 14)),
+            ("a", "T", 9.0, date(2024, 1, 14)),
+            ("a", "S", 50.0, date(2024, 1, 7)),
+            (None, "S", 3.0, date(2024, 1, 14)),
+            ("gone", "S", 1.0, date(2024, 1, 14)),
+        ],
+        "c STRING, sku_name STRING, q DOUBLE, usage_date DATE",
+    ).selectExpr(
+        f"{metadata} AS usage_metadata",
+        "sku_name",
+        "'DBU' AS usage_unit",
+        "CAST(q AS DECIMAL(18,2)) AS usage_quantity",
+        "usage_date",
+    )
+    described = clusters(spark, ("a", "name", ts("2024-01-01")))
+    found = cluster_ops.cluster_costs(usage, described, 7, AS_OF)
+    assert rows(
+        found, "cluster_id", "cluster_name", "sku_name", "total_usage", "usage_records", "num_workers"
+    ) == [
+        ("a", "name", "T", Decimal("9.00"), 1, 2),
+        ("a", "name", "S", Decimal("3.50"), 2, 2),
+        ("gone", None, "S", Decimal("1.00"), 1, None),
+    ]
