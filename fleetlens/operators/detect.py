@@ -1,7 +1,7 @@
 """Threshold anomalies of jobs and clusters.
 
-Each kind is a condition on a metric table and the columns it reports. Null
-values pass no condition.
+Each kind is a condition on a metric table and the columns it reports. Null and
+NaN pass no condition.
 """
 
 from __future__ import annotations
@@ -16,23 +16,28 @@ from fleetlens.config import Thresholds
 from fleetlens.functions import minutes, stable_round
 
 
+def _number(name: str) -> Column:
+    # Spark ranks NaN above all numbers.
+    return F.nanvl(name, F.lit(None))
+
+
 def runs_long(limits: Thresholds) -> Column:
-    return F.col("avg_duration_seconds") > limits.job_duration_minutes * 60
+    return _number("avg_duration_seconds") > limits.job_duration_minutes * 60
 
 
 def fails_often(limits: Thresholds) -> Column:
-    return F.col("failure_rate_percent") > limits.failure_rate * 100
+    return _number("failure_rate_percent") > limits.failure_rate * 100
 
 
 def is_idle(limits: Thresholds) -> Column:
-    return (F.col("avg_cpu_utilization") < limits.underutilized_cpu) & (
-        F.col("avg_memory_utilization") < limits.underutilized_memory
+    return (_number("avg_cpu_utilization") < limits.underutilized_cpu) & (
+        _number("avg_memory_utilization") < limits.underutilized_memory
     )
 
 
 def is_overloaded(limits: Thresholds) -> Column:
-    return (F.col("avg_cpu_utilization") > limits.overutilized_cpu) | (
-        F.col("avg_memory_utilization") > limits.overutilized_memory
+    return (_number("avg_cpu_utilization") > limits.overutilized_cpu) | (
+        _number("avg_memory_utilization") > limits.overutilized_memory
     )
 
 
