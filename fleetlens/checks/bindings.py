@@ -12,6 +12,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.functions.time import DAY_COLUMN
+from fleetlens.session import prepare
 from fleetlens.sources.tables import Tables
 
 # Clocks and look-backs of the registered queries.
@@ -123,6 +124,7 @@ def billing_usage(events: DataFrame) -> DataFrame:
 
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
     """All six tables bound to one scale-factor folder."""
+    prepare(spark)
 
     @cache
     def raw(name: str) -> DataFrame:

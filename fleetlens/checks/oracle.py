@@ -239,6 +239,25 @@ STEPS = {
               WHERE usage_date >= {NODES_SINCE} AND usage_metadata['cluster_id'] IS NOT NULL
               GROUP BY ALL) u
         LEFT JOIN latest_cluster c ON u.cluster_id = c.cluster_id""",
+    "slow": f"""
+        SELECT job_id, job_name, {_r("avg_duration_seconds / 60")} AS avg_duration_minutes,
+               {_r("max_duration_seconds / 60")} AS max_duration_minutes
+        FROM runtime WHERE avg_duration_seconds > 3600""",
+    "failing": """
+        SELECT job_id, job_name, failure_rate_percent, failed_runs, total_runs
+        FROM failures WHERE failure_rate_percent > 10""",
+    "underutilized": f"""
+        SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
+               {_r("avg_memory_utilization")} AS avg_memory_utilization
+        FROM instances WHERE avg_cpu_utilization < 20 AND avg_memory_utilization < 30""",
+    "overutilized": f"""
+        SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
+               {_r("avg_memory_utilization")} AS avg_memory_utilization
+        FROM instances WHERE avg_cpu_utilization > 85 OR avg_memory_utilization > 90""",
+    "inefficient": f"""
+        SELECT cluster_id, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
+               low_cpu_percent, low_memory_percent
+        FROM efficiency WHERE efficiency_category = 'Underutilized'""",
     "found_issues": _found_issues("utilization", "cluster_id, driver"),
     "issues": f"""
         {_worded_issues("found_issues")}
@@ -535,6 +554,8 @@ def _cluster_report() -> str:
                 70: "## Appendix: Queries",
                 71: "- Utilization: node_timeline since midnight 7 days ago, grouped by "
                 "cluster_id and driver, missing readings as 0, at least 5 readings per group",
+                72: "- Cluster info: distinct versions of clusters since midnight 30 days ago, "
+                "newest first",
             },
         )
         + [
@@ -678,25 +699,18 @@ def _bodies() -> dict[str, str]:
                         WHEN avg_cpu_utilization >= 80 THEN 'warning'
                         ELSE 'normal' END AS level
             FROM utilization""",
-        "anomaly_long_running": f"""
-            SELECT job_id, job_name, {_r("avg_duration_seconds / 60")} AS avg_duration_minutes,
-                   {_r("max_duration_seconds / 60")} AS max_duration_minutes
-            FROM runtime WHERE avg_duration_seconds > 3600""",
-        "anomaly_high_failure": """
-            SELECT job_id, job_name, failure_rate_percent, failed_runs, total_runs
-            FROM failures WHERE failure_rate_percent > 10""",
-        "anomaly_underutilized": f"""
-            SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
-                   {_r("avg_memory_utilization")} AS avg_memory_utilization
-            FROM instances WHERE avg_cpu_utilization < 20 AND avg_memory_utilization < 30""",
-        "anomaly_overutilized": f"""
-            SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
-                   {_r("avg_memory_utilization")} AS avg_memory_utilization
-            FROM instances WHERE avg_cpu_utilization > 85 OR avg_memory_utilization > 90""",
-        "anomaly_inefficient": f"""
-            SELECT cluster_id, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
-                   low_cpu_percent, low_memory_percent
-            FROM efficiency WHERE efficiency_category = 'Underutilized'""",
+        "anomaly_long_running": "SELECT * FROM slow",
+        "anomaly_high_failure": "SELECT * FROM failing",
+        "anomaly_underutilized": "SELECT * FROM underutilized",
+        "anomaly_overutilized": "SELECT * FROM overutilized",
+        "anomaly_inefficient": "SELECT * FROM inefficient",
+        "job_anomalies": """
+            SELECT 'long_running_jobs' AS kind, * FROM slow
+            UNION ALL BY NAME SELECT 'high_failure_rates' AS kind, * FROM failing""",
+        "cluster_anomalies": """
+            SELECT 'underutilized_clusters' AS kind, * FROM underutilized
+            UNION ALL BY NAME SELECT 'overutilized_clusters' AS kind, * FROM overutilized
+            UNION ALL BY NAME SELECT 'inefficient_clusters' AS kind, * FROM inefficient""",
         "performance_issues": "SELECT * FROM issues",
         "issues_by_severity": "SELECT * FROM severities",
         "recommendations": "SELECT * FROM advice",

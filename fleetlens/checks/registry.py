@@ -66,6 +66,10 @@ def _text_date(df: DataFrame, name: str) -> DataFrame:
 # Jobs
 
 
+def _health(t: Tables) -> DataFrame:
+    return jobs.job_health(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
+
+
 @_register
 def job_runtime_metrics(t: Tables) -> DataFrame:
     return jobs.job_runtime_metrics(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
@@ -260,6 +264,20 @@ def anomaly_inefficient(t: Tables) -> DataFrame:
     return detect.inefficient_clusters(_efficiency(t))
 
 
+@_register
+def job_anomalies(t: Tables) -> DataFrame:
+    health = _health(t)
+    runtime, failures = (
+        view(health, ordered=False) for view in (jobs.runtime_view, jobs.failure_view)
+    )
+    return detect.job_anomalies(runtime, failures, LIMITS)
+
+
+@_register
+def cluster_anomalies(t: Tables) -> DataFrame:
+    return detect.cluster_anomalies(_instances(t), _efficiency(t), LIMITS)
+
+
 @_register
 def performance_issues(t: Tables) -> DataFrame:
     return advise.performance_issues(_zero(t), LIMITS)
@@ -293,10 +311,6 @@ def cluster_quantiles(t: Tables) -> DataFrame:
     return reports.cluster_quantiles(_zero(t))
 
 
-def _health(t: Tables) -> DataFrame:
-    return jobs.job_health(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
-
-
 @_register
 def job_report_summary(t: Tables) -> DataFrame:
     return reports.job_summary(_health(t), cluster_utilization_top20(t))

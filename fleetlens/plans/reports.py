@@ -20,7 +20,7 @@ from fleetlens import wording
 from fleetlens.config import TOP_ANOMALY_ROWS, Thresholds
 from fleetlens.functions import clamp_days, descending, minutes, rounded, stable_round
 from fleetlens.functions.time import clock
-from fleetlens.operators import advise, detect, nodes, stats
+from fleetlens.operators import advise, clusters, detect, nodes, stats
 from fleetlens.operators.jobs import JOB_KEYS, failure_view, job_health, runtime_view
 from fleetlens.plans.bundles import cluster_bundle, job_bundle
 from fleetlens.sources.sinks import stage, write_report, write_table
@@ -31,6 +31,11 @@ SECONDS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MINUTES_FORMAT = "yyyy-MM-dd HH:mm"
 
 
+# Columns of the detailed table, and the look-back of cluster info.
+DETAIL_COLUMNS = (*nodes.NODE_KEYS, "data_points", *nodes.ZERO_FIGURES)
+INFO_DAYS = 30
+
+
 def _figure(number: int, name: str, value: Column, template: str, shown: Column) -> Column:
     """One key figure; absent (null) where the value is."""
     return F.when(
@@ -330,6 +335,10 @@ def cluster_report_lines(
                 f"{days} days ago, grouped by cluster_id and driver, missing readings as 0, "
                 f"at least {min_points} readings per group"
             ),
+            72: (
+                "- Cluster info: distinct versions of clusters since midnight "
+                f"{INFO_DAYS} days ago, newest first"
+            ),
         },
     )
     kpis = cluster_kpis(utilization)
@@ -427,11 +436,13 @@ def write_cluster_report(
     min_points: int = 5,
     limits: Thresholds = Thresholds(),
 ) -> None:
-    """Write the cluster performance ``report`` and its utilisation table below ``path``."""
-    detailed = nodes.cluster_utilization(tables.node_timeline, days, as_of, min_points)
-    staged = stage(detailed, "cluster-utilization")
+    """Write the cluster performance ``report``, its utilisation table and cluster info."""
+    utilization = nodes.cluster_utilization(tables.node_timeline, days, as_of, min_points)
+    staged = stage(utilization, "cluster-utilization")
     lines = cluster_report_lines(staged, days, as_of, min_points, limits)
-    _write(lines, {"cluster_utilization": staged}, path)
+    detailed = stats.present_columns(staged, DETAIL_COLUMNS)
+    info = clusters.cluster_basic_info(tables.clusters, INFO_DAYS, as_of)
+    _write(lines, {"cluster_utilization": detailed, "cluster_info": info}, path)
 
 
 def _write(lines: DataFrame, tables: dict[str, DataFrame], path: str) -> None:

@@ -177,4 +177,5 @@ def test_written_reports(spark, tmp_path):
     assert table("efficiency_metrics", "monitor").count() == 1
     reports.write_cluster_report(tables, str(tmp_path / "cluster"), 7, AS_OF)
     assert report("cluster")[0] == "# Cluster Performance Analysis Report"
-    assert table("cluster_utilization", "cluster").count() == 1
+    assert table("cluster_utilization", "cluster").columns == list(reports.DETAIL_COLUMNS)
+    assert table("cluster_info", "cluster").count() == 1
