@@ -232,7 +232,8 @@ STEPS = {
     "costs": f"""
         SELECT u.cluster_id, c.cluster_name, u.sku_name, u.usage_unit,
                CAST(u.total_usage AS DOUBLE) AS total_usage, u.usage_records,
-               c.driver_node_type_id, c.node_type_id, c.num_workers
+               c.driver_node_type_id, c.node_type_id,
+               CAST(c.num_workers AS DOUBLE) AS num_workers
         FROM (SELECT usage_metadata['cluster_id'] AS cluster_id, sku_name, usage_unit,
                      sum(usage_quantity) AS total_usage, count(*) AS usage_records
               FROM billing_usage
@@ -706,7 +707,11 @@ def _bodies() -> dict[str, str]:
         "anomaly_inefficient": "SELECT * FROM inefficient",
         "job_anomalies": """
             SELECT 'long_running_jobs' AS kind, * FROM slow
-            UNION ALL BY NAME SELECT 'high_failure_rates' AS kind, * FROM failing""",
+            UNION ALL BY NAME
+            SELECT 'high_failure_rates' AS kind, job_id, job_name, failure_rate_percent,
+                   CAST(failed_runs AS DOUBLE) AS failed_runs,
+                   CAST(total_runs AS DOUBLE) AS total_runs
+            FROM failing""",
         "cluster_anomalies": """
             SELECT 'underutilized_clusters' AS kind, * FROM underutilized
             UNION ALL BY NAME SELECT 'overutilized_clusters' AS kind, * FROM overutilized

@@ -1,7 +1,8 @@
 """The registered queries: every operator over the whole test tables.
 
 Figures the operators leave unrounded are rounded to four digits here, because
-the last bits of a sum of doubles depend on the engine.
+the last bits of a sum of doubles depend on the engine. Dates become text and
+nullable integers doubles, the types that clients of both engines show alike.
 """
 
 from __future__ import annotations
@@ -63,6 +64,10 @@ def _text_date(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.date_format(name, "yyyy-MM-dd"))
 
 
+def _doubles(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({name: F.col(name).cast("double") for name in names})
+
+
 # Jobs
 
 
@@ -200,7 +205,7 @@ def node_types(t: Tables) -> DataFrame:
 @_register
 def cluster_costs(t: Tables) -> DataFrame:
     costs = clusters.cluster_costs(t.billing_usage, t.clusters, NODE_DAYS, NODE_AS_OF)
-    return costs.withColumn("total_usage", F.col("total_usage").cast("double"))
+    return _doubles(costs, "total_usage", "num_workers")
 
 
 @_register
@@ -270,7 +275,7 @@ def job_anomalies(t: Tables) -> DataFrame:
     runtime, failures = (
         view(health, ordered=False) for view in (jobs.runtime_view, jobs.failure_view)
     )
-    return detect.job_anomalies(runtime, failures, LIMITS)
+    return _doubles(detect.job_anomalies(runtime, failures, LIMITS), "failed_runs", "total_runs")
 
 
 @_register

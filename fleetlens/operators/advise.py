@@ -107,7 +107,8 @@ def performance_issues(
 
 
 def severity_rank(severity: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(name) for name in wording.SEVERITIES]), severity)
+    order = F.array(*[F.lit(name) for name in wording.SEVERITIES])
+    return F.array_position(order, severity).cast("int")
 
 
 def issues_by_severity(issues: DataFrame, ordered: bool = True) -> DataFrame:
