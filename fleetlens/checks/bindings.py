@@ -7,7 +7,7 @@ The views are lazy joins and projections; ``FIXTURES.md`` lists the mapping.
 from __future__ import annotations
 
 from datetime import datetime
-from functools import cache
+from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -122,8 +122,9 @@ def billing_usage(events: DataFrame) -> DataFrame:
     )
 
 
+@lru_cache(maxsize=4)
 def tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """All six tables bound to one scale-factor folder."""
+    """All six tables bound to one scale-factor folder; bound once per session."""
     prepare(spark)
 
     @cache

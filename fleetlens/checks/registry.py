@@ -368,7 +368,9 @@ FAILED_RUNS_SQL = """
 
 def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = bindings.tables(spark, sf_dir)
-    return catalog.run_sql(spark, FAILED_RUNS_SQL, tables, as_of=JOB_AS_OF, days=JOB_DAYS)
+    return catalog.run_sql(
+        spark, FAILED_RUNS_SQL, tables, as_of=JOB_AS_OF.date(), days=JOB_DAYS
+    )
 
 
 @_register

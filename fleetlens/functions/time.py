@@ -23,8 +23,16 @@ log = logging.getLogger(__name__)
 DAY_COLUMN = "period_date"
 
 
+def clock_sql(as_of: datetime | None) -> str:
+    """SQL of the clock: now, or a fixed instant.
+
+    A datetime without zone is wall-clock time in the session's time zone.
+    """
+    return "current_timestamp()" if as_of is None else f"TIMESTAMP '{as_of.isoformat(sep=' ')}'"
+
+
 def clock(as_of: datetime | None) -> Column:
-    return F.current_timestamp() if as_of is None else F.lit(as_of)
+    return F.expr(clock_sql(as_of))
 
 
 def clamp_days(days: int) -> int:

@@ -7,70 +7,44 @@ from pyspark.sql import functions as F
 
 from fleetlens import wording
 from fleetlens.config import Thresholds
-from fleetlens.functions import stable_round
-
-
-def _rule(
-    number: int, rule: str, severity: Column, metric: str, template: str = wording.ISSUE_MESSAGE
-) -> Column:
-    value = F.col(metric)
-    text = F.format_string(template, F.lit(rule), F.col("cluster_id"), stable_round(value, 1))
-    return F.struct(
-        F.lit(number).alias("rule_no"),
-        F.lit(rule).alias("rule"),
-        severity.alias("severity"),
-        value.alias("value"),
-        text.alias("message"),
+from fleetlens.functions import rounded
+
+
+def _rule(number: int, rule: str, severity: str, value: str, template: str) -> str:
+    shown = f"format_string('{template}', '{rule}', cluster_id, {rounded(value, 1)})"
+    return (
+        f"named_struct('rule_no', {number}, 'rule', '{rule}', 'severity', {severity}, "
+        f"'value', {value}, 'message', {shown})"
     )
 
 
+def _graded(value: str, severe: float) -> str:
+    return f"upper(CASE WHEN {value} > {severe}D THEN 'High' ELSE 'Medium' END)"
+
+
 def _rules(limits: Thresholds) -> Column:
     """The issues of one row, as an array."""
-    cpu, memory = F.col("avg_cpu_utilization"), F.col("avg_memory_utilization")
-
-    def graded(value: Column, severe: float) -> Column:
-        return F.upper(F.when(value > severe, "High").otherwise("Medium"))
-
-    return F.array_compact(
-        F.array(
-            F.when(
-                cpu > limits.cpu_percent,
-                _rule(1, wording.HIGH_CPU, graded(cpu, limits.severe_cpu), "avg_cpu_utilization"),
-            ),
-            F.when(
-                memory > limits.memory_percent,
-                _rule(
-                    2,
-                    wording.HIGH_MEMORY,
-                    graded(memory, limits.severe_memory),
-                    "avg_memory_utilization",
-                ),
-            ),
-            F.when(
-                F.col("avg_cpu_wait") > limits.high_wait,
-                _rule(3, wording.HIGH_CPU_WAIT, F.lit("MEDIUM"), "avg_cpu_wait"),
-            ),
-            F.when(
-                cpu < limits.idle_cpu,
-                _rule(
-                    4,
-                    wording.UNDERUTILIZED,
-                    F.lit("LOW"),
-                    "avg_cpu_utilization",
-                    wording.UNDERUTILIZED_MESSAGE,
-                ),
-            ),
-        )
-    )
+    cpu, memory, wait = "avg_cpu_utilization", "avg_memory_utilization", "avg_cpu_wait"
+    text = wording.ISSUE_MESSAGE
+    rules = {
+        f"{cpu} > {limits.cpu_percent}D": _rule(
+            1, wording.HIGH_CPU, _graded(cpu, limits.severe_cpu), cpu, text
+        ),
+        f"{memory} > {limits.memory_percent}D": _rule(
+            2, wording.HIGH_MEMORY, _graded(memory, limits.severe_memory), memory, text
+        ),
+        f"{wait} > {limits.high_wait}D": _rule(3, wording.HIGH_CPU_WAIT, "'MEDIUM'", wait, text),
+        f"{cpu} < {limits.idle_cpu}D": _rule(
+            4, wording.UNDERUTILIZED, "'LOW'", cpu, wording.UNDERUTILIZED_MESSAGE
+        ),
+    }
+    cases = ", ".join(f"CASE WHEN {when} THEN {rule} END" for when, rule in rules.items())
+    return F.expr(f"array_compact(array({cases}))")
 
 
 def _issue_columns(rows: DataFrame, *extra: str) -> DataFrame:
-    return rows.select(
-        *extra,
-        "cluster_id",
-        "driver",
-        F.inline("issues"),
-    ).withColumn("issue", F.format_string(wording.ISSUE_TAG, "severity", "message"))
+    tagged = f"format_string('{wording.ISSUE_TAG}', severity, message) AS issue"
+    return rows.selectExpr(*extra, "cluster_id", "driver", "inline(issues)").selectExpr("*", tagged)
 
 
 def row_issues(
@@ -92,17 +66,16 @@ def performance_issues(
     """
     marked = utilization.select("cluster_id", "driver", _rules(limits).alias("issues"))
     found = _issue_columns(marked)
-    tally = marked.agg(
-        F.count(F.lit(1)).alias("n_rows"), F.sum(F.size("issues")).alias("n_issues")
-    )
-    remark = tally.filter(F.coalesce("n_issues", F.lit(0)) == 0).select(
-        F.lit(5).alias("rule_no"),
-        F.lit(wording.SEVERITIES[-1]).alias("severity"),
-        F.when(F.col("n_rows") == 0, wording.NO_ISSUE_DATA)
-        .otherwise(wording.NO_ISSUES)
-        .alias("message"),
+    tally = marked.agg(F.expr("count(1) AS n_rows"), F.expr("sum(size(issues)) AS n_issues"))
+    remark = (
+        tally.filter("coalesce(n_issues, 0) = 0")
+        .selectExpr(
+            "5 AS rule_no",
+            f"'{wording.SEVERITIES[-1]}' AS severity",
+            f"if(n_rows = 0, '{wording.NO_ISSUE_DATA}', '{wording.NO_ISSUES}') AS message",
+        )
+        .selectExpr("*", "message AS issue")
     )
-    remark = remark.withColumn("issue", F.col("message"))
     return found.unionByName(remark, allowMissingColumns=True)
 
 
@@ -120,32 +93,37 @@ def issues_by_severity(issues: DataFrame, ordered: bool = True) -> DataFrame:
 
 def _weighted(utilization: DataFrame, limits: Thresholds) -> DataFrame:
     """Per cluster: averages weighted by data points, and rows over the row limits."""
-    cpu, memory = F.col("avg_cpu_utilization"), F.col("avg_memory_utilization")
-    points = F.col("data_points")
+    cpu, memory = "avg_cpu_utilization", "avg_memory_utilization"
+    total = "sum(data_points)"
+    parts = {
+        "avg_cpu": f"try_divide(sum({cpu} * data_points), {total})",
+        "avg_memory": f"try_divide(sum({memory} * data_points), {total})",
+        "n_rows": "count(1)",
+        "n_idle": f"count_if({cpu} < {limits.downsize_cpu}D)",
+        "n_busy": f"count_if({cpu} > {limits.scale_up_cpu}D)",
+        "n_full": f"count_if({memory} > {limits.relieve_memory}D)",
+    }
     return (
         utilization.groupBy("cluster_id")
-        .agg(
-            F.try_divide(F.sum(cpu * points), F.sum(points)).alias("avg_cpu"),
-            F.try_divide(F.sum(memory * points), F.sum(points)).alias("avg_memory"),
-            F.count(F.lit(1)).alias("n_rows"),
-            F.count_if(cpu < limits.downsize_cpu).alias("n_idle"),
-            F.count_if(cpu > limits.scale_up_cpu).alias("n_busy"),
-            F.count_if(memory > limits.relieve_memory).alias("n_full"),
-        )
-        .withColumn("gap", F.abs(F.col("avg_cpu") - F.col("avg_memory")))
+        .agg(*[F.expr(f"{sql} AS {name}") for name, sql in parts.items()])
+        .selectExpr("*", "abs(avg_cpu - avg_memory) AS gap")
     )
 
 
+def _imbalanced(limits: Thresholds) -> str:
+    return f"cluster_id IS NOT NULL AND gap > {limits.imbalance_gap}D"
+
+
 def imbalanced_clusters(
     utilization: DataFrame, limits: Thresholds = Thresholds(), digits: int | None = None
 ) -> DataFrame:
     """Clusters whose weighted CPU and memory averages lie far apart."""
     return (
         _weighted(utilization, limits)
-        .filter(F.col("cluster_id").isNotNull() & (F.col("gap") > limits.imbalance_gap))
-        .select(
+        .filter(_imbalanced(limits))
+        .selectExpr(
             "cluster_id",
-            *[stable_round(F.col(c), digits).alias(c) for c in ("avg_cpu", "avg_memory", "gap")],
+            *[f"{rounded(name, digits)} AS {name}" for name in ("avg_cpu", "avg_memory", "gap")],
         )
     )
 
@@ -157,44 +135,35 @@ def recommendations(utilization: DataFrame, limits: Thresholds = Thresholds()) -
     driver) pairs; BALANCE counts clusters. One remark row if none applies.
     """
     totals = _weighted(utilization, limits).agg(
-        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
-        F.sum("n_idle").alias("n_idle"),
-        F.sum("n_busy").alias("n_busy"),
-        F.sum("n_full").alias("n_full"),
-        F.count_if(
-            F.col("cluster_id").isNotNull() & (F.col("gap") > limits.imbalance_gap)
-        ).alias("n_imbalanced"),
+        F.expr("coalesce(sum(n_rows), 0) AS n_rows"),
+        F.expr("sum(n_idle) AS n_idle"),
+        F.expr("sum(n_busy) AS n_busy"),
+        F.expr("sum(n_full) AS n_full"),
+        F.expr(f"count_if({_imbalanced(limits)}) AS n_imbalanced"),
     )
 
-    def advice(rank: int, count: str, template: str, *values: float) -> Column:
-        n = F.col(count)
-        return F.when(
-            n > 0,
-            F.struct(
-                F.lit(rank).alias("theme_rank"),
-                F.lit(wording.THEMES[rank - 1]).alias("theme"),
-                n.alias("n"),
-                F.format_string(template, n, *[F.lit(v) for v in values]).alias("message"),
-            ),
+    def advice(rank: int, n: str, message: str) -> str:
+        theme = wording.THEMES[rank - 1]
+        return (
+            f"named_struct('theme_rank', {rank}, 'theme', '{theme}', 'n', {n}, "
+            f"'message', {message})"
         )
 
-    applicable = F.array_compact(
-        F.array(
-            advice(1, "n_idle", wording.DOWNSIZE, limits.downsize_cpu),
-            advice(2, "n_busy", wording.SCALE_UP, limits.scale_up_cpu),
-            advice(3, "n_full", wording.RELIEVE_MEMORY, limits.relieve_memory),
-            advice(4, "n_imbalanced", wording.IMBALANCE),
-        )
-    )
-    remark = F.struct(
-        F.lit(len(wording.THEMES)).alias("theme_rank"),
-        F.lit(wording.THEMES[-1]).alias("theme"),
-        F.lit(None).cast("long").alias("n"),
-        F.when(F.col("n_rows") == 0, wording.NO_RECOMMENDATION_DATA)
-        .otherwise(wording.NO_RECOMMENDATIONS)
-        .alias("message"),
-    )
-    given = totals.withColumn("given", applicable)
-    return given.select(
-        F.inline(F.when(F.size("given") > 0, F.col("given")).otherwise(F.array(remark)))
+    def case(rank: int, n: str, template: str, *limit: float) -> str:
+        values = "".join(f", {value}D" for value in limit)
+        message = f"format_string('{template}', {n}{values})"
+        return f"CASE WHEN {n} > 0 THEN {advice(rank, n, message)} END"
+
+    cases = [
+        case(1, "n_idle", wording.DOWNSIZE, limits.downsize_cpu),
+        case(2, "n_busy", wording.SCALE_UP, limits.scale_up_cpu),
+        case(3, "n_full", wording.RELIEVE_MEMORY, limits.relieve_memory),
+        case(4, "n_imbalanced", wording.IMBALANCE),
+    ]
+    remark = advice(
+        len(wording.THEMES),
+        "CAST(NULL AS BIGINT)",
+        f"if(n_rows = 0, '{wording.NO_RECOMMENDATION_DATA}', '{wording.NO_RECOMMENDATIONS}')",
     )
+    given = totals.selectExpr("n_rows", f"array_compact(array({', '.join(cases)})) AS given")
+    return given.selectExpr(f"inline(if(size(given) > 0, given, array({remark})))")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from fleetlens import wording
 from fleetlens.config import TOP_ANOMALY_ROWS, Thresholds
 from fleetlens.functions import clamp_days, descending, minutes, rounded, stable_round
-from fleetlens.functions.time import clock
+from fleetlens.functions.time import clock_sql
 from fleetlens.operators import advise, clusters, detect, nodes, stats
 from fleetlens.operators.jobs import JOB_KEYS, failure_view, job_health, runtime_view
 from fleetlens.plans.bundles import cluster_bundle, job_bundle
@@ -36,42 +36,36 @@ DETAIL_COLUMNS = (*nodes.NODE_KEYS, "data_points", *nodes.ZERO_FIGURES)
 INFO_DAYS = 30
 
 
-def _figure(number: int, name: str, value: Column, template: str, shown: Column) -> Column:
-    """One key figure; absent (null) where the value is."""
-    return F.when(
-        value.isNotNull(),
-        F.struct(
-            F.lit(number).alias("metric_no"),
-            F.lit(name).alias("metric"),
-            value.cast("double").alias("value"),
-            F.format_string(template, shown).alias("text"),
-        ),
+def _figure(number: int, name: str, value: str, template: str) -> str:
+    """SQL of one key figure; null where the value is."""
+    return (
+        f"CASE WHEN {value} IS NOT NULL THEN named_struct('metric_no', {number}, "
+        f"'metric', '{name}', 'value', CAST({value} AS DOUBLE), "
+        f"'text', format_string('{template}', {value})) END"
     )
 
 
-def _figures(totals: DataFrame, *figures: Column) -> DataFrame:
-    return totals.select(F.inline(F.array_compact(F.array(*figures))))
+def _figures(totals: DataFrame, *figures: str) -> DataFrame:
+    return totals.selectExpr(f"inline(array_compact(array({', '.join(figures)})))")
 
 
-def _percent(number: int, name: str, column: str) -> Column:
-    value = stable_round(F.col(column))
-    return _figure(number, name, value, "%.2f%%", value)
+def _percent(number: int, name: str, column: str) -> str:
+    return _figure(number, name, rounded(column), "%.2f%%")
 
 
-def _count(number: int, name: str, column: str) -> Column:
-    value = F.col(column)
-    return _figure(number, name, value, "%d", value)
+def _count(number: int, name: str, column: str) -> str:
+    return _figure(number, name, column, "%d")
 
 
 def cluster_kpis(utilization: DataFrame) -> DataFrame:
     """Key figures over the rows of a utilisation table, each row with equal weight."""
     totals = utilization.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+        F.expr("nullif(count(1), 0) AS n_rows"),
         F.avg("avg_cpu_utilization").alias("avg_cpu"),
         F.max("peak_cpu_utilization").alias("peak_cpu"),
         F.avg("avg_memory_utilization").alias("avg_memory"),
         F.max("peak_memory_utilization").alias("peak_memory"),
-    ).filter(F.col("n_rows") > 0)
+    )
     return _figures(
         totals,
         _count(1, wording.KPI_CLUSTERS, "n_rows"),
@@ -112,11 +106,10 @@ def job_summary(health: DataFrame, utilization: DataFrame) -> DataFrame:
         F.avg("avg_cpu_utilization").alias("avg_cpu"),
         F.avg("avg_memory_utilization").alias("avg_memory"),
     )
-    duration = F.col("minutes")
     return _figures(
         jobs,
         _count(1, wording.JOBS_MONITORED, "n_jobs"),
-        _figure(2, wording.JOB_RUNTIME, duration, "%.2f minutes", duration),
+        _figure(2, wording.JOB_RUNTIME, "minutes", "%.2f minutes"),
         _percent(3, wording.JOB_SUCCESS, "success"),
         _count(4, wording.JOB_RUNS, "runs"),
         _count(5, wording.JOB_FAILURES, "failed"),
@@ -138,17 +131,15 @@ def cluster_monitor_summary(instances: DataFrame) -> DataFrame:
         F.count("avg_memory_utilization").alias("n_memory"),
     )
     totals = per_cluster.agg(
-        F.count(F.lit(1)).alias("n_groups"),
-        F.count("cluster_id").alias("n_clusters"),
-        stable_round(F.try_divide(F.sum("cpu"), F.sum("n_cpu")), 1).alias("avg_cpu"),
-        stable_round(F.try_divide(F.sum("memory"), F.sum("n_memory")), 1).alias("avg_memory"),
-    ).filter(F.col("n_groups") > 0)
-    cpu, memory = F.col("avg_cpu"), F.col("avg_memory")
+        F.expr("if(count(1) = 0, NULL, count(cluster_id)) AS n_clusters"),
+        F.expr(f"{rounded('try_divide(sum(cpu), sum(n_cpu))', 1)} AS avg_cpu"),
+        F.expr(f"{rounded('try_divide(sum(memory), sum(n_memory))', 1)} AS avg_memory"),
+    )
     return _figures(
         totals,
         _count(1, wording.CLUSTERS_MONITORED, "n_clusters"),
-        _figure(2, wording.FLEET_CPU, cpu, "%.1f%%", cpu),
-        _figure(3, wording.FLEET_MEMORY, memory, "%.1f%%", memory),
+        _figure(2, wording.FLEET_CPU, "avg_cpu", "%.1f%%"),
+        _figure(3, wording.FLEET_MEMORY, "avg_memory", "%.1f%%"),
     )
 
 
@@ -162,19 +153,21 @@ def _lines(df: DataFrame, section: str, ord: int | Column, rank: Column, line: C
     )
 
 
-def _fixed_lines(like: DataFrame, section: str, lines: dict[int, str | Column]) -> DataFrame:
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(section).alias("section"),
-                F.lit(ord).alias("ord"),
-                F.lit(0.0).alias("rank"),
-                (F.lit(line) if isinstance(line, str) else line).alias("line"),
-            )
-            for ord, line in lines.items()
-        ]
-    )
-    return like.sparkSession.range(1).select(F.inline(rows))
+def _fixed_lines(like: DataFrame, section: str, lines: dict[int, str]) -> DataFrame:
+    """Lines that no table feeds, given as SQL."""
+    rows = [
+        f"named_struct('section', '{section}', 'ord', {ord}, 'rank', 0.0D, 'line', {line})"
+        for ord, line in lines.items()
+    ]
+    return like.sparkSession.range(1).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _text(line: str) -> str:
+    return f"'{line}'"
+
+
+def _time(instant: str, form: str) -> str:
+    return f"date_format({instant}, '{form}')"
 
 
 def _header(
@@ -184,10 +177,10 @@ def _header(
         like,
         "header",
         {
-            1: f"# {title}",
-            2: F.concat(F.lit("Generated: "), F.date_format(clock(as_of), SECONDS_FORMAT)),
-            3: f"Period: Last {days} days",
-            4: f"## {summary_title}",
+            1: _text(f"# {title}"),
+            2: f"concat('Generated: ', {_time(clock_sql(as_of), SECONDS_FORMAT)})",
+            3: _text(f"Period: Last {days} days"),
+            4: _text(f"## {summary_title}"),
         },
     )
 
@@ -229,7 +222,7 @@ def job_report_lines(
     return _joined(
         _header(runtime, "Job Monitoring Report", days, as_of, "Summary Statistics"),
         _summary_lines(job_summary(health, utilization)),
-        _fixed_lines(runtime, "anomalies", {20: "## Detected Anomalies"}),
+        _fixed_lines(runtime, "anomalies", {20: _text("## Detected Anomalies")}),
         _anomaly_lines(
             runtime.filter(detect.runs_long(limits)),
             "anomalies",
@@ -275,7 +268,7 @@ def cluster_monitor_lines(
     return _joined(
         _header(instances, "Cluster Monitoring Report", days, as_of, "Cluster Summary"),
         _summary_lines(cluster_monitor_summary(instances)),
-        _fixed_lines(instances, "anomalies", {20: "## Detected Issues"}),
+        _fixed_lines(instances, "anomalies", {20: _text("## Detected Issues")}),
         _anomaly_lines(
             instances.filter(detect.is_idle(limits)),
             "anomalies",
@@ -303,39 +296,35 @@ def cluster_report_lines(
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
     """The cluster performance report over a (cluster, driver) utilisation table."""
-    now = clock(as_of)
-    start = now - F.make_dt_interval(F.lit(days))
+    now = clock_sql(as_of)
+    start = f"{now} - make_dt_interval({days})"
     header = _fixed_lines(
         utilization,
         "metadata",
         {
-            1: "# Cluster Performance Analysis Report",
-            2: "## Run Metadata",
-            3: F.concat(F.lit("- Generated: "), F.date_format(now, SECONDS_FORMAT)),
-            4: F.concat(
-                F.lit("- Time Window: "),
-                F.date_format(start, MINUTES_FORMAT),
-                F.lit(" to "),
-                F.date_format(now, MINUTES_FORMAT),
-            ),
-            5: f"- Analysis days: {days}",
-            6: f"- CPU threshold: {limits.cpu_percent:g}%",
-            7: f"- Memory threshold: {limits.memory_percent:g}%",
-            8: f"- Min datapoints: {min_points}",
-            10: "## Key Metrics",
-            12: "### Quantiles",
-            20: "## Top Consumers",
-            21: "### Top 10 by Average CPU Utilization",
-            23: "### Top 10 by Average Memory Utilization",
-            30: "## Performance Issues",
-            50: "## Recommendations",
-            70: "## Appendix: Queries",
-            71: (
+            1: _text("# Cluster Performance Analysis Report"),
+            2: _text("## Run Metadata"),
+            3: f"concat('- Generated: ', {_time(now, SECONDS_FORMAT)})",
+            4: f"concat('- Time Window: ', {_time(start, MINUTES_FORMAT)}, ' to ', "
+            f"{_time(now, MINUTES_FORMAT)})",
+            5: _text(f"- Analysis days: {days}"),
+            6: _text(f"- CPU threshold: {limits.cpu_percent:g}%"),
+            7: _text(f"- Memory threshold: {limits.memory_percent:g}%"),
+            8: _text(f"- Min datapoints: {min_points}"),
+            10: _text("## Key Metrics"),
+            12: _text("### Quantiles"),
+            20: _text("## Top Consumers"),
+            21: _text("### Top 10 by Average CPU Utilization"),
+            23: _text("### Top 10 by Average Memory Utilization"),
+            30: _text("## Performance Issues"),
+            50: _text("## Recommendations"),
+            70: _text("## Appendix: Queries"),
+            71: _text(
                 "- Utilization: node_timeline since midnight "
                 f"{days} days ago, grouped by cluster_id and driver, missing readings as 0, "
                 f"at least {min_points} readings per group"
             ),
-            72: (
+            72: _text(
                 "- Cluster info: distinct versions of clusters since midnight "
                 f"{INFO_DAYS} days ago, newest first"
             ),

@@ -35,3 +35,19 @@ def test_day_column_bounds_the_scan_without_changing_the_result(spark):
 @pytest.mark.parametrize("days, expected", [(-3, 1), (0, 1), (1, 1), (45, 45), (90, 90), (400, 90)])
 def test_clamp_days(days, expected):
     assert clamp_days(days) == expected
+
+
+def test_clock_is_wall_clock_time_of_the_session(spark):
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "America/New_York")
+    try:
+        df = spark.sql(
+            "SELECT TIMESTAMP '2024-01-08 00:00:00' AS at "
+            "UNION ALL SELECT TIMESTAMP '2024-01-07 23:59:59'"
+        )
+        assert calendar_lookback(df, "at", 7, AS_OF).count() == 1
+        exact = rolling_lookback(df, "at", 7, ts("2024-01-15 00:00:00-05:00"))
+        assert exact.count() == 0
+        assert rolling_lookback(df, "at", 7, ts("2024-01-15 04:59:59+00:00")).count() == 1
+    finally:
+        spark.conf.set(key, "UTC")
