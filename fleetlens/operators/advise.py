@@ -10,73 +10,86 @@ from fleetlens.config import Thresholds
 from fleetlens.functions import rounded
 
 
-def _rule(number: int, rule: str, severity: str, value: str, template: str) -> str:
-    shown = f"format_string('{template}', '{rule}', cluster_id, {rounded(value, 1)})"
-    return (
-        f"named_struct('rule_no', {number}, 'rule', '{rule}', 'severity', {severity}, "
-        f"'value', {value}, 'message', {shown})"
-    )
-
-
-def _graded(value: str, severe: float) -> str:
-    return f"upper(CASE WHEN {value} > {severe}D THEN 'High' ELSE 'Medium' END)"
+# Issue rules by number, in reporting order.
+RULES = {
+    1: wording.HIGH_CPU,
+    2: wording.HIGH_MEMORY,
+    3: wording.HIGH_CPU_WAIT,
+    4: wording.UNDERUTILIZED,
+}
 
 
-def _rules(limits: Thresholds) -> Column:
-    """The issues of one row, as an array."""
+def _broken(limits: Thresholds) -> dict[int, tuple[str, str]]:
+    """The condition of each rule and the figure it reports, as SQL."""
     cpu, memory, wait = "avg_cpu_utilization", "avg_memory_utilization", "avg_cpu_wait"
-    text = wording.ISSUE_MESSAGE
-    rules = {
-        f"{cpu} > {limits.cpu_percent}D": _rule(
-            1, wording.HIGH_CPU, _graded(cpu, limits.severe_cpu), cpu, text
-        ),
-        f"{memory} > {limits.memory_percent}D": _rule(
-            2, wording.HIGH_MEMORY, _graded(memory, limits.severe_memory), memory, text
-        ),
-        f"{wait} > {limits.high_wait}D": _rule(3, wording.HIGH_CPU_WAIT, "'MEDIUM'", wait, text),
-        f"{cpu} < {limits.idle_cpu}D": _rule(
-            4, wording.UNDERUTILIZED, "'LOW'", cpu, wording.UNDERUTILIZED_MESSAGE
-        ),
+    return {
+        1: (f"{cpu} > {limits.cpu_percent}D", cpu),
+        2: (f"{memory} > {limits.memory_percent}D", memory),
+        3: (f"{wait} > {limits.high_wait}D", wait),
+        4: (f"{cpu} < {limits.idle_cpu}D", cpu),
     }
-    cases = ", ".join(f"CASE WHEN {when} THEN {rule} END" for when, rule in rules.items())
-    return F.expr(f"array_compact(array({cases}))")
-
-
-def _issue_columns(rows: DataFrame, *extra: str) -> DataFrame:
-    tagged = f"format_string('{wording.ISSUE_TAG}', severity, message) AS issue"
-    return rows.selectExpr(*extra, "cluster_id", "driver", "inline(issues)").selectExpr("*", tagged)
 
 
 def row_issues(
     utilization: DataFrame, *extra: str, limits: Thresholds = Thresholds()
 ) -> DataFrame:
     """Issues of each row in a single pass. Works on streams; adds no closing remark."""
-    return _issue_columns(
-        utilization.select(*extra, "cluster_id", "driver", _rules(limits).alias("issues")), *extra
+    names = " ".join(f"WHEN {number} THEN '{name}'" for number, name in RULES.items())
+    checks = ", ".join(
+        f"{number}, CASE WHEN {condition} THEN {figure} END"
+        for number, (condition, figure) in _broken(limits).items()
+    )
+    value = rounded("value", 1)
+    return (
+        utilization.selectExpr(
+            *extra,
+            "cluster_id",
+            "driver",
+            f"stack({len(RULES)}, {checks}) AS (rule_no, value)",
+        )
+        .filter("value IS NOT NULL")
+        .selectExpr(
+            *extra,
+            "cluster_id",
+            "driver",
+            "rule_no",
+            f"CASE rule_no {names} END AS rule",
+            f"""CASE
+                WHEN rule_no = 1 AND value > {limits.severe_cpu}D THEN 'HIGH'
+                WHEN rule_no = 2 AND value > {limits.severe_memory}D THEN 'HIGH'
+                WHEN rule_no <= 3 THEN 'MEDIUM'
+                ELSE 'LOW' END AS severity""",
+            "value",
+        )
+        .selectExpr(
+            "*",
+            f"""CASE WHEN rule_no = 4
+                THEN format_string('{wording.UNDERUTILIZED_MESSAGE}', rule, cluster_id, {value})
+                ELSE format_string('{wording.ISSUE_MESSAGE}', rule, cluster_id, {value})
+                END AS message""",
+        )
+        .selectExpr("*", f"format_string('{wording.ISSUE_TAG}', severity, message) AS issue")
     )
 
 
-def performance_issues(
-    utilization: DataFrame, limits: Thresholds = Thresholds()
-) -> DataFrame:
+def performance_issues(utilization: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
     """All issues, or one remark row that there is no data or nothing to report.
 
     The remark comes from a one-row tally; Spark computes the utilisation under
     both branches once, because they share the same exchange.
     """
-    marked = utilization.select("cluster_id", "driver", _rules(limits).alias("issues"))
-    found = _issue_columns(marked)
-    tally = marked.agg(F.expr("count(1) AS n_rows"), F.expr("sum(size(issues)) AS n_issues"))
+    hits = " + ".join(f"count_if({condition})" for condition, _ in _broken(limits).values())
+    tally = utilization.agg(F.expr("count(1) AS n_rows"), F.expr(f"{hits} AS n_issues"))
     remark = (
-        tally.filter("coalesce(n_issues, 0) = 0")
+        tally.filter("n_issues = 0")
         .selectExpr(
-            "5 AS rule_no",
+            f"{len(RULES) + 1} AS rule_no",
             f"'{wording.SEVERITIES[-1]}' AS severity",
             f"if(n_rows = 0, '{wording.NO_ISSUE_DATA}', '{wording.NO_ISSUES}') AS message",
         )
         .selectExpr("*", "message AS issue")
     )
-    return found.unionByName(remark, allowMissingColumns=True)
+    return row_issues(utilization, limits=limits).unionByName(remark, allowMissingColumns=True)
 
 
 def severity_rank(severity: Column) -> Column:

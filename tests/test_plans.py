@@ -109,3 +109,21 @@ def test_no_python_workers_cross_joins_or_hints(spark, sf_dir, name):
     text = plan(QUERIES[name](spark, sf_dir))
     for operator in ("Python", "Pandas", "Arrow", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert operator not in text
+
+
+def test_tables_bucketed_by_job_are_not_shuffled(spark, sf_dir):
+    tables = bindings.tables(spark, sf_dir)
+    spark.sql("CREATE DATABASE IF NOT EXISTS bucketed")
+    for name in ("job_run_timeline", "jobs"):
+        writer = getattr(tables, name).write.mode("overwrite").format("parquet")
+        writer.bucketBy(8, "workspace_id", "job_id").saveAsTable(f"bucketed.{name}")
+    health = jobs.job_health(
+        spark.table("bucketed.job_run_timeline"),
+        spark.table("bucketed.jobs"),
+        bindings.JOB_DAYS,
+        bindings.JOB_AS_OF,
+    )
+    assert "Exchange hashpartitioning" not in plan(health)
+    runtime = jobs.runtime_view(health)
+    same = QUERIES["job_runtime_metrics"](spark, sf_dir)
+    assert runtime.exceptAll(same).count() == 0 and same.exceptAll(runtime).count() == 0
