@@ -226,8 +226,8 @@ STEPS = {
                     ELSE 'Normal' END AS efficiency_category
         FROM (SELECT cluster_id, avg({CPU}) AS cpu, avg(mem_used_percent) AS mem,
                      count(*) AS total_measurements,
-                     count(CASE WHEN {CPU} < 10 THEN 1 END) AS low_cpu_count,
-                     count(CASE WHEN mem_used_percent < 20 THEN 1 END) AS low_memory_count
+                     count(*) FILTER ({CPU} < 10) AS low_cpu_count,
+                     count(*) FILTER (mem_used_percent < 20) AS low_memory_count
               FROM node_timeline WHERE start_time >= {NODES_SINCE} GROUP BY cluster_id)""",
     "costs": f"""
         SELECT u.cluster_id, c.cluster_name, u.sku_name, u.usage_unit,
@@ -642,10 +642,8 @@ def _bodies() -> dict[str, str]:
                    {_percent("successful_runs", "total_runs")} AS success_rate_percent,
                    {_percent("failed_runs", "total_runs")} AS failure_rate_percent
             FROM (SELECT r.workspace_id, r.job_id, j.name AS job_name, count(*) AS total_runs,
-                         CAST(sum(CASE WHEN result_state = 'SUCCESS' THEN 1 ELSE 0 END) AS BIGINT)
-                             AS successful_runs,
-                         CAST(sum(CASE WHEN result_state IN {FAILED} THEN 1 ELSE 0 END) AS BIGINT)
-                             AS failed_runs
+                         count(*) FILTER (result_state = 'SUCCESS') AS successful_runs,
+                         count(*) FILTER (result_state IN {FAILED}) AS failed_runs
                   FROM job_run_timeline r LEFT JOIN latest_job j
                     ON r.workspace_id = j.workspace_id AND r.job_id = j.job_id
                   WHERE period_start_time > {SINCE_INSTANT}

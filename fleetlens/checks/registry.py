@@ -361,6 +361,7 @@ FAILED_RUNS_SQL = """
     SELECT job_id, count(DISTINCT run_id) AS failed_runs, max(period_end_time) AS last_end
     FROM {job_run_timeline}
     WHERE period_start_time >= date_sub(:as_of, :days)
+      AND period_date >= date_sub(:as_of, :days)
       AND result_state IN ('FAILED', 'TIMEOUT', 'CANCELLED')
     GROUP BY job_id
 """

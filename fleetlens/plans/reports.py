@@ -30,7 +30,6 @@ from fleetlens.sources.tables import Tables
 SECONDS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 MINUTES_FORMAT = "yyyy-MM-dd HH:mm"
 
-
 # Columns of the detailed table, and the look-back of cluster info.
 DETAIL_COLUMNS = (*nodes.NODE_KEYS, "data_points", *nodes.ZERO_FIGURES)
 INFO_DAYS = 30

@@ -72,9 +72,9 @@ def test_failures(slices, names):
         ),
         f"""SELECT s.workspace_id, s.job_id, coalesce(name, 'Job_' || s.job_id) AS job_name,
                    count(DISTINCT run_id) AS total_runs,
-                   count(DISTINCT CASE WHEN result_state = 'SUCCESS' THEN run_id END)
+                   count(DISTINCT run_id) FILTER (result_state = 'SUCCESS')
                        AS successful_runs,
-                   count(DISTINCT CASE WHEN result_state IN {FAILED} THEN run_id END) AS failed_runs
+                   count(DISTINCT run_id) FILTER (result_state IN {FAILED}) AS failed_runs
             FROM slices s LEFT JOIN names n
               ON s.workspace_id = n.workspace_id AND s.job_id = n.job_id
             WHERE period_start_time >= {SINCE} AND result_state IS NOT NULL
@@ -132,9 +132,9 @@ def test_activity(slices):
         jobs.recent_job_activity(slices, 7, AS_OF),
         f"""SELECT CAST(period_start_time AS DATE) AS job_date,
                    count(DISTINCT job_id) AS unique_jobs, count(DISTINCT run_id) AS total_runs,
-                   count(DISTINCT CASE WHEN result_state = 'SUCCESS' THEN run_id END)
+                   count(DISTINCT run_id) FILTER (result_state = 'SUCCESS')
                        AS successful_runs,
-                   count(DISTINCT CASE WHEN result_state IN {FAILED} THEN run_id END) AS failed_runs
+                   count(DISTINCT run_id) FILTER (result_state IN {FAILED}) AS failed_runs
             FROM slices WHERE period_start_time >= {SINCE} AND result_state IS NOT NULL
             GROUP BY 1""",
     )
