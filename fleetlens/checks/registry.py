@@ -271,7 +271,8 @@ def anomaly_inefficient(t: Tables) -> DataFrame:
 
 @_register
 def job_anomalies(t: Tables) -> DataFrame:
-    health = _health(t)
+    # Both kinds read the same aggregate, by different columns.
+    health = stage(_health(t), "job-health")
     runtime, failures = (
         view(health, ordered=False) for view in (jobs.runtime_view, jobs.failure_view)
     )
@@ -280,7 +281,13 @@ def job_anomalies(t: Tables) -> DataFrame:
 
 @_register
 def cluster_anomalies(t: Tables) -> DataFrame:
-    return detect.cluster_anomalies(_instances(t), _efficiency(t), LIMITS)
+    rollup = stage(nodes.node_rollup(t.node_timeline, NODE_DAYS, NODE_AS_OF), "node-rollup")
+    per_cluster = nodes.regroup(rollup, ["cluster_id"])
+    return detect.cluster_anomalies(
+        nodes.instance_view(rollup, t.clusters, CHECK_DIGITS, ordered=False),
+        nodes.efficiency_view(per_cluster, CHECK_DIGITS, LIMITS, ordered=False),
+        LIMITS,
+    )
 
 
 @_register

@@ -2,9 +2,9 @@
 
 Both filters compare the timestamp column with one folded literal of the
 column's own type, so that the predicate reaches the Parquet scan. A table that
-carries a calendar-day column, as date-partitioned fact tables do, gets the same
-bound on that column too: it prunes partitions, and it passes joins that a
-computed timestamp cannot.
+carries a calendar-day column, as date-partitioned fact tables do, gets a bound on
+that column too: it prunes partitions, and it passes joins that a computed
+timestamp cannot.
 """
 
 from __future__ import annotations
@@ -44,7 +44,10 @@ def clamp_days(days: int) -> int:
 
 
 def _bound_day(df: DataFrame, first_day: Column) -> DataFrame:
-    return df.filter(F.col(DAY_COLUMN) >= first_day) if DAY_COLUMN in df.columns else df
+    """Prune by day, with one day to spare for tables dated in another time zone."""
+    if DAY_COLUMN not in df.columns:
+        return df
+    return df.filter(F.col(DAY_COLUMN) >= F.date_sub(first_day, 1))
 
 
 def calendar_lookback(

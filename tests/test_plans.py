@@ -9,7 +9,9 @@ import pytest
 import __spark_entry__ as entry_points
 from fleetlens.checks import bindings
 from fleetlens.operators import jobs, nodes
+from fleetlens.session import prepare
 from fleetlens.sources import stage
+from pyspark.sql import functions as F
 
 QUERIES = entry_points.queries()
 
@@ -34,7 +36,7 @@ def test_lookback_reaches_the_scans(spark, sf_dir):
     assert "GreaterThanOrEqual(ts,2024-01-24T00:00)" in nodes_plan
     for name in ("job_runtime_metrics", "job_runtime_active"):
         jobs_plan = formatted(QUERIES[name](spark, sf_dir))
-        assert "GreaterThanOrEqual(o_orderdate,2000-08-01T00:00)" in jobs_plan
+        assert "GreaterThanOrEqual(o_orderdate,2000-07-31T00:00)" in jobs_plan
     costs_plan = formatted(QUERIES["cluster_costs"](spark, sf_dir))
     assert "GreaterThanOrEqual(ts,2024-01-24T00:00)" in costs_plan
 
@@ -127,3 +129,52 @@ def test_tables_bucketed_by_job_are_not_shuffled(spark, sf_dir):
     runtime = jobs.runtime_view(health)
     same = QUERIES["job_runtime_metrics"](spark, sf_dir)
     assert runtime.exceptAll(same).count() == 0 and same.exceptAll(runtime).count() == 0
+
+
+@pytest.fixture
+def tight_limits(spark):
+    """No broadcasts, and limits at which even the test tables count as skewed."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    # A third of the rows is skew only among many partitions.
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    for key in settings:
+        spark.conf.unset(key)
+
+
+def test_hot_keys_are_split_and_results_stay_whole(spark, sf_dir, duck, tight_limits):
+    """A third of the slices in one run, a third of the runs in one job."""
+    orders, lineitem, customer = (
+        spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in ("orders", "lineitem", "customer")
+    )
+    hot_job = "CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE o_custkey END"
+    hot_run = "CASE WHEN l_partkey % 3 = 0 THEN 77 ELSE l_orderkey END"
+    prepare(spark)
+    # Enough maps for the hot partition to be cut between them.
+    timeline = bindings.job_run_timeline(
+        orders.repartition(16).withColumn("o_custkey", F.expr(hot_job)),
+        lineitem.repartition(16).withColumn("l_orderkey", F.expr(hot_run)),
+        customer,
+    )
+    days = 4000
+    found = jobs.run_durations(timeline, days, bindings.JOB_AS_OF)
+    rows = sorted(tuple(row) for row in found.collect())
+    final = plan(found).split("== Initial Plan ==")[0]
+    assert final.count("SortMergeJoin(skew=true)") == 2
+    expected = duck.execute(f"""
+        SELECT c_nationkey, o_custkey, l_orderkey,
+               CAST(max((l_linenumber - 1) * 600 + CAST(l_quantity AS INTEGER) * 60)
+                    - min((l_linenumber - 1) * 600) AS BIGINT)
+        FROM (SELECT * REPLACE ({hot_run} AS l_orderkey) FROM lineitem)
+        JOIN (SELECT * REPLACE ({hot_job} AS o_custkey) FROM orders) ON l_orderkey = o_orderkey
+        JOIN customer ON o_custkey = c_custkey
+        GROUP BY ALL""").fetchall()
+    assert rows == sorted(expected)

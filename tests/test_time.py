@@ -37,6 +37,19 @@ def test_clamp_days(days, expected):
     assert clamp_days(days) == expected
 
 
+def test_day_column_of_another_time_zone_drops_nothing(spark):
+    key = "spark.sql.session.timeZone"
+    spark.conf.set(key, "Asia/Tokyo")
+    try:
+        # Midnight in Tokyo lies on the day before in UTC.
+        df = spark.sql(
+            "SELECT TIMESTAMP '2024-01-08 00:00:00' AS at, DATE '2024-01-07' AS period_date"
+        )
+        assert calendar_lookback(df, "at", 7, AS_OF).count() == 1
+    finally:
+        spark.conf.set(key, "UTC")
+
+
 def test_clock_is_wall_clock_time_of_the_session(spark):
     key = "spark.sql.session.timeZone"
     spark.conf.set(key, "America/New_York")
