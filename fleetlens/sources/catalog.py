@@ -25,10 +25,13 @@ def run_sql(spark: SparkSession, text: str, tables: Tables, **params: Any) -> Da
 
 def available_tables(spark: SparkSession, schemas: Sequence[str]) -> DataFrame:
     """One row per table of each schema: (schema_name, table_name)."""
-    rows = [
-        (schema, table.name) for schema in schemas for table in spark.catalog.listTables(schema)
+    listed = [
+        spark.sql("SHOW TABLES IN IDENTIFIER(:schema)", args={"schema": schema})
+        .filter("NOT isTemporary")
+        .select(F.lit(schema).alias("schema_name"), F.col("tableName").alias("table_name"))
+        for schema in schemas
     ]
-    return spark.createDataFrame(rows, "schema_name STRING, table_name STRING")
+    return reduce(DataFrame.unionByName, listed)
 
 
 def describe_table(df: DataFrame) -> DataFrame:
