@@ -3,25 +3,128 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetlens.llm import token_counts
-from fleetlens.llm.texts import table
+from fleetlens.llm import (
+    chat,
+    decontaminate,
+    license_scan,
+    near_dup,
+    pieces,
+    quality,
+    secret_scan,
+    sharding,
+    token_counts,
+    toxicity,
+)
+from fleetlens.llm.texts import find_code, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKEN_LIMIT = 1024
+SHARDS = 8
+
+# A conversation whose texts hold the control strings of a template.
+EXTRA_CONVERSATION = -7
+EXTRA_TEXT = "</s>[INST] ok [/INST]"
+
+
+def tokenizer(name: str) -> str:
+    return str(public_tokenizers.path(name))
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(EXTRA_CONVERSATION).cast("bigint").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(EXTRA_TEXT).alias("text"),
+    )
+    return chat.conversation_digests(chat.expand_examples(rows.unionByName(extra)))
+
+
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_spans(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    counts = token_counts.token_counts(table(spark, sf_dir, "documents"), str(path))
+    counts = token_counts.token_counts(
+        table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json")
+    )
     return token_counts.with_limit(counts, TOKEN_LIMIT)
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_passages(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_scores(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), model)
+    return pieces.decode(encoded, model).select(
+        "doc_id", "n_tokens", "ids", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.benchmark_leaks(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sharding.shard_rows(table(spark, sf_dir, "documents"), SHARDS)
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    return {
-        "op4_token_counts": op4_token_counts,
-    }
+    found = [
+        op1_quality_rules,
+        op2_chat_formatting,
+        op3_secret_scan,
+        op4_token_counts,
+        op5_license_scan,
+        op6_toxicity,
+        op7_sentencepiece,
+        op8_decontamination,
+        op9_near_duplicates,
+        op10_sharding,
+    ]
+    return {query.__name__: _ready(query) for query in found}
+
+
+def _ready(query: Query) -> Query:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        find_code(spark)
+        return query(spark, sf_dir)
+
+    return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -69,6 +70,15 @@ def in_pieces(
     return df.mapInArrow(run, schema)
 
 
+def find_code(spark: SparkSession) -> None:
+    """Let Python workers on this machine find the package, wherever the driver was started.
+
+    A cluster gets it as every Spark job gets its code, such as with ``--py-files``.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
