@@ -21,7 +21,9 @@ class ToxicityRules:
 
     ``positives`` and ``unlabelled`` bound the texts that the classifier is fitted on;
     those whose hashed ids come first are taken. ``folds`` and ``held_out`` name the
-    rows that training never sees: those whose checksum of the id leaves that rest.
+    rows that training never sees: those whose checksum of the id leaves that rest. A
+    feature is used if ``least_seen`` positives have it and their number lies more than
+    ``least_excess`` standard deviations above what its share of unlabelled texts gives.
     """
 
     features: int = 1 << 18
@@ -29,9 +31,11 @@ class ToxicityRules:
     unlabelled: int = 6_000
     folds: int = 5
     held_out: int = 0
+    least_seen: int = 5
+    least_excess: float = 4.0
     epochs: int = 30
     batch: int = 400
-    step: float = 0.02
+    step: float = 0.05
     decay: float = 1e-3
     seed: int = 7
 
@@ -46,11 +50,35 @@ def features(text: str, size: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LinearModel:
+    """Weights of the chosen features (sorted) and a bias."""
+
+    chosen: np.ndarray
     weights: np.ndarray
     bias: float
 
     def logit(self, found: np.ndarray) -> float:
-        return float(self.weights[found].sum(dtype=np.float64)) + self.bias
+        return float(self.weights[_places(found, self.chosen)].sum()) + self.bias
+
+
+def _places(found: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places in ``chosen`` of the features that it has."""
+    if not len(chosen):
+        return np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(chosen, found), len(chosen) - 1)
+    return at[chosen[at] == found]
+
+
+def choose_features(
+    positive: list[np.ndarray], unlabelled: list[np.ndarray], rules: ToxicityRules
+) -> np.ndarray:
+    """Features that positives have clearly more often than unlabelled texts."""
+    seen_p, seen_u = (
+        np.bincount(np.concatenate(sets), minlength=rules.features) for sets in (positive, unlabelled)
+    )
+    share = (seen_u + 0.5) / (len(unlabelled) + 1)
+    expected = share * len(positive)
+    excess = (seen_p - expected) / np.sqrt(expected * np.maximum(1 - share, 1e-6))
+    return np.flatnonzero((seen_p >= rules.least_seen) & (excess > rules.least_excess))
 
 
 def _sums(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -73,7 +101,10 @@ def train_non_negative_pu(
     against it, which keeps the model from fitting unlabelled texts as negatives.
     """
     rng = np.random.default_rng(rules.seed)
-    weights = np.zeros(rules.features + 1)
+    chosen = choose_features(positive, unlabelled, rules)
+    positive = [_places(found, chosen) for found in positive]
+    unlabelled = [_places(found, chosen) for found in unlabelled]
+    weights = np.zeros(len(chosen) + 1)
     weights[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     n_steps = max(1, -(-len(unlabelled) // rules.batch))
@@ -101,14 +132,14 @@ def train_non_negative_pu(
             else:
                 pull[:n_p] = prior * of_p / n_p
                 pull[n_p:] = -of_u / n_u
-            slope = np.bincount(index, np.repeat(pull, sizes), rules.features + 1)
+            slope = np.bincount(index, np.repeat(pull, sizes), len(weights))
             slope += rules.decay * weights / n_steps
             slope[-1] = pull.sum()
             t += 1
             first = 0.9 * first + 0.1 * slope
             second = 0.999 * second + 0.001 * slope**2
             weights -= rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
-    return LinearModel(weights[:-1].astype(np.float32), float(weights[-1]))
+    return LinearModel(chosen, weights[:-1], float(weights[-1]))
 
 
 def _fold(rules: ToxicityRules):
