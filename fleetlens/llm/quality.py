@@ -31,8 +31,9 @@ class QualityRules:
     ``gram`` is the length of the n-grams in bytes of UTF-8, ``buckets`` the size
     of both multinomials (a power of two, which bounds all that is broadcast) and
     ``trusted_docs`` the most trusted texts that the target is fitted on.
-    ``smoothing`` is added to each bucket, and texts whose mean log ratio per
-    n-gram is below ``min_ratio`` are rejected.
+    ``smoothing`` is added to the count that each bucket has in the target and to the
+    one that the raw multinomial lets expect there, so rare n-grams say little. Texts
+    whose mean log ratio per n-gram is below ``min_ratio`` are rejected.
     """
 
     gram: int = 3
@@ -111,7 +112,7 @@ def _bucket_counts(docs: DataFrame, rules: QualityRules) -> DataFrame:
 def log_ratios(
     docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()
 ) -> np.ndarray | None:
-    """log(p_target / p_raw) of each bucket; None if no trusted text is found.
+    """Smoothed log(p_target / p_raw) of each bucket; None if no trusted text is found.
 
     The raw multinomial counts every text. The target counts trusted texts, of
     which at most ``trusted_docs`` are used: those whose hashed ids come first. One
@@ -134,8 +135,9 @@ def log_ratios(
         counts[:, bucket] = raw, target
     if not counts[1].any():
         return None
-    raw, target = counts + rules.smoothing
-    return np.log(target / target.sum()) - np.log(raw / raw.sum())
+    raw, target = counts
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + rules.smoothing) - np.log(expected + rules.smoothing)
 
 
 def quality_rules(

@@ -1,0 +1,62 @@
+from __future__ import annotations
+
+import zlib
+from collections import Counter
+
+import pytest
+
+from fleetlens.llm import sharding
+
+
+def placed(rows):
+    return {(r["doc_id"], r["text_crc32"]): r["shard"] for r in rows}
+
+
+def test_counts_are_level_and_slots_gapless(docs_of, sample):
+    pairs = [(i, t) for i, t in sample.items()] + [(-1, None), (-2, ""), (-3, "x" * 100_000), (None, "n")]
+    pairs += [(5000, "same")] * 40
+    rows = sharding.shard_rows(docs_of(*pairs, extra=True), 8).collect()
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows) == Counter(
+        (i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs
+    )
+    counts = Counter(r["shard"] for r in rows)
+    assert set(counts) == set(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    for shard, n in counts.items():
+        assert sorted(r["slot"] for r in rows if r["shard"] == shard) == list(range(n))
+
+
+def test_a_further_shard_moves_few_rows(docs_of):
+    docs = docs_of(*((i, f"text {i}") for i in range(4000)))
+    before, after = (placed(sharding.shard_rows(docs, n).collect()) for n in (8, 9))
+    moved = sum(before[k] != after[k] for k in before)
+    assert moved / len(before) < 0.5  # a plain remainder moves eight in nine
+
+
+@pytest.mark.parametrize("n", [0, 1, 7, 8, 9, 1000])
+def test_plan_equals_row_by_row(n):
+    """Each row of a ring taken one by one in turns gives the same loads and ranks."""
+    counts = {cell * 37 % sharding.CELLS: n // 5 + (cell < n % 5) for cell in range(5)}
+    counts = {c: k for c, k in counts.items() if k}
+    nodes, loads = sharding.ring(3), sharding.capacities(n, 3)
+    steps = dict(sharding.plan(counts, nodes, loads))
+    slots = {s: [] for s in range(3)}
+    for cell, k in counts.items():
+        ranks = []
+        for a, b, shard, slot in steps[cell]:
+            ranks += range(a, b)
+            slots[shard] += range(slot, slot + b - a)
+        assert sorted(ranks) == list(range(k))
+    assert [len(v) for v in slots.values()] == loads
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_rows_stay_with_their_own_shard_while_it_has_room():
+    nodes = [(10, 0), (20, 1), (30, 0), (40, 1)]
+    steps = dict(sharding.plan({5: 4, 15: 2, 50: 1}, nodes, [4, 3]))
+    assert steps[15] == [(0, 2, 1, 0)]
+    assert steps[5] == [(0, 4, 0, 0)]
+    assert steps[50] == [(0, 1, 1, 2)]  # behind the last node the ring starts anew; shard 0 is full
+
+
+def test_empty_table(docs_of):
+    assert sharding.shard_rows(docs_of(), 8).count() == 0
