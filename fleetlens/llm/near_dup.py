@@ -265,3 +265,14 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
         component.alias("component_id"),
         F.coalesce(component == F.col("doc_id"), component.isNull()).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> DataFrame:
+    """One row of each group, with all its columns: of the row whose id is the group's smallest.
+
+    Rows without words are kept, as are rows with a null id. Repeated rows with the kept
+    id all stay: an id names one document.
+    """
+    found = near_duplicates(docs, rules).filter("NOT kept")
+    gone, n = stage_counted(found.select(F.col("doc_id").alias("gone_id")).distinct(), "near-dup-gone")
+    return docs.join(small(gone, n), F.col("doc_id") == F.col("gone_id"), "left_anti")

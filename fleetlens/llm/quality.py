@@ -140,6 +140,34 @@ def log_ratios(
     return np.log(target + rules.smoothing) - np.log(expected + rules.smoothing)
 
 
+def _weights(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> np.ndarray:
+    ratios = log_ratios(docs, trusted, rules)
+    return np.zeros(rules.buckets, np.float32) if ratios is None else ratios.astype(np.float32)
+
+
+def _verdicts(batch: pa.RecordBatch, weights: np.ndarray, rules: QualityRules) -> pa.RecordBatch:
+    figures, scores = [], []
+    for text in batch.column("text").to_pylist():
+        encoded = (text or "").encode()
+        figures.append(_figures(encoded))
+        grams = _grams(encoded, rules)
+        scores.append(float(weights[grams].mean(dtype=np.float64)) if len(grams) else 0.0)
+    columns = np.array(figures, np.int64).reshape(-1, 5)
+    n_words, repeated = columns[:, 0], columns[:, 4]
+    failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
+    score = np.array(scores)
+    return pa.RecordBatch.from_arrays(
+        [
+            batch.column("doc_id"),
+            *(pa.array(column) for column in columns.T),
+            pa.array(failed),
+            pa.array(score),
+            pa.array(~failed & (score >= rules.min_ratio)),
+        ],
+        names=["doc_id", *_NAMES, "base_failed", "score", "kept"],
+    )
+
+
 def quality_rules(
     docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()
 ) -> DataFrame:
@@ -154,30 +182,10 @@ def quality_rules(
     no trusted text the score is 0 and only the base rules decide. Repeated rows
     each give a row.
     """
-    ratios = log_ratios(docs, trusted, rules)
-    weights = np.zeros(rules.buckets, np.float32) if ratios is None else ratios.astype(np.float32)
+    weights = _weights(docs, trusted, rules)
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        figures, scores = [], []
-        for text in batch.column("text").to_pylist():
-            encoded = (text or "").encode()
-            figures.append(_figures(encoded))
-            grams = _grams(encoded, rules)
-            scores.append(float(weights[grams].mean(dtype=np.float64)) if len(grams) else 0.0)
-        columns = np.array(figures, np.int64).reshape(-1, 5)
-        n_words, repeated = columns[:, 0], columns[:, 4]
-        failed = (n_words < MIN_WORDS) | (100 * repeated > MAX_REPEAT_PERCENT * n_words)
-        score = np.array(scores)
-        return pa.RecordBatch.from_arrays(
-            [
-                batch.column("doc_id"),
-                *(pa.array(column) for column in columns.T),
-                pa.array(failed),
-                pa.array(score),
-                pa.array(~failed & (score >= rules.min_ratio)),
-            ],
-            names=["doc_id", *_NAMES, "base_failed", "score", "kept"],
-        )
+        return _verdicts(batch, weights, rules)
 
     schema = f"doc_id BIGINT, {_BASE}, base_failed BOOLEAN, score DOUBLE, kept BOOLEAN"
     columns = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
@@ -187,3 +195,13 @@ def quality_rules(
 def trusted_ids(labels: DataFrame) -> DataFrame:
     """Ids of the documents that the labels call good."""
     return labels.filter("quality = 1").select("doc_id")
+
+
+def accepted(docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
+    """The rows that are kept, with all their columns. The verdict is a function of the text."""
+    weights = _weights(docs, trusted, rules)
+
+    def choose(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(_verdicts(batch, weights, rules).column("kept"))
+
+    return in_pieces(docs, choose, docs.schema)
