@@ -1,0 +1,58 @@
+from __future__ import annotations
+
+import re
+
+from fleetlens.llm import license_scan
+from fleetlens.llm.license_scan import TEMPLATES
+
+
+def runs(text):
+    found = re.findall(r"[^\W_]+", (text or "").lower())
+    return [tuple(found[i : i + 3]) for i in range(len(found) - 2)]
+
+
+def brute(docs):
+    """{(doc, license): containment} around every window that shares a shingle."""
+    result = {}
+    for doc, text in docs:
+        have = runs(text)
+        for name, template in TEMPLATES:
+            target = runs(template)
+            for start in range(0, len(have), 4):
+                if set(have[start : start + 6]) & set(target):
+                    low = max(0, start - len(target))
+                    around = set(have[low : low + 2 * len(target) + 6])
+                    share = len(around & set(target)) / len(set(target))
+                    if share >= 0.8:
+                        result[doc, name] = max(share, result.get((doc, name), 0))
+    return result
+
+
+def found(docs):
+    rows = license_scan.license_passages(docs).collect()
+    assert len(rows) == len({(r["doc_id"], r["license"]) for r in rows})
+    return {(r["doc_id"], r["license"]): r["containment"] for r in rows}
+
+
+def test_templates_at_any_place(docs_of):
+    filler = " ".join(f"f{i}" for i in range(97))
+    docs = [
+        (100 * k + shift, " ".join(filler.split()[:shift]) + "\n" + text.upper() + " " + filler)
+        for k, (_, text) in enumerate(TEMPLATES)
+        for shift in range(5)
+    ]
+    docs += [(-1, None), (-2, ""), (-3, "under the"), (-4, filler * 300), (-5, TEMPLATES[2][1][:120])]
+    got = found(docs_of(*docs, extra=True))
+    assert got == brute(docs)
+    assert {doc for doc, _ in got} == {doc for doc, _ in docs if doc >= 0}
+
+
+def test_sample_equals_brute_force(docs_of, sample):
+    pairs = list(sample.items())
+    got = found(docs_of(*pairs))
+    assert got == brute(pairs)
+    assert len(got) > 10
+
+
+def test_empty_table(docs_of):
+    assert found(docs_of()) == {}
