@@ -11,7 +11,7 @@ from functools import cache, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.functions.time import DAY_COLUMN
+from fleetlens.functions import DayColumn
 from fleetlens.session import prepare
 from fleetlens.sources.tables import Tables
 
@@ -22,6 +22,9 @@ NODE_AS_OF = datetime(2024, 1, 31, 13)
 NODE_DAYS = 7
 INFO_DAYS = 30
 
+# Calendar day of a slice, by which look-backs prune.
+DAY_COLUMN = "period_date"
+
 
 def job_run_timeline(orders: DataFrame, lineitem: DataFrame, customer: DataFrame) -> DataFrame:
     """One slice per line item; a run is an order, a job is a customer.
@@ -143,4 +146,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Tables:
             "node_types": lambda: node_types(raw("part")),
             "billing_usage": lambda: billing_usage(raw("events")),
         },
+        day_columns={"job_run_timeline": DayColumn(DAY_COLUMN, complete=True)},
     )

@@ -170,7 +170,7 @@ STEPS = {
           ON r.workspace_id = j.workspace_id AND r.job_id = j.job_id
         WHERE period_start_time >= {SINCE_DAY} AND result_state IS NOT NULL
         GROUP BY r.workspace_id, r.job_id, j.name""",
-    "top20": f"""
+    "busy_groups": f"""
         SELECT cluster_id, driver, count(*) AS data_points,
                {_r(f"avg({CPU})")} AS avg_cpu_utilization,
                {_r(f"max({CPU})")} AS peak_cpu_utilization,
@@ -181,8 +181,8 @@ STEPS = {
                {_r(f"avg(network_received_bytes) / {MB}")} AS avg_network_mb_received_per_minute,
                {_r(f"avg(network_sent_bytes) / {MB}")} AS avg_network_mb_sent_per_minute
         FROM node_timeline WHERE start_time >= {NODES_SINCE}
-        GROUP BY cluster_id, driver HAVING count(*) > 5
-        {BY_CPU}, cluster_id, driver LIMIT 20""",
+        GROUP BY cluster_id, driver HAVING count(*) > 5""",
+    "top20": f"SELECT * FROM busy_groups {BY_CPU}, cluster_id, driver LIMIT 20",
     "utilization": f"""
         SELECT cluster_id, driver, count(*) AS data_points,
                {_r(f"avg({CPU0})")} AS avg_cpu_utilization,
@@ -215,6 +215,18 @@ STEPS = {
         WHERE t.start_time >= {NODES_SINCE}
         GROUP BY t.cluster_id, c.cluster_name, c.driver_node_type_id, c.node_type_id, t.driver,
                  t.instance_id""",
+    "instance_means": f"""
+        SELECT t.cluster_id, c.cluster_name, t.driver, t.instance_id,
+               avg({CPU}) AS avg_cpu_utilization, avg(mem_used_percent) AS avg_memory_utilization
+        FROM node_timeline t LEFT JOIN latest_cluster c ON t.cluster_id = c.cluster_id
+        WHERE t.start_time >= {NODES_SINCE}
+        GROUP BY t.cluster_id, c.cluster_name, t.driver, t.instance_id""",
+    "cluster_means": f"""
+        SELECT cluster_id, avg({CPU}) AS cpu, avg(mem_used_percent) AS mem,
+               count(*) AS total_measurements, count(*) FILTER ({CPU} < 10) AS low_cpu_count,
+               count(*) FILTER ({CPU} < 30) AS cpu_below_30,
+               count(*) FILTER (mem_used_percent < 20) AS low_memory_count
+        FROM node_timeline WHERE start_time >= {NODES_SINCE} GROUP BY cluster_id""",
     "efficiency": f"""
         SELECT cluster_id, {_r("cpu", 4)} AS avg_cpu_utilization,
                {_r("mem", 4)} AS avg_memory_utilization, total_measurements, low_cpu_count,
@@ -224,11 +236,7 @@ STEPS = {
                CASE WHEN cpu < 20 AND mem < 30 THEN 'Underutilized'
                     WHEN cpu > 80 OR mem > 85 THEN 'High Utilization'
                     ELSE 'Normal' END AS efficiency_category
-        FROM (SELECT cluster_id, avg({CPU}) AS cpu, avg(mem_used_percent) AS mem,
-                     count(*) AS total_measurements,
-                     count(*) FILTER ({CPU} < 10) AS low_cpu_count,
-                     count(*) FILTER (mem_used_percent < 20) AS low_memory_count
-              FROM node_timeline WHERE start_time >= {NODES_SINCE} GROUP BY cluster_id)""",
+        FROM cluster_means""",
     "costs": f"""
         SELECT u.cluster_id, c.cluster_name, u.sku_name, u.usage_unit,
                CAST(u.total_usage AS DOUBLE) AS total_usage, u.usage_records,
@@ -250,15 +258,16 @@ STEPS = {
     "underutilized": f"""
         SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
                {_r("avg_memory_utilization")} AS avg_memory_utilization
-        FROM instances WHERE avg_cpu_utilization < 20 AND avg_memory_utilization < 30""",
+        FROM instance_means WHERE avg_cpu_utilization < 20 AND avg_memory_utilization < 30""",
     "overutilized": f"""
         SELECT cluster_id, cluster_name, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
                {_r("avg_memory_utilization")} AS avg_memory_utilization
-        FROM instances WHERE avg_cpu_utilization > 85 OR avg_memory_utilization > 90""",
+        FROM instance_means WHERE avg_cpu_utilization > 85 OR avg_memory_utilization > 90""",
     "inefficient": f"""
-        SELECT cluster_id, {_r("avg_cpu_utilization")} AS avg_cpu_utilization,
-               low_cpu_percent, low_memory_percent
-        FROM efficiency WHERE efficiency_category = 'Underutilized'""",
+        SELECT cluster_id, {_r("cpu")} AS avg_cpu_utilization,
+               {_percent("low_cpu_count", "total_measurements")} AS low_cpu_percent,
+               {_percent("low_memory_count", "total_measurements")} AS low_memory_percent
+        FROM cluster_means WHERE cpu < 20 AND mem < 30""",
     "found_issues": _found_issues("utilization", "cluster_id, driver"),
     "issues": f"""
         {_worded_issues("found_issues")}
@@ -344,18 +353,22 @@ STEPS = {
               UNION ALL SELECT 6, 'Average CPU Utilization',
                      {_r("avg(avg_cpu_utilization)")} FROM top20
               UNION ALL SELECT 7, 'Average Memory Utilization',
-                     {_r("avg(avg_memory_utilization)")} FROM top20)
+                     {_r("avg(avg_memory_utilization)")} FROM top20
+              UNION ALL SELECT 8, 'Average CPU Utilization (all groups)',
+                     {_r("avg(avg_cpu_utilization)")} FROM busy_groups
+              UNION ALL SELECT 9, 'Average Memory Utilization (all groups)',
+                     {_r("avg(avg_memory_utilization)")} FROM busy_groups)
         WHERE value IS NOT NULL""",
     "monitor_figures": f"""
         SELECT metric_no, metric, value,
                CASE WHEN metric_no = 1 THEN CAST(CAST(value AS BIGINT) AS VARCHAR)
                     ELSE printf('%.1f%%', value) END AS text
         FROM (SELECT 1 AS metric_no, 'Total Clusters Monitored' AS metric,
-                     CAST(count(DISTINCT cluster_id) AS DOUBLE) AS value FROM instances
+                     CAST(count(DISTINCT cluster_id) AS DOUBLE) AS value FROM instance_means
               UNION ALL SELECT 2, 'Average CPU Utilization',
-                     {_r("avg(avg_cpu_utilization)", 1)} FROM instances
+                     {_r("avg(avg_cpu_utilization)", 1)} FROM instance_means
               UNION ALL SELECT 3, 'Average Memory Utilization',
-                     {_r("avg(avg_memory_utilization)", 1)} FROM instances)""",
+                     {_r("avg(avg_memory_utilization)", 1)} FROM instance_means)""",
     "bundle_counts": """
         SELECT 'cluster_utilization' AS table_name, count(*) AS n_records FROM instances
         UNION ALL SELECT 'node_types', count(*) FROM node_types
@@ -377,7 +390,7 @@ STEPS = {
         FROM node_timeline
         WHERE date_trunc('day', start_time) + to_days(1)
               <= (SELECT max(start_time) - to_hours(2) FROM node_timeline)
-        GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5""",
+        GROUP BY 1, 2, 3, 4""",
     "window_issues": _found_issues("windows", "window_start, window_end, cluster_id, driver"),
 }
 
@@ -481,13 +494,23 @@ def _job_report() -> str:
             "'- **' || job_name || '** (ID: ' || job_id || '): ' || "
             "CAST(failure_rate_percent AS VARCHAR) || '% failure rate'",
         )
+        + _fixed("details", {40: "## Details"})
+        + [
+            _rows_of("job_health", "runtime", 41, 365),
+            _rows_of("cluster_utilization", "busy_groups", 42, 365),
+        ]
     )
 
 
+def _rows_of(name: str, table: str, ord: int, days: int) -> str:
+    text = f"'- {name}: ' || count(*) || ' rows since midnight {days} days ago'"
+    return _line("details", str(ord), "0", text, f"FROM {table}")
+
+
 def _monitor_report() -> str:
     order = f"{BY_CPU.removeprefix('ORDER BY ')}, cluster_id, driver, instance_id"
     line = (
-        "'- **' || coalesce(cluster_name, 'null') || '**: CPU ' || "
+        "'- **' || coalesce(cluster_name, cluster_id) || '**: CPU ' || "
         f"CAST({_r('avg_cpu_utilization')} AS VARCHAR) || '%, Memory ' || "
         f"CAST({_r('avg_memory_utilization')} AS VARCHAR) || '%'"
     )
@@ -512,7 +535,7 @@ def _monitor_report() -> str:
         ]
         + _fixed("anomalies", {20: "## Detected Issues"})
         + _first_hits(
-            "instances",
+            "instance_means",
             "avg_cpu_utilization < 20 AND avg_memory_utilization < 30",
             order,
             21,
@@ -520,7 +543,7 @@ def _monitor_report() -> str:
             line,
         )
         + _first_hits(
-            "instances",
+            "instance_means",
             "avg_cpu_utilization > 85 OR avg_memory_utilization > 90",
             order,
             31,
@@ -557,6 +580,7 @@ def _cluster_report() -> str:
                 "cluster_id and driver, missing readings as 0, at least 5 readings per group",
                 72: "- Cluster info: distinct versions of clusters since midnight 30 days ago, "
                 "newest first",
+                73: "## Appendix: Details",
             },
         )
         + [
@@ -582,6 +606,7 @@ def _cluster_report() -> str:
             ),
             _line("recommendations", "50 + theme_rank * 2", "0", "'### ' || theme", "FROM advice"),
             _line("recommendations", "51 + theme_rank * 2", "0", "'- ' || message", "FROM advice"),
+            _rows_of("cluster_utilization", "utilization", 74, 7),
         ]
     )
 
@@ -681,6 +706,28 @@ def _bodies() -> dict[str, str]:
             FROM node_timeline WHERE start_time >= {NODES_SINCE} GROUP BY cluster_id, driver""",
         "cluster_instance_utilization": "SELECT * FROM instances",
         "cluster_efficiency": "SELECT * FROM efficiency",
+        "cluster_efficiency_limits": f"""
+            SELECT cluster_id, {_r("cpu", 4)} AS avg_cpu_utilization,
+                   {_r("mem", 4)} AS avg_memory_utilization, total_measurements,
+                   cpu_below_30 AS low_cpu_count, low_memory_count,
+                   {_percent("cpu_below_30", "total_measurements")} AS low_cpu_percent,
+                   {_percent("low_memory_count", "total_measurements")} AS low_memory_percent,
+                   CASE WHEN cpu < 70 AND mem < 70 THEN 'Underutilized'
+                        WHEN cpu > 80 OR mem > 85 THEN 'High Utilization'
+                        ELSE 'Normal' END AS efficiency_category
+            FROM cluster_means""",
+        "cluster_report_details": "SELECT * FROM utilization",
+        "reading_percentiles": _union(
+            [
+                f"""SELECT '{label}' AS metric,
+                   {_r(f"quantile_cont({column}, 0.5)", 4)} AS p50,
+                   {_r(f"quantile_cont({column}, 0.9)", 4)} AS p90,
+                   {_r(f"quantile_cont({column}, 0.95)", 4)} AS p95,
+                   {_r(f"quantile_cont({column}, 0.99)", 4)} AS p99
+                FROM node_timeline"""
+                for label, column in (("cpu", CPU), ("memory", "mem_used_percent"))
+            ]
+        ),
         "cluster_basic_info": f"""
             SELECT DISTINCT cluster_id, cluster_name, cluster_source, change_time
             FROM clusters WHERE change_time >= {INFO_SINCE}""",
@@ -734,7 +781,7 @@ def _bodies() -> dict[str, str]:
         "availability": _union(
             [
                 f"SELECT '{name}' AS table_name, true AS present, {width} AS n_columns, "
-                f"count(*) AS n_rows FROM {name}"
+                f"count(*) > 0 AS has_rows, count(*) AS n_rows FROM {name}"
                 for name, width in WIDTHS.items()
             ]
         ),

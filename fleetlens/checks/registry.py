@@ -25,13 +25,14 @@ from fleetlens.functions import (
     calendar_lookback,
     format_duration,
     rolling_lookback,
+    stable_round,
     threshold_level,
 )
 from fleetlens.operators import advise, clusters, detect, jobs, nodes, stats, versions
 from fleetlens.plans import reports
 from fleetlens.plans.bundles import cluster_bundle
 from fleetlens.sources import catalog
-from fleetlens.sources.sinks import shared_folder, stage
+from fleetlens.sources.sinks import shared_folder
 from fleetlens.sources.tables import Tables
 from fleetlens.streaming import (
     read_timeline,
@@ -155,15 +156,16 @@ def _zero(t: Tables, ordered: bool = False) -> DataFrame:
     return nodes.cluster_utilization(t.node_timeline, NODE_DAYS, NODE_AS_OF, ordered=ordered)
 
 
-def _instances(t: Tables, ordered: bool = False) -> DataFrame:
+# Rules look at unrounded figures; only tables that are results themselves are rounded.
+def _instances(t: Tables, digits: int | None = None, ordered: bool = False) -> DataFrame:
     return nodes.cluster_instance_utilization(
-        t.node_timeline, t.clusters, NODE_DAYS, NODE_AS_OF, CHECK_DIGITS, ordered
+        t.node_timeline, t.clusters, NODE_DAYS, NODE_AS_OF, digits, ordered
     )
 
 
-def _efficiency(t: Tables, ordered: bool = False) -> DataFrame:
+def _efficiency(t: Tables, digits: int | None = None, ordered: bool = False) -> DataFrame:
     return nodes.cluster_efficiency(
-        t.node_timeline, NODE_DAYS, NODE_AS_OF, CHECK_DIGITS, LIMITS, ordered
+        t.node_timeline, NODE_DAYS, NODE_AS_OF, digits, LIMITS, ordered
     )
 
 
@@ -184,12 +186,33 @@ def cluster_utilization_raw(t: Tables) -> DataFrame:
 
 @_register
 def cluster_instance_utilization(t: Tables) -> DataFrame:
-    return _instances(t, ordered=True)
+    return _instances(t, CHECK_DIGITS, ordered=True)
 
 
 @_register
 def cluster_efficiency(t: Tables) -> DataFrame:
-    return _efficiency(t, ordered=True)
+    return _efficiency(t, CHECK_DIGITS, ordered=True)
+
+
+@_register
+def cluster_efficiency_limits(t: Tables) -> DataFrame:
+    limits = Thresholds(efficient_cpu_floor=70, efficient_memory_floor=70, low_cpu_reading=30)
+    view = cluster_bundle(t, NODE_DAYS, NODE_AS_OF, limits=limits)["efficiency_metrics"]
+    means = ("avg_cpu_utilization", "avg_memory_utilization")
+    return view.withColumns({name: stable_round(F.col(name), CHECK_DIGITS) for name in means})
+
+
+@_register
+def reading_percentiles(t: Tables) -> DataFrame:
+    cpu = F.col("cpu_user_percent") + F.col("cpu_system_percent")
+    readings = t.node_timeline.select(cpu.alias("cpu"), "mem_used_percent")
+    columns = {"cpu": "cpu", "memory": "mem_used_percent"}
+    return stats.quantiles(readings, columns, digits=CHECK_DIGITS)
+
+
+@_register
+def cluster_report_details(t: Tables) -> DataFrame:
+    return stats.present_columns(_zero(t), (*reports.DETAIL_COLUMNS, "not_there"))
 
 
 @_register
@@ -271,21 +294,16 @@ def anomaly_inefficient(t: Tables) -> DataFrame:
 
 @_register
 def job_anomalies(t: Tables) -> DataFrame:
-    # Both kinds read the same aggregate, by different columns.
-    health = stage(_health(t), "job-health")
-    runtime, failures = (
-        view(health, ordered=False) for view in (jobs.runtime_view, jobs.failure_view)
-    )
-    return _doubles(detect.job_anomalies(runtime, failures, LIMITS), "failed_runs", "total_runs")
+    return _doubles(detect.job_anomalies(_health(t), LIMITS), "failed_runs", "total_runs")
 
 
 @_register
 def cluster_anomalies(t: Tables) -> DataFrame:
-    rollup = stage(nodes.node_rollup(t.node_timeline, NODE_DAYS, NODE_AS_OF), "node-rollup")
+    rollup = nodes.node_rollup(t.node_timeline, NODE_DAYS, NODE_AS_OF, limits=LIMITS)
     per_cluster = nodes.regroup(rollup, ["cluster_id"])
     return detect.cluster_anomalies(
-        nodes.instance_view(rollup, t.clusters, CHECK_DIGITS, ordered=False),
-        nodes.efficiency_view(per_cluster, CHECK_DIGITS, LIMITS, ordered=False),
+        nodes.instance_view(rollup, t.clusters, ordered=False),
+        nodes.efficiency_view(per_cluster, limits=LIMITS, ordered=False),
         LIMITS,
     )
 
@@ -325,36 +343,31 @@ def cluster_quantiles(t: Tables) -> DataFrame:
 
 @_register
 def job_report_summary(t: Tables) -> DataFrame:
-    return reports.job_summary(_health(t), cluster_utilization_top20(t))
+    return reports.job_summary(_health(t), _groups(t))
+
+
+def _groups(t: Tables) -> DataFrame:
+    return nodes.cluster_utilization_top(t.node_timeline, NODE_DAYS, NODE_AS_OF, limit=None)
 
 
 @_register
 def job_report_lines(t: Tables) -> DataFrame:
-    health = stage(_health(t), "job-health")
-    top = cluster_utilization_top20(t)
-    return reports.job_report_lines(health, top, JOB_DAYS, JOB_AS_OF, LIMITS)
+    return reports.job_report_lines(_health(t), _groups(t), JOB_DAYS, JOB_AS_OF, LIMITS)
 
 
 @_register
 def cluster_monitor_summary(t: Tables) -> DataFrame:
-    # The key figures need no descriptions, so the roll-up is enough.
-    rollup = nodes.node_rollup(t.node_timeline, NODE_DAYS, NODE_AS_OF)
-    figures = ["avg_cpu_utilization", "avg_memory_utilization"]
-    return reports.cluster_monitor_summary(
-        nodes.utilization_view(rollup, figures, digits=CHECK_DIGITS)
-    )
+    return reports.cluster_monitor_summary(_instances(t))
 
 
 @_register
 def cluster_monitor_lines(t: Tables) -> DataFrame:
-    instances = stage(_instances(t), "instance-utilization")
-    return reports.cluster_monitor_lines(instances, NODE_DAYS, NODE_AS_OF, LIMITS)
+    return reports.cluster_monitor_lines(_instances(t), NODE_DAYS, NODE_AS_OF, LIMITS)
 
 
 @_register
 def cluster_report_lines(t: Tables) -> DataFrame:
-    utilization = stage(_zero(t), "cluster-utilization")
-    return reports.cluster_report_lines(utilization, NODE_DAYS, NODE_AS_OF, limits=LIMITS)
+    return reports.cluster_report_lines(_zero(t), NODE_DAYS, NODE_AS_OF, limits=LIMITS)
 
 
 @_register
@@ -383,7 +396,7 @@ def sql_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def availability(t: Tables) -> DataFrame:
-    return catalog.availability(t)
+    return catalog.availability(t, count_rows=True)
 
 
 # Streaming
@@ -400,7 +413,7 @@ def _completed(stream: DataFrame, name: str) -> DataFrame:
     spark = stream.sparkSession
     folder = shared_folder(spark, name)
     run_available(stream, f"{folder}/out", f"{folder}/checkpoint")
-    written = spark.read.schema(stream.schema).parquet(f"{folder}/out")
+    written = spark.read.schema(stream.schema).parquet(f"{folder}/out").select(stream.columns)
     bounds = ("window_start", "window_end")
     return written.withColumns({c: F.col(c).cast("timestamp_ntz") for c in bounds})
 

@@ -163,7 +163,7 @@ def recommendations(utilization: DataFrame, limits: Thresholds = Thresholds()) -
         )
 
     def case(rank: int, n: str, template: str, *limit: float) -> str:
-        values = "".join(f", {value}D" for value in limit)
+        values = "".join(f", '{value:g}'" for value in limit)
         message = f"format_string('{template}', {n}{values})"
         return f"CASE WHEN {n} > 0 THEN {advice(rank, n, message)} END"
 

@@ -6,8 +6,6 @@ NaN pass no condition.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -87,31 +85,73 @@ def inefficient_clusters(efficiency: DataFrame) -> DataFrame:
     )
 
 
-def _collected(kinds: dict[str, DataFrame]) -> DataFrame:
-    tagged = [df.select(F.lit(kind).alias("kind"), "*") for kind, df in kinds.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
-
-
-def job_anomalies(
-    runtime: DataFrame, failures: DataFrame, limits: Thresholds = Thresholds()
+def _hits(
+    df: DataFrame, kinds: dict[str, Column], columns: dict[str, tuple[Column, str, tuple]]
 ) -> DataFrame:
-    """All job anomalies as one table with a ``kind``; columns of other kinds are null."""
-    return _collected(
+    """A row for each kind whose condition a row meets, from one pass.
+
+    ``columns`` gives a figure, its type and the kinds that report it; others get null.
+    """
+    structs = [
+        F.when(
+            condition,
+            F.struct(
+                F.lit(kind).alias("kind"),
+                *(
+                    (value if kind in of else F.lit(None).cast(value_type)).alias(name)
+                    for name, (value, value_type, of) in columns.items()
+                ),
+            ),
+        )
+        for kind, condition in kinds.items()
+    ]
+    return df.select(F.inline(F.array_compact(F.array(*structs))))
+
+
+def job_anomalies(health: DataFrame, limits: Thresholds = Thresholds()) -> DataFrame:
+    """All anomalies of ``jobs.job_health`` as one table with a ``kind``.
+
+    Columns of the other kind are null. Both rules look at the same row, so the
+    health of jobs is computed once.
+    """
+    long, failing = wording.LONG_RUNNING_JOBS, wording.HIGH_FAILURE_RATES
+    both = (long, failing)
+    types = dict(health.dtypes)
+    return _hits(
+        health,
+        {long: runs_long(limits), failing: (F.col("finished_runs") > 0) & fails_often(limits)},
         {
-            wording.LONG_RUNNING_JOBS: long_running_jobs(runtime, limits),
-            wording.HIGH_FAILURE_RATES: high_failure_rates(failures, limits),
-        }
+            "job_id": (F.col("job_id"), types["job_id"], both),
+            "job_name": (F.col("job_name"), "string", both),
+            "avg_duration_minutes": (minutes(F.col("avg_duration_seconds")), "double", (long,)),
+            "max_duration_minutes": (minutes(F.col("max_duration_seconds")), "double", (long,)),
+            "failure_rate_percent": (F.col("failure_rate_percent"), "double", (failing,)),
+            "failed_runs": (F.col("failed_runs"), "bigint", (failing,)),
+            "total_runs": (F.col("finished_runs"), "bigint", (failing,)),
+        },
     )
 
 
 def cluster_anomalies(
     instances: DataFrame, efficiency: DataFrame, limits: Thresholds = Thresholds()
 ) -> DataFrame:
-    """All cluster anomalies as one table with a ``kind``."""
-    return _collected(
+    """All cluster anomalies as one table with a ``kind``; instances are read once."""
+    idle, overloaded = wording.UNDERUTILIZED_CLUSTERS, wording.OVERUTILIZED_CLUSTERS
+    both = (idle, overloaded)
+    types = dict(instances.dtypes)
+    of_instances = _hits(
+        instances,
+        {idle: is_idle(limits), overloaded: is_overloaded(limits)},
         {
-            wording.UNDERUTILIZED_CLUSTERS: underutilized_clusters(instances, limits),
-            wording.OVERUTILIZED_CLUSTERS: overutilized_clusters(instances, limits),
-            wording.INEFFICIENT_CLUSTERS: inefficient_clusters(efficiency),
-        }
+            "cluster_id": (F.col("cluster_id"), types["cluster_id"], both),
+            "cluster_name": (F.col("cluster_name"), "string", both),
+            **{
+                name: (stable_round(F.col(name)), "double", both)
+                for name in ("avg_cpu_utilization", "avg_memory_utilization")
+            },
+        },
+    )
+    of_clusters = inefficient_clusters(efficiency).select(
+        F.lit(wording.INEFFICIENT_CLUSTERS).alias("kind"), "*"
     )
+    return of_instances.unionByName(of_clusters, allowMissingColumns=True)

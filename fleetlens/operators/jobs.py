@@ -264,16 +264,19 @@ def simple_job_data(
 ) -> DataFrame:
     """Distinct runs and active days, first start and last end of the busiest jobs.
 
-    Two grouping sets stand in for the two distinct counts: each slice becomes
-    one (job, run) and one (job, day) row that merge before the shuffle.
+    Slices collapse to a row per run and day. Two grouping sets then stand in for the
+    two distinct counts: each such row becomes one (job, run) and one (job, day) row
+    that merge before the shuffle.
     """
-    slices = calendar_lookback(timeline, "period_start_time", days, as_of).select(
-        *RUN_KEYS, "period_start_time", "period_end_time", F.to_date("period_start_time").alias("day")
+    run_days = (
+        calendar_lookback(timeline, "period_start_time", days, as_of)
+        .groupBy(*RUN_KEYS, F.to_date("period_start_time").alias("day"))
+        .agg(F.min("period_start_time").alias("first"), F.max("period_end_time").alias("last"))
     )
-    merged = slices.groupingSets([(*RUN_KEYS,), (*JOB_KEYS, "day")], *RUN_KEYS, "day").agg(
+    merged = run_days.groupingSets([(*RUN_KEYS,), (*JOB_KEYS, "day")], *RUN_KEYS, "day").agg(
         F.expr("grouping(day) = 1 AS by_run"),
-        F.min("period_start_time").alias("first_run"),
-        F.max("period_end_time").alias("last_run"),
+        F.min("first").alias("first_run"),
+        F.max("last").alias("last_run"),
     )
     per_job = merged.groupBy(*JOB_KEYS).agg(
         F.expr("count(run_id) FILTER (WHERE by_run) AS total_runs"),
@@ -290,10 +293,11 @@ def recent_job_activity(
 ) -> DataFrame:
     """Distinct jobs and runs per calendar day, and how many runs succeeded or failed.
 
-    Ids are counted without their workspace. One grouping set for jobs and one
-    for runs spread a busy day over all tasks before the count per day.
+    Ids are counted without their workspace. Slices collapse to a row per day, job and
+    run. One grouping set for jobs and one for runs then spread a busy day over all
+    tasks before the count per day.
     """
-    slices = (
+    day_runs = (
         calendar_lookback(timeline, "period_start_time", days, as_of)
         .filter("result_state IS NOT NULL")
         .selectExpr(
@@ -303,8 +307,10 @@ def recent_job_activity(
             f"{SUCCEEDED} AS succeeded",
             f"{FAILED} AS failed",
         )
+        .groupBy("job_date", "job_id", "run_id")
+        .agg(F.max("succeeded").alias("succeeded"), F.max("failed").alias("failed"))
     )
-    merged = slices.groupingSets(
+    merged = day_runs.groupingSets(
         [("job_date", "job_id"), ("job_date", "run_id")], "job_date", "job_id", "run_id"
     ).agg(
         F.expr("grouping(job_id) = 1 AS by_run"),

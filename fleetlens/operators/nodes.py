@@ -179,12 +179,13 @@ def cluster_utilization_top(
     days: int = 1,
     as_of: datetime | None = None,
     min_points: int = 6,
-    limit: int = TOP_UTILIZATION_ROWS,
+    limit: int | None = TOP_UTILIZATION_ROWS,
 ) -> DataFrame:
-    """The busiest (cluster, driver) groups; missing readings are skipped."""
+    """The busiest (cluster, driver) groups, or all; missing readings are skipped."""
     rollup = node_rollup(timeline, days, as_of, by=NODE_KEYS)
     view = utilization_view(rollup, SKIP_FIGURES, min_points)
-    return by_cpu(view, *NODE_KEYS).limit(limit)
+    busiest = by_cpu(view, *NODE_KEYS)
+    return busiest if limit is None else busiest.limit(limit)
 
 
 def cluster_utilization(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.config import TOP_CONSUMER_ROWS
@@ -16,6 +16,15 @@ STANDARD_FRACTIONS = (0.5, 0.9, 0.95, 0.99)
 REPORT_FRACTIONS = (0.5, 0.75, 0.9, 0.95)
 
 
+# Number of the range that a value lies in, in the order of values: 256 ranges
+# between a number and its double, NaN last. Logarithms keep the order.
+VALUE_RANGE = """CASE
+    WHEN isnan(value) THEN 1000000
+    WHEN abs(value) = double('infinity') THEN 999999 * CAST(sign(value) AS INT)
+    WHEN value = 0 THEN 0
+    ELSE CAST(sign(value) AS INT) * (300000 + CAST(floor(log2(abs(value)) * 256) AS INT)) END"""
+
+
 def _label(fraction: float) -> str:
     return f"p{round(fraction * 100)}"
 
@@ -29,9 +38,9 @@ def quantiles(
     """Exact interpolated quantiles, nulls left out: one row per column.
 
     ``columns`` maps a label to a column. Equal values are counted first, in
-    parallel, and the quantile takes the counts as weights. It then holds the
-    distinct values only: whole seconds or percentages of two decimals in the
-    tables this is used on.
+    parallel. The counts then go to narrow value ranges, whose totals tell which
+    ranges hold the wanted ranks; only those are sorted. No task holds all distinct
+    values.
     """
     values = F.array(
         *[
@@ -45,15 +54,59 @@ def quantiles(
         .groupBy("metric", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    found = counted.groupBy("metric").agg(
-        F.percentile("value", list(fractions), F.col("n")).alias("q")
+    ranged = counted.withColumn("range", F.expr(VALUE_RANGE))
+    by_metric = Window.partitionBy("metric")
+    up_to = by_metric.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = (
+        ranged.groupBy("metric", "range")
+        .agg(F.sum("n").alias("n_range"))
+        .withColumn("behind", F.sum("n_range").over(up_to))
+        .withColumn("total", F.sum("n_range").over(by_metric))
+    )
+    # Ranks count from 0; a value holds those from last - n + 1 to last.
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("i"),
+                F.lit(float(fraction)).alias("fraction"),
+                (F.lit(float(fraction)) * (F.col("total") - 1)).alias("place"),
+            )
+            for i, fraction in enumerate(fractions)
+        ]
+    )
+    touched = (F.col("first") <= F.ceil("place")) & (F.floor("place") <= F.col("last"))
+    ranges = (
+        totals.select(
+            "metric",
+            "range",
+            (F.col("behind") - F.col("n_range")).alias("first"),
+            (F.col("behind") - 1).alias("last"),
+            F.inline(wanted),
+        )
+        .filter(touched)
+        .select("metric", "range", "i", "place", F.col("first").alias("before"))
     )
-    return found.select(
+    in_range = Window.partitionBy("metric", "range").orderBy("value")
+    needed = ranged.join(ranges.select("metric", "range").distinct(), ["metric", "range"], "left_semi")
+    ranked = needed.withColumn("upto", F.sum("n").over(in_range)).join(ranges, ["metric", "range"])
+    hits = ranked.select(
         "metric",
+        "value",
+        "i",
+        "place",
+        (F.col("before") + F.col("upto") - F.col("n")).alias("first"),
+        (F.col("before") + F.col("upto") - 1).alias("last"),
+    ).filter(touched)
+    ends = hits.groupBy("metric", "i").agg(
+        F.min("value").alias("low"), F.max("value").alias("high"), F.first("place").alias("place")
+    )
+    step = F.col("place") - F.floor("place")
+    exact = ends.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * step)
+    return exact.groupBy("metric").agg(
         *[
-            stable_round(F.col("q")[i], digits).alias(_label(fraction))
+            stable_round(F.max(F.when(F.col("i") == i, F.col("q"))), digits).alias(_label(fraction))
             for i, fraction in enumerate(fractions)
-        ],
+        ]
     )
 
 

@@ -10,7 +10,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from fleetlens.functions import clamp_days
+from fleetlens.config import Thresholds
+from fleetlens.functions import checked_days
 from fleetlens.operators import clusters, jobs, nodes
 from fleetlens.sources.tables import Tables
 
@@ -39,18 +40,21 @@ def cluster_bundle(
     days: int = 7,
     as_of: datetime | None = None,
     rollup: DataFrame | None = None,
+    limits: Thresholds = Thresholds(),
 ) -> dict[str, DataFrame]:
-    """Instance utilisation, node types, efficiency and costs for one clamped look-back.
+    """Instance utilisation, node types, efficiency and costs for one look-back.
 
     Utilisation and efficiency come from ``nodes.node_rollup`` per instance.
     """
-    days = clamp_days(days)
+    checked_days(days)
     if rollup is None:
-        rollup = nodes.node_rollup(tables.node_timeline, days, as_of)
+        rollup = nodes.node_rollup(tables.node_timeline, days, as_of, limits=limits)
     return {
         "cluster_utilization": nodes.instance_view(rollup, tables.clusters),
         "node_types": clusters.node_types(tables.node_types),
-        "efficiency_metrics": nodes.efficiency_view(nodes.regroup(rollup, ["cluster_id"])),
+        "efficiency_metrics": nodes.efficiency_view(
+            nodes.regroup(rollup, ["cluster_id"]), limits=limits
+        ),
         "cost_analysis": clusters.cluster_costs(
             tables.billing_usage, tables.clusters, days, as_of
         ),

@@ -4,8 +4,9 @@ Lines are rows (section, ord, rank, line): ``ord`` is the fixed place of a block
 in the report and ``rank`` the order inside the block, so a report of any length
 sorts in parallel. Full result tables are written as Parquet next to the text.
 
-A report reads its metric tables several times. The ``write_*`` functions stage
-the aggregates behind them first, so that the input is scanned once.
+A report reads its metric tables several times. The ``write_*`` functions write
+those tables to their place first and build the lines from what they have written,
+so that the input is scanned once. They raise if a fact table is unbound or empty.
 """
 
 from __future__ import annotations
@@ -17,13 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens import wording
-from fleetlens.config import TOP_ANOMALY_ROWS, Thresholds
-from fleetlens.functions import clamp_days, descending, minutes, rounded, stable_round
+from fleetlens.config import TOP_ANOMALY_ROWS, TOP_UTILIZATION_ROWS, Thresholds
+from fleetlens.functions import checked_days, descending, minutes, rounded, stable_round
 from fleetlens.functions.time import clock_sql
 from fleetlens.operators import advise, clusters, detect, nodes, stats
 from fleetlens.operators.jobs import JOB_KEYS, failure_view, job_health, runtime_view
-from fleetlens.plans.bundles import cluster_bundle, job_bundle
-from fleetlens.sources.sinks import stage, write_report, write_table
+from fleetlens.plans.bundles import cluster_bundle
+from fleetlens.sources.catalog import require_rows
+from fleetlens.sources.sinks import write_report, write_table
 from fleetlens.sources.tables import Tables
 
 # Time formats of the report headers.
@@ -91,8 +93,10 @@ def cluster_quantiles(utilization: DataFrame) -> DataFrame:
 def job_summary(health: DataFrame, utilization: DataFrame) -> DataFrame:
     """Key figures of the job report: (metric_no, metric, value, text).
 
-    Averages are plain means over jobs and over node groups. Figures of an empty
-    table are left out.
+    ``utilization`` holds all node groups. The first two fleet averages are over the
+    ``TOP_UTILIZATION_ROWS`` busiest of them, as such reports show them, and so lie
+    above those over all groups, which follow. Averages are plain means over jobs
+    and groups. Figures of an empty table are left out.
     """
     jobs = health.agg(
         F.expr("nullif(count(1), 0) AS n_jobs"),
@@ -101,10 +105,11 @@ def job_summary(health: DataFrame, utilization: DataFrame) -> DataFrame:
         F.expr("sum(finished_runs) FILTER (WHERE finished_runs > 0) AS runs"),
         F.expr("sum(failed_runs) FILTER (WHERE finished_runs > 0) AS failed"),
     )
-    fleet = utilization.agg(
+    means = [
         F.avg("avg_cpu_utilization").alias("avg_cpu"),
         F.avg("avg_memory_utilization").alias("avg_memory"),
-    )
+    ]
+    busiest = nodes.by_cpu(utilization, *nodes.NODE_KEYS).limit(TOP_UTILIZATION_ROWS)
     return _figures(
         jobs,
         _count(1, wording.JOBS_MONITORED, "n_jobs"),
@@ -114,10 +119,16 @@ def job_summary(health: DataFrame, utilization: DataFrame) -> DataFrame:
         _count(5, wording.JOB_FAILURES, "failed"),
     ).unionByName(
         _figures(
-            fleet,
+            busiest.agg(*means),
             _percent(6, wording.FLEET_CPU, "avg_cpu"),
             _percent(7, wording.FLEET_MEMORY, "avg_memory"),
         )
+    ).unionByName(
+        _figures(
+            utilization.agg(*means),
+            _percent(8, wording.ALL_CPU, "avg_cpu"),
+            _percent(9, wording.ALL_MEMORY, "avg_memory"),
+        )
     )
 
 
@@ -211,10 +222,11 @@ def job_report_lines(
     as_of: datetime | None = None,
     limits: Thresholds = Thresholds(),
 ) -> DataFrame:
-    """The job report: header, key figures and the first anomalies of each kind.
+    """The job report: header, key figures, the first anomalies of each kind, details.
 
-    ``health`` is read several times and should be staged.
+    ``utilization`` holds all node groups. Both tables are read several times.
     """
+    since = f"midnight {days} days ago"
     runtime = runtime_view(health, ordered=False)
     failures = failure_view(health, ordered=False)
     average_minutes = minutes(F.col("avg_duration_seconds")).cast("string")
@@ -243,9 +255,19 @@ def job_report_lines(
                 F.col("failure_rate_percent").cast("string"),
             ),
         ),
+        _fixed_lines(runtime, "details", {40: _text("## Details")}),
+        _detail_lines(health, "job_health", 41, since),
+        _detail_lines(utilization, "cluster_utilization", 42, since),
     )
 
 
+def _detail_lines(df: DataFrame, table: str, ord: int, since: str) -> DataFrame:
+    """A pointer to a table written next to the report."""
+    counted = df.agg(F.count(F.lit(1)).alias("n"))
+    text = F.format_string(f"- {table}: %d rows since {since}", "n")
+    return _lines(counted, "details", ord, F.lit(0), text)
+
+
 def _job_id() -> Column:
     return F.col("job_id").cast("string")
 
@@ -259,7 +281,7 @@ def cluster_monitor_lines(
     """The cluster monitor report: key figures and the first instances out of range."""
     line = F.format_string(
         "- **%s**: CPU %s%%, Memory %s%%",
-        "cluster_name",
+        F.coalesce("cluster_name", F.col("cluster_id").cast("string")),
         stable_round(F.col("avg_cpu_utilization")).cast("string"),
         stable_round(F.col("avg_memory_utilization")).cast("string"),
     )
@@ -293,6 +315,7 @@ def cluster_report_lines(
     as_of: datetime | None = None,
     min_points: int = 5,
     limits: Thresholds = Thresholds(),
+    info_days: int = INFO_DAYS,
 ) -> DataFrame:
     """The cluster performance report over a (cluster, driver) utilisation table."""
     now = clock_sql(as_of)
@@ -325,8 +348,9 @@ def cluster_report_lines(
             ),
             72: _text(
                 "- Cluster info: distinct versions of clusters since midnight "
-                f"{INFO_DAYS} days ago, newest first"
+                f"{info_days} days ago, newest first"
             ),
+            73: _text("## Appendix: Details"),
         },
     )
     kpis = cluster_kpis(utilization)
@@ -371,6 +395,7 @@ def cluster_report_lines(
         _lines(
             given, "recommendations", theme_block + 1, F.lit(0), F.format_string("- %s", "message")
         ),
+        _detail_lines(utilization, "cluster_utilization", 74, f"midnight {days} days ago"),
     )
 
 
@@ -393,12 +418,20 @@ def write_job_report(
     as_of: datetime | None = None,
     limits: Thresholds = Thresholds(),
 ) -> None:
-    """Write ``report`` (text) and the three metric tables (Parquet) below ``path``."""
-    health = stage(job_health(tables.job_run_timeline, tables.jobs, days, as_of), "job-health")
-    bundle = job_bundle(tables, days, as_of, health)
-    top = stage(bundle["cluster_utilization"], "cluster-utilization")
-    lines = job_report_lines(health, top, days, as_of, limits)
-    _write(lines, {**bundle, "cluster_utilization": top}, path)
+    """Write ``report`` (text) and its tables (Parquet) below ``path``.
+
+    ``job_health`` and ``cluster_utilization`` (all groups) come from the input;
+    ``runtime_metrics``, ``failure_analysis`` and the lines from ``job_health``.
+    """
+    checked_days(days)
+    require_rows(tables, "job_run_timeline", "node_timeline")
+    health = job_health(tables.job_run_timeline, tables.jobs, days, as_of)
+    health = _written(health, f"{path}/job_health")
+    groups = nodes.cluster_utilization_top(tables.node_timeline, days, as_of, limit=None)
+    groups = _written(groups, f"{path}/cluster_utilization")
+    write_table(runtime_view(health), f"{path}/runtime_metrics")
+    write_table(failure_view(health), f"{path}/failure_analysis")
+    write_report(job_report_lines(health, groups, days, as_of, limits), f"{path}/report")
 
 
 def write_cluster_monitor_report(
@@ -408,12 +441,19 @@ def write_cluster_monitor_report(
     as_of: datetime | None = None,
     limits: Thresholds = Thresholds(),
 ) -> None:
-    """Write the cluster monitor ``report`` and its four metric tables below ``path``."""
-    days = clamp_days(days)
-    rollup = stage(nodes.node_rollup(tables.node_timeline, days, as_of), "node-rollup")
-    bundle = cluster_bundle(tables, days, as_of, rollup)
-    lines = cluster_monitor_lines(bundle["cluster_utilization"], days, as_of, limits)
-    _write(lines, bundle, path)
+    """Write the cluster monitor ``report`` and its tables below ``path``.
+
+    ``node_rollup`` holds the mergeable aggregates from which utilisation and efficiency
+    are derived; the lines come from the written ``cluster_utilization``.
+    """
+    checked_days(days)
+    require_rows(tables, "node_timeline")
+    rollup = nodes.node_rollup(tables.node_timeline, days, as_of, limits=limits)
+    rollup = _written(rollup, f"{path}/node_rollup")
+    bundle = cluster_bundle(tables, days, as_of, rollup, limits)
+    written = {name: _written(df, f"{path}/{name}") for name, df in bundle.items()}
+    lines = cluster_monitor_lines(written["cluster_utilization"], days, as_of, limits)
+    write_report(lines, f"{path}/report")
 
 
 def write_cluster_report(
@@ -423,17 +463,21 @@ def write_cluster_report(
     as_of: datetime | None = None,
     min_points: int = 5,
     limits: Thresholds = Thresholds(),
+    info_days: int = INFO_DAYS,
 ) -> None:
     """Write the cluster performance ``report``, its utilisation table and cluster info."""
+    checked_days(days)
+    require_rows(tables, "node_timeline")
     utilization = nodes.cluster_utilization(tables.node_timeline, days, as_of, min_points)
-    staged = stage(utilization, "cluster-utilization")
-    lines = cluster_report_lines(staged, days, as_of, min_points, limits)
-    detailed = stats.present_columns(staged, DETAIL_COLUMNS)
-    info = clusters.cluster_basic_info(tables.clusters, INFO_DAYS, as_of)
-    _write(lines, {"cluster_utilization": detailed, "cluster_info": info}, path)
+    detailed = stats.present_columns(utilization, DETAIL_COLUMNS)
+    written = _written(detailed, f"{path}/cluster_utilization")
+    info = clusters.cluster_basic_info(tables.clusters, checked_days(info_days), as_of)
+    write_table(info, f"{path}/cluster_info")
+    lines = cluster_report_lines(written, days, as_of, min_points, limits, info_days)
+    write_report(lines, f"{path}/report")
 
 
-def _write(lines: DataFrame, tables: dict[str, DataFrame], path: str) -> None:
-    for name, df in tables.items():
-        write_table(df, f"{path}/{name}")
-    write_report(lines, f"{path}/report")
+def _written(df: DataFrame, path: str) -> DataFrame:
+    """Write a table to its place and go on with what is there."""
+    write_table(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

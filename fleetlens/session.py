@@ -10,11 +10,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
 }
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Turn on run-time re-planning and the splitting of hot join keys."""
+    """Turn on run-time re-planning, the splitting of hot join keys and state on disk."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark

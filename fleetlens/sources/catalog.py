@@ -10,6 +10,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlens.schemas import SCHEMAS
 from fleetlens.sources.tables import Tables
 
 
@@ -40,15 +41,32 @@ def describe_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "col_name STRING, data_type STRING")
 
 
-def availability(tables: Tables) -> DataFrame:
-    """Gate before an analysis: is each table bound, how wide is it, has it rows?"""
-    counted = [
-        df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+def availability(tables: Tables, count_rows: bool = False) -> DataFrame:
+    """Is each table bound, how wide is it, has it rows?
+
+    Rows are probed by reading one. ``count_rows`` counts them all instead, and adds
+    ``n_rows``.
+    """
+    frames = tables.frames()
+    probed = []
+    for name, schema in SCHEMAS.items():
+        df = frames.get(name)
+        if df is None:
+            df = tables.spark.createDataFrame([], schema)
+        rows = df if count_rows else df.limit(1)
+        found = rows.agg(F.count(F.lit(1)).alias("n_rows")).select(
             F.lit(name).alias("table_name"),
             F.lit(name in tables.present).alias("present"),
             F.lit(len(df.columns)).alias("n_columns"),
+            (F.col("n_rows") > 0).alias("has_rows"),
             "n_rows",
         )
-        for name, df in tables.frames().items()
-    ]
-    return reduce(DataFrame.unionByName, counted)
+        probed.append(found if count_rows else found.drop("n_rows"))
+    return reduce(DataFrame.unionByName, probed)
+
+
+def require_rows(tables: Tables, *names: str) -> None:
+    """Gate before a report: raise unless each of these tables is bound and has a row."""
+    for name in names:
+        if getattr(tables, name).isEmpty():
+            raise LookupError(f"table {name} has no rows")

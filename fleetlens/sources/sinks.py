@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -38,14 +37,11 @@ def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``. Only a local session may go without
-    that setting, and then uses a temporary folder.
+    It lies under ``spark.checkpoint.dir``, which must be set.
     """
     root = spark.conf.get(SHARED_DIR_KEY, None)
     if root is None:
-        if not (spark.conf.get("spark.master", None) or "").startswith("local"):
-            raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors can reach")
-        root = tempfile.mkdtemp(prefix="fleetlens-")
+        raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors can reach")
     return f"{root.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
 
 

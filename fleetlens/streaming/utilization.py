@@ -17,6 +17,10 @@ from fleetlens.operators.advise import row_issues
 from fleetlens.operators.nodes import NODE_KEYS, ZERO_FIGURES, partials, readings, show
 from fleetlens.schemas import SCHEMAS
 
+# Date of the window, by which output is partitioned, and the most tasks that write it.
+DATE_COLUMN = "window_date"
+FILES_PER_TRIGGER = 8
+
 REFRESH = f"{RefreshSettings().refresh_interval_minutes} minutes"
 
 
@@ -40,7 +44,7 @@ def windowed_utilization(
     timeline: DataFrame,
     window: str = REFRESH,
     lateness: str = REFRESH,
-    min_points: int = 5,
+    min_points: int = 1,
 ) -> DataFrame:
     """Utilisation per tumbling window, cluster and driver; missing readings count as 0."""
     # Watermarks need a timestamp with time zone.
@@ -65,22 +69,38 @@ def windowed_issues(windows: DataFrame, limits: Thresholds = Thresholds()) -> Da
     return row_issues(windows, "window_start", "window_end", limits=limits)
 
 
-def _writer(stream: DataFrame, path: str, checkpoint: str):
+def _writer(stream: DataFrame, path: str, checkpoint: str, files_per_trigger: int):
+    """Append to folders per window date, with a bounded number of files per trigger.
+
+    Adaptive execution does not coalesce a stateful query, whose closed windows would
+    else end up in a file per state partition.
+    """
+    dated = stream.withColumn(DATE_COLUMN, F.to_date("window_start"))
     return (
-        stream.writeStream.format("parquet")
+        dated.repartition(files_per_trigger, DATE_COLUMN)
+        .writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(DATE_COLUMN)
         .option("checkpointLocation", checkpoint)
         .option("path", path)
     )
 
 
-def run_available(stream: DataFrame, path: str, checkpoint: str) -> None:
+def run_available(
+    stream: DataFrame, path: str, checkpoint: str, files_per_trigger: int = FILES_PER_TRIGGER
+) -> None:
     """Process everything that has arrived since the last run, then stop."""
-    _writer(stream, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    writer = _writer(stream, path, checkpoint, files_per_trigger)
+    writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def start_periodic(
-    stream: DataFrame, path: str, checkpoint: str, interval: str = REFRESH
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    interval: str = REFRESH,
+    files_per_trigger: int = FILES_PER_TRIGGER,
 ) -> StreamingQuery:
     """Keep processing at a fixed interval."""
-    return _writer(stream, path, checkpoint).trigger(processingTime=interval).start()
+    writer = _writer(stream, path, checkpoint, files_per_trigger)
+    return writer.trigger(processingTime=interval).start()

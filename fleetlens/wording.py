@@ -20,9 +20,9 @@ NO_ISSUES = "No significant performance issues detected"
 
 # Recommendation themes, in reporting order.
 THEMES = ("COST OPTIMIZATION", "PERFORMANCE", "MEMORY", "BALANCE", "OTHER")
-DOWNSIZE = "%d clusters with <%.0f%% CPU usage could be downsized"
-SCALE_UP = "%d clusters with >%.0f%% CPU usage may need scaling"
-RELIEVE_MEMORY = "%d clusters with >%.0f%% memory usage need attention"
+DOWNSIZE = "%d clusters with <%s%% CPU usage could be downsized"
+SCALE_UP = "%d clusters with >%s%% CPU usage may need scaling"
+RELIEVE_MEMORY = "%d clusters with >%s%% memory usage need attention"
 IMBALANCE = "%d unique clusters show CPU/Memory imbalance"
 NO_RECOMMENDATION_DATA = "No data available for recommendations"
 NO_RECOMMENDATIONS = "System appears well-optimized"
@@ -64,4 +64,6 @@ JOB_RUNS = "Total Job Runs"
 JOB_FAILURES = "Total Failures"
 FLEET_CPU = "Average CPU Utilization"
 FLEET_MEMORY = "Average Memory Utilization"
+ALL_CPU = "Average CPU Utilization (all groups)"
+ALL_MEMORY = "Average Memory Utilization (all groups)"
 CLUSTERS_MONITORED = "Total Clusters Monitored"

@@ -76,3 +76,8 @@ def utilization(spark, *entries):
         for e in entries
     ]
     return spark.createDataFrame(made, UTILIZATION)
+
+
+def empty(spark, *names):
+    """Typed tables without rows."""
+    return {name: spark.createDataFrame([], SCHEMAS[name]) for name in names}

@@ -1,13 +1,14 @@
-"""Every registered query against its SQL, over whole tables."""
+"""Every registered query of the package's own operators against its SQL, over whole tables."""
 
 from __future__ import annotations
 
 import pytest
 
 import __spark_entry__ as entry_points
+from fleetlens.checks import oracle, registry
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = registry.queries()
+ORACLE = oracle.oracle_sql()
 
 
 def test_every_query_has_sql():

@@ -6,14 +6,13 @@ import re
 
 import pytest
 
-import __spark_entry__ as entry_points
-from fleetlens.checks import bindings
+from fleetlens.checks import bindings, registry
 from fleetlens.operators import jobs, nodes
 from fleetlens.session import prepare
 from fleetlens.sources import stage
 from pyspark.sql import functions as F
 
-QUERIES = entry_points.queries()
+QUERIES = registry.queries()
 
 
 def plan(df):
@@ -178,3 +177,25 @@ def test_hot_keys_are_split_and_results_stay_whole(spark, sf_dir, duck, tight_li
         JOIN customer ON o_custkey = c_custkey
         GROUP BY ALL""").fetchall()
     assert rows == sorted(expected)
+
+
+def test_building_a_batch_query_starts_no_job(spark, sf_dir):
+    spark.sparkContext.setJobGroup("build", "build")
+    try:
+        for name, query in registry.queries().items():
+            if not name.startswith("stream_"):
+                query(spark, sf_dir)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("build")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["simple_job_data", "recent_job_activity"])
+def test_slices_collapse_before_grouping_sets(spark, sf_dir, name):
+    found = plan(registry.queries()[name](spark, sf_dir))
+    assert "HashAggregate" in found[found.index("Expand") :]
+
+
+@pytest.mark.parametrize("name", ["standard_percentiles", "cluster_quantiles", "reading_percentiles"])
+def test_quantiles_keep_no_state_of_all_values(spark, sf_dir, name):
+    assert "percentile(" not in plan(registry.queries()[name](spark, sf_dir))

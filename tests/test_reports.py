@@ -2,10 +2,14 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from frames import AS_OF, DAY, clusters, jobs, readings, slices, utilization
+import pytest
+from frames import AS_OF, DAY, clusters, empty, jobs, readings, slices, utilization
 
 from conftest import rows
+from fleetlens.config import Thresholds
+from fleetlens.operators import advise
 from fleetlens.operators.jobs import job_health
+from fleetlens.operators.nodes import cluster_efficiency
 from fleetlens.plans import reports
 from fleetlens.plans.bundles import cluster_bundle, job_bundle
 from fleetlens.sources import Tables
@@ -28,6 +32,7 @@ def job_tables(spark):
             "jobs": jobs(spark, *[(str(job), f"name {job}", DAY) for job in range(8)]),
             "node_timeline": readings(spark, *[("c", 40.0, 10.0, 1.0, 20.0)] * 6),
             "clusters": clusters(spark, ("c", "cluster c", DAY)),
+            **empty(spark, "node_types", "billing_usage"),
         },
     )
 
@@ -37,7 +42,7 @@ def test_job_report(spark):
     health = job_health(tables.job_run_timeline, tables.jobs, 7, AS_OF)
     top = job_bundle(tables, 7, AS_OF)["cluster_utilization"]
     lines = text(reports.job_report_lines(health, top, 7, AS_OF))
-    assert lines[:13] == [
+    assert lines[:15] == [
         "# Job Monitoring Report",
         "Generated: 2024-01-15 13:00:00",
         "Period: Last 7 days",
@@ -49,18 +54,24 @@ def test_job_report(spark):
         "- Total Failures: 22",
         "- Average CPU Utilization: 50.00%",
         "- Average Memory Utilization: 20.00%",
+        "- Average CPU Utilization (all groups): 50.00%",
+        "- Average Memory Utilization (all groups): 20.00%",
         "## Detected Anomalies",
         "### Long Running Jobs (5 detected)",
     ]
-    assert lines[13] == "- **name 7** (ID: 7): Avg 85.0 min"
-    assert lines[17] == "- **name 3** (ID: 3): Avg 65.0 min"
-    assert lines[18] == "### High Failure Rate Jobs (7 detected)"
-    assert lines[19] == "- **name 4** (ID: 4): 100.0% failure rate"
-    assert len(lines) == 24
+    assert lines[15] == "- **name 7** (ID: 7): Avg 85.0 min"
+    assert lines[19] == "- **name 3** (ID: 3): Avg 65.0 min"
+    assert lines[20] == "### High Failure Rate Jobs (7 detected)"
+    assert lines[21] == "- **name 4** (ID: 4): 100.0% failure rate"
+    assert lines[26:] == [
+        "## Details",
+        "- job_health: 8 rows since midnight 7 days ago",
+        "- cluster_utilization: 1 rows since midnight 7 days ago",
+    ]
 
 
 def test_job_report_without_data_has_no_figures(spark):
-    tables = Tables.of(spark, {})
+    tables = Tables.of(spark, empty(spark, "job_run_timeline", "node_timeline"))
     health = job_health(tables.job_run_timeline, tables.jobs, 7, AS_OF)
     top = job_bundle(tables, 7, AS_OF)["cluster_utilization"]
     assert text(reports.job_report_lines(health, top, 7, AS_OF)) == [
@@ -69,6 +80,9 @@ def test_job_report_without_data_has_no_figures(spark):
         "Period: Last 7 days",
         "## Summary Statistics",
         "## Detected Anomalies",
+        "## Details",
+        "- job_health: 0 rows since midnight 7 days ago",
+        "- cluster_utilization: 0 rows since midnight 7 days ago",
     ]
 
 
@@ -121,7 +135,12 @@ def test_cluster_monitor_report(spark):
         ("hot", 90.0, 0.0, 1.0, 1.0, False, "h"),
     )
     tables = Tables.of(
-        spark, {"node_timeline": timeline, "clusters": clusters(spark, ("hot", "big one", DAY))}
+        spark,
+        {
+            "node_timeline": timeline,
+            "clusters": clusters(spark, ("hot", "big one", DAY)),
+            **empty(spark, "node_types", "billing_usage"),
+        },
     )
     instances = cluster_bundle(tables, 7, AS_OF)["cluster_utilization"]
     lines = text(reports.cluster_monitor_lines(instances, 7, AS_OF))
@@ -132,7 +151,7 @@ def test_cluster_monitor_report(spark):
         "## Detected Issues",
         "### Underutilized Clusters (7 found)",
     ]
-    assert lines[9] == "- **null**: CPU 6.0%, Memory 1.0%"
+    assert lines[9] == "- **c6**: CPU 6.0%, Memory 1.0%"
     assert lines[-2:] == [
         "### Overutilized Clusters (1 found)",
         "- **big one**: CPU 90.0%, Memory 1.0%",
@@ -140,11 +159,14 @@ def test_cluster_monitor_report(spark):
     assert len(lines) == 16
 
 
-def test_bundles_clamp_days_only_for_clusters(spark):
+def test_long_look_backs_are_not_cut(spark):
     old = readings(spark, ("c", 1.0, 1.0, 1.0, 1.0, False, "i", AS_OF - timedelta(days=95)))
-    tables = Tables.of(spark, {"node_timeline": old})
-    assert cluster_bundle(tables, 400, AS_OF)["cluster_utilization"].count() == 0
-    assert cluster_bundle(tables, 400, AS_OF)["efficiency_metrics"].count() == 0
+    others = empty(spark, "node_types", "billing_usage", "job_run_timeline")
+    tables = Tables.of(spark, {"node_timeline": old, **others})
+    assert cluster_bundle(tables, 400, AS_OF)["cluster_utilization"].count() == 1
+    assert cluster_bundle(tables, 400, AS_OF)["efficiency_metrics"].count() == 1
+    with pytest.raises(ValueError, match="look-back"):
+        cluster_bundle(tables, 0, AS_OF)
     assert set(cluster_bundle(tables, 7, AS_OF)) == {
         "cluster_utilization",
         "node_types",
@@ -179,3 +201,26 @@ def test_written_reports(spark, tmp_path):
     assert report("cluster")[0] == "# Cluster Performance Analysis Report"
     assert table("cluster_utilization", "cluster").columns == list(reports.DETAIL_COLUMNS)
     assert table("cluster_info", "cluster").count() == 1
+
+
+def test_limits_reach_the_written_efficiency(spark, tmp_path):
+    tables = job_tables(spark)
+    limits = Thresholds(efficient_cpu_floor=101, efficient_memory_floor=101)
+    reports.write_cluster_monitor_report(tables, str(tmp_path / "m"), 7, AS_OF, limits)
+    written = spark.read.parquet(str(tmp_path / "m" / "efficiency_metrics"))
+    direct = cluster_efficiency(tables.node_timeline, 7, AS_OF, limits=limits)
+    assert rows(written) == rows(direct)
+    assert rows(written, "efficiency_category") == [("Underutilized",)]
+
+
+def test_reports_need_rows_and_tables(spark, tmp_path):
+    none = Tables.of(spark, empty(spark, "job_run_timeline", "node_timeline"))
+    with pytest.raises(LookupError, match="no rows"):
+        reports.write_cluster_report(none, str(tmp_path / "a"), 7, AS_OF)
+    with pytest.raises(LookupError, match="not bound"):
+        reports.write_job_report(Tables.of(spark, {}), str(tmp_path / "b"), 7, AS_OF)
+
+
+def test_limits_are_printed_in_full(spark):
+    given = advise.recommendations(utilization(spark, ("c", 10.0, 10.0, 0.0)), Thresholds(downsize_cpu=32.5))
+    assert rows(given, "message")[0] == ("1 clusters with <32.5% CPU usage could be downsized",)

@@ -74,15 +74,22 @@ def test_inefficient_clusters_and_collected_anomalies(spark):
 
 
 def test_collected_job_anomalies(spark):
-    failures = spark.createDataFrame(
-        [("a", "a", 50.0, 1, 2)],
-        "job_id STRING, job_name STRING, failure_rate_percent DOUBLE, failed_runs BIGINT, "
-        "total_runs BIGINT",
+    health = spark.createDataFrame(
+        [
+            ("0", "n", 4000.0, 5000, 0.0, 0, 3),
+            ("a", "a", 5.0, 5, 50.0, 1, 2),
+            ("b", "b", 4000.0, 5000, 50.0, 2, 4),
+            ("c", "c", 3600.0, 5000, None, 0, 0),
+        ],
+        "job_id STRING, job_name STRING, avg_duration_seconds DOUBLE, max_duration_seconds BIGINT, "
+        "failure_rate_percent DOUBLE, failed_runs BIGINT, finished_runs BIGINT",
     )
-    found = detect.job_anomalies(runtime(spark, 4000.0), failures)
-    assert rows(found, "kind", "job_id", "avg_duration_minutes", "failed_runs") == [
-        ("long_running_jobs", "0", 66.67, None),
+    found = detect.job_anomalies(health)
+    assert sorted(rows(found, "kind", "job_id", "avg_duration_minutes", "failed_runs")) == [
         ("high_failure_rates", "a", None, 1),
+        ("high_failure_rates", "b", None, 2),
+        ("long_running_jobs", "0", 66.67, None),
+        ("long_running_jobs", "b", 66.67, None),
     ]
 
 

@@ -25,14 +25,18 @@ def test_missing_tables_are_empty_and_typed(spark):
     assert tables.jobs.schema == SCHEMAS["jobs"]
     with pytest.raises(ValueError, match="unknown tables"):
         Tables.of(spark, {"nodes": spark.range(1)})
+    with pytest.raises(LookupError, match="billing_usage is not bound"):
+        _ = tables.billing_usage
 
 
 def test_availability(spark):
     tables = Tables.of(spark, {"clusters": clusters(spark, ("c", "n", DAY), ("d", "n", DAY))})
     found = {row.table_name: row[1:] for row in availability(tables).collect()}
-    assert found["clusters"] == (True, 7, 2)
-    assert found["job_run_timeline"] == (False, 6, 0)
+    assert found["clusters"] == (True, 7, True)
+    assert found["job_run_timeline"] == (False, 6, False)
     assert set(found) == set(SCHEMAS)
+    counted = {row.table_name: row.n_rows for row in availability(tables, count_rows=True).collect()}
+    assert (counted["clusters"], counted["jobs"]) == (2, 0)
 
 
 def test_aliases(spark):
@@ -49,7 +53,9 @@ def test_aliases(spark):
 
 def test_bind_catalog_and_parquet(spark, tmp_path):
     readings(spark, ("c", 1.0, 1.0, 1.0, 1.0)).createOrReplaceTempView("bound_nodes")
-    tables = Tables.from_catalog(spark, {"node_timeline": "bound_nodes", "jobs": "not_there"})
+    with pytest.raises(ValueError, match="not_there"):
+        Tables.from_catalog(spark, {"node_timeline": "bound_nodes", "jobs": "not_there"})
+    tables = Tables.from_catalog(spark, {"node_timeline": "bound_nodes"})
     assert tables.present == {"node_timeline"}
     assert tables.node_timeline.count() == 1
     write_table(tables.node_timeline, str(tmp_path / "nodes"))

@@ -52,3 +52,13 @@ def test_present_columns(spark):
 def test_rounding_is_half_up_and_ignores_noise(spark, value, expected):
     df = spark.createDataFrame([(value,)], "v DOUBLE")
     assert rows(df.select(stable_round(F.col("v")))) == [(expected,)]
+
+
+def test_quantiles_of_spread_and_signed_values(spark):
+    rng = np.random.default_rng(3)
+    values = [*(rng.standard_normal(3000) * 10.0 ** rng.integers(-9, 9, 3000)), 0.0, -0.0, 1e300, -1e300]
+    df = spark.createDataFrame([(float(v),) for v in values], "v DOUBLE")
+    found = rows(stats.quantiles(df, {"v": "v"}, (0.0, 0.25, 0.5, 0.75, 1.0)))
+    assert found[0][1:] == pytest.approx(np.quantile(values, (0.0, 0.25, 0.5, 0.75, 1.0)), rel=1e-9)
+    assert rows(stats.quantiles(df.limit(1), {"v": "v"}))[0][1:] == (values[0],) * 4
+    assert stats.quantiles(df.limit(0), {"v": "v"}).count() == 0

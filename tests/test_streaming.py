@@ -37,7 +37,8 @@ def windows(spark, tmp_path, **options):
 
 def step(spark, tmp_path, stream):
     run_available(stream, str(tmp_path / "out"), str(tmp_path / "state"))
-    return spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    written = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    return written.select(stream.columns)
 
 
 def test_late_readings_are_dropped_and_state_survives_restarts(spark, folder):
@@ -95,3 +96,15 @@ def test_windowed_issues_on_batch_frames(spark):
     batch = windowed_utilization(readings(spark, *[at(i, 5.0) for i in range(5)]), "5 minutes")
     assert rows(windowed_issues(batch), "severity") == [("LOW",)]
     assert rows(row_issues(batch), "severity") == [("LOW",)]
+
+
+def test_one_reading_makes_a_window_and_triggers_write_few_files(spark, folder):
+    tmp_path, add = folder
+    add(spark, *[at(m, cluster=f"c{m % 40}") for m in range(80)], at(200))
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        done = step(spark, tmp_path, windows(spark, tmp_path))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert done.count() == 80
+    assert len(list((tmp_path / "out").rglob("part-*.parquet"))) <= 2

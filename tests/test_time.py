@@ -4,7 +4,14 @@ import pytest
 from frames import AS_OF, slices
 
 from conftest import rows, ts
-from fleetlens.functions import calendar_lookback, clamp_days, rolling_lookback
+from fleetlens.functions import (
+    DayColumn,
+    calendar_lookback,
+    checked_days,
+    clamp_days,
+    mark_day,
+    rolling_lookback,
+)
 
 EDGES = ["2024-01-07 23:59:59", "2024-01-08 00:00:00", "2024-01-08 13:00:00", "2024-01-08 13:00:01"]
 
@@ -27,11 +34,26 @@ def test_rolling_lookback_is_strict(spark, kind):
 
 
 def test_day_column_bounds_the_scan_without_changing_the_result(spark):
-    df = edge_rows(spark).selectExpr("*", "CAST(at AS DATE) AS period_date")
+    df = mark_day(edge_rows(spark).selectExpr("*", "CAST(at AS DATE) AS day"), DayColumn("day"))
     assert calendar_lookback(df, "at", 7, AS_OF).count() == 3
     assert rolling_lookback(df, "at", 7, AS_OF).count() == 1
 
 
+def test_only_marked_days_bound_and_rows_without_a_day_stay(spark):
+    days = ["DATE '2024-01-10'", "DATE '2023-12-28'", "CAST(NULL AS DATE)"]
+    df = spark.sql(" UNION ALL ".join(
+        f"SELECT TIMESTAMP '2024-01-10 00:00:00' AS at, {day} AS period_date" for day in days
+    ))
+    assert calendar_lookback(df, "at", 7, AS_OF).count() == 3
+    assert calendar_lookback(mark_day(df, DayColumn("period_date")), "at", 7, AS_OF).count() == 2
+
+
+def test_a_look_back_needs_a_day():
+    assert checked_days(400) == 400
+    with pytest.raises(ValueError, match="look-back"):
+        checked_days(0)
+
+
 @pytest.mark.parametrize("days, expected", [(-3, 1), (0, 1), (1, 1), (45, 45), (90, 90), (400, 90)])
 def test_clamp_days(days, expected):
     assert clamp_days(days) == expected
@@ -45,6 +67,7 @@ def test_day_column_of_another_time_zone_drops_nothing(spark):
         df = spark.sql(
             "SELECT TIMESTAMP '2024-01-08 00:00:00' AS at, DATE '2024-01-07' AS period_date"
         )
+        df = mark_day(df, DayColumn("period_date"))
         assert calendar_lookback(df, "at", 7, AS_OF).count() == 1
     finally:
         spark.conf.set(key, "UTC")
