@@ -27,14 +27,15 @@ class NearDupRules:
 
     A pair at similarity ``s`` shares a band with probability
     ``1 - (1 - s^rows)^bands``: at 0.8 all but one pair in eight million with the
-    defaults. ``star_rounds`` only orders the comparisons; all that matter are made.
+    defaults. ``few`` is how many members of a star may have a shingle that is looked up
+    rather than counted; it moves work, not results.
     """
 
     width: int = 2
     min_percent: int = 80
     bands: int = 40
     rows: int = 5
-    star_rounds: int = 3
+    few: int = 16
 
 
 def shingles(text: str, width: int) -> np.ndarray:
@@ -124,17 +125,23 @@ def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, rules: NearDupRules) -> D
     return in_pieces(wanted, gather, "id BIGINT, shingles ARRAY<BIGINT>").dropDuplicates(["id"])
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _compared(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
+    """The pairs (a, b) with sizes, shared shingles, those of b outside a, and the verdict."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("s"))
     right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("t"))
     shared = F.size(F.array_intersect("s", "t"))
-    union = F.size("s") + F.size("t") - shared
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .filter(100 * shared >= rules.min_percent * union)
-        .select("a", "b")
+        .select("a", "b", F.size("s").alias("n_a"), F.size("t").alias("n_b"), shared.alias("shared"), "s", "t")
+        .select(
+            "a",
+            "b",
+            "n_b",
+            "shared",
+            F.array_except("t", "s").alias("outside"),
+            F.expr(f"100 * shared >= {rules.min_percent} * (n_a + n_b - shared)").alias("linked"),
+        )
     )
 
 
@@ -178,11 +185,64 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
     return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """Nodes (bucket, id) with the component of each id."""
-    return nodes.join(components(links), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(id, own): how many shingles of a set no other set has."""
+    single = (
+        sets.select("id", F.explode("shingles").alias("shingle"))
+        .groupBy("shingle")
+        .agg(F.count("*").alias("n"), F.min("id").alias("id"))
+        .filter("n = 1")
+    )
+    return single.groupBy("id").agg(F.count("*").alias("own"))
+
+
+def _open_pairs(stars: DataFrame, labels: DataFrame, rules: NearDupRules) -> DataFrame:
+    """Pairs (a, b) of a star that may be linked and are not in one component.
+
+    ``stars`` holds every member b of a star with its comparison with the centre a. Two
+    members share at most what both share with the centre, plus what both have outside
+    it. Of that, shingles that few members have are looked up: pairs that share one
+    are taken. For other pairs only shingles of many members count. A pair is left out
+    only if it shares too little even so; none that is similar enough is.
+    """
+    of_centre = labels.select(F.col("id").alias("a"), F.col("component").alias("of_centre"))
+    of_member = labels.select(F.col("id").alias("b"), F.col("component").alias("of_member"))
+    members = (
+        stars.join(of_centre, "a", "left")
+        .join(of_member, "b", "left")
+        .withColumn("component", F.coalesce("of_member", "b"))
+        .withColumn("is_open", F.col("component") != F.coalesce("of_centre", "a"))
+    )
+    mixed_stars = members.filter("is_open").select("a").distinct()
+    rest = members.join(mixed_stars, "a", "left_semi").select(
+        "a", "b", "component", "is_open", "n_b", "shared", "outside"
+    )
+    outside = rest.select("a", "b", "component", "is_open", F.explode("outside").alias("shingle"))
+    seen = outside.groupBy("a", "shingle").agg(F.count("*").alias("n_seen")).filter("n_seen > 1")
+    known = outside.join(seen, ["a", "shingle"])
+    frequent = (
+        known.filter(F.col("n_seen") > rules.few)
+        .groupBy("a", "b")
+        .agg(F.count("*").alias("n_frequent"))
+    )
+    sized = rest.drop("outside").join(frequent, ["a", "b"], "left").na.fill(0, ["n_frequent"])
+
+    def both(frame: DataFrame, on: list[str], condition: str) -> DataFrame:
+        other = frame.select(*on, *(F.col(c).alias(f"y_{c}") for c in frame.columns if c not in on))
+        apart = "is_open AND (NOT y_is_open OR b < y_b) AND component <> y_component"
+        return (
+            frame.filter("is_open")
+            .join(other, on)
+            .filter(f"{apart} AND {condition}")
+            .select(F.least("b", "y_b").alias("a"), F.greatest("b", "y_b").alias("b"))
+        )
+
+    enough = (
+        f"{100 + rules.min_percent} * (least(shared, y_shared) + least(n_frequent, y_n_frequent)) "
+        f">= {rules.min_percent} * (n_b + y_n_b)"
     )
+    rare = known.filter(F.col("n_seen") <= rules.few).drop("n_seen")
+    return both(sized, ["a"], enough).union(both(rare, ["a", "shingle"], "true")).distinct()
 
 
 def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> DataFrame:
@@ -192,12 +252,12 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
     links, itself included) and kept (doc_id = component_id).
 
     1. Texts with equal shingle sets form a class, whose smallest id stands for it.
-    2. Classes that share a band meet in its bucket. In some rounds each bucket
-       picks a class, and all others of other components are compared with it; what
-       is confirmed merges components. A bucket of thousands of near copies thus
-       costs a comparison per member, not per pair.
-    3. Pairs of a bucket that are still in different components and were not compared
-       are all compared. So no link that joins two components is lost.
+    2. Classes that share a band meet in its bucket. The class with the smallest share of
+       shingles of its own becomes the centre, and all others are compared with it.
+       A bucket of thousands of near copies thus costs a comparison per member.
+    3. Pairs of a bucket that this leaves in different components are compared too, but
+       for those that share too little by what both share with the centre. So no link
+       that joins two components is lost.
 
     A null or empty text has no shingles and is linked with nothing. Repeated rows stay
     and share their group. Ids are taken to name one text each: of several texts that
@@ -220,44 +280,28 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
     ids, n_ids = stage_counted(buckets.select("id").distinct(), "near-dup-ids")
     sets = stage(_sets(docs, ids, n_ids, rules), "near-dup-sets")
 
-    links = compared = None
-    labelled = buckets.withColumn("component", F.col("id"))
-    for turn in range(rules.star_rounds + 1):
-        if links is not None:
-            labelled = stage(_labelled(buckets, links), "near-dup-labels")
-        if turn < rules.star_rounds:
-            order = F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.lit(0), "id", "component")
-            picked = labelled.groupBy("bucket").agg(F.min(order).alias("p"))
-            open_pairs = labelled.join(picked, "bucket").filter("component <> p.component")
-            other = F.col("p.id")
-        else:
-            mixed_buckets = (
-                labelled.groupBy("bucket")
-                .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-                .filter("lo < hi")
-                .select("bucket")
-            )
-            rest = labelled.join(mixed_buckets, "bucket")
-            others = rest.select("bucket", F.col("id").alias("other"), F.col("component").alias("c2"))
-            open_pairs = rest.join(others, "bucket").filter("id < other AND component <> c2")
-            other = F.col("other")
-        pairs = open_pairs.select(F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
-        pairs = pairs.distinct()
-        if compared is not None:
-            pairs = pairs.join(compared, ["a", "b"], "left_anti")
-        pairs, n = stage_counted(pairs, "near-dup-pairs")
-        if not n:
-            break
-        found = stage(_confirmed(pairs, sets, rules), "near-dup-links")
-        links = found if links is None else links.unionByName(found)
-        compared = pairs if compared is None else compared.unionByName(pairs)
+    sizes = sets.select("id", F.size("shingles").alias("n")).join(_own_shingles(sets), "id", "left")
+    share = sizes.select("id", (F.coalesce("own", F.lit(0)) / F.col("n")).alias("share"))
+    ranked = stage(buckets.join(share, "id"), "near-dup-ranked")
+    centres = ranked.groupBy("bucket").agg(F.min(F.struct("share", "id")).alias("centre"))
+    spokes = (
+        ranked.join(centres, "bucket")
+        .select(F.col("centre.id").alias("a"), F.col("id").alias("b"))
+        .filter("a <> b")
+        .distinct()
+    )
+    stars = stage(_compared(spokes, sets, rules), "near-dup-stars")
+    links = stars.filter("linked").select("a", "b")
+    open_pairs, n_open = stage_counted(
+        _open_pairs(stars, components(links), rules), "near-dup-open"
+    )
+    if n_open:
+        more = _compared(open_pairs, sets, rules).filter("linked").select("a", "b")
+        links = links.union(stage(more, "near-dup-links"))
 
     keys = named.groupBy("set_key").agg(F.min("doc_id").alias("id"))
     classed = signed.select("doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
-    if links is None:
-        grouped = classed.withColumn("component", F.col("id"))
-    else:
-        grouped = classed.join(components(links), "id", "left")
+    grouped = classed.join(components(links), "id", "left")
     component = F.coalesce("component", "id", "doc_id")
     return grouped.select(
         "doc_id",
