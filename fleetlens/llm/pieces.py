@@ -49,11 +49,18 @@ def _ranked(path: str) -> dict[str, tuple[float, int]]:
     return {name: (scores[i], i) for i, name in enumerate(names) if name}
 
 
-def piece_rows(path: str) -> list[tuple[str, int, float, bool]]:
-    """(piece, id, rank, late) of every ordinary piece; rank is the score negated.
+# Bits of an edge, low to high: id (or a code point and a mark), late, size, start, rank.
+# So edges sort by rank, then from the left.
+_CODE_POINT = 1 << 21
+_LATE_AT, _SIZE_AT, _START_AT, _RANK_AT = 22, 23, 28, 34
 
-    ``late`` marks a piece that is a part of another one with an equal or better
-    score. Where such a piece is made, a better one may become possible afterwards.
+
+def piece_rows(path: str) -> list[tuple[str, int]]:
+    """(piece, code) of every ordinary piece; the code is its edge without a place.
+
+    Ranks number the scores from the best one down. ``late`` marks a piece that is a part
+    of another one with an equal or better score. Where such a piece is made, a better
+    one may become possible afterwards.
     """
     known = _ranked(path)
     late = set()
@@ -62,7 +69,12 @@ def piece_rows(path: str) -> list[tuple[str, int, float, bool]]:
             parts = piece[:cut], piece[cut:]
             if all(len(part) == 1 or part in known for part in parts):
                 late.update(p for p in parts if len(p) > 1 and known[p][0] <= score)
-    return [(p, i, -score, p in late) for p, (score, i) in known.items()]
+    best_first = sorted({score for score, _ in known.values()}, reverse=True)
+    ranks = {score: rank for rank, score in enumerate(best_first)}
+    return [
+        (p, ranks[score] << _RANK_AT | (p in late) << _LATE_AT | i)
+        for p, (score, i) in known.items()
+    ]
 
 
 @cache
@@ -148,14 +160,12 @@ _CHUNK_TYPES = pa.schema(
 
 
 def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Edges of each word: (keys, n, edges).
+    """Edges of each word: (keys, edges), an edge being one number.
 
     ``words`` has the keys and ``word``, of 1 to ``LATTICE_CHARS`` characters. Every
     substring of up to ``longest`` characters meets the piece table; a single
-    character without a piece stays as an edge whose id is its code point, negated, less
-    one. Places are bits: ``ends`` has those of the edge's two ends, ``inner`` those
-    between. The table is that of one model file, some ten thousand rows, and is
-    sent to all tasks.
+    character without a piece stays as an edge with its code point. The table is that of
+    one model file, some ten thousand rows, and is sent to all tasks.
     """
     spans = (
         words.withColumn("n", F.char_length("word"))
@@ -163,15 +173,12 @@ def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -
         .withColumn("size", F.expr(f"explode(sequence(1, least({longest}, n - a)))"))
         .withColumn("piece", F.expr("substring(word, a + 1, size)"))
     )
-    met = spans.join(F.broadcast(table), "piece", "left").filter("id IS NOT NULL OR size = 1")
-    b = "(a + size)"
+    met = spans.join(F.broadcast(table), "piece", "left").filter("code IS NOT NULL OR size = 1")
     edge = F.expr(
-        "named_struct('rank', coalesce(rank, 0D), 'a', a, "
-        f"'inner', (shiftleft(1L, {b}) - 1) & ~(shiftleft(2L, a) - 1), "
-        f"'ends', shiftleft(1L, a) | shiftleft(1L, {b}), "
-        "'id', coalesce(id, -1 - ascii(piece)), 'late', coalesce(late, false))"
+        f"coalesce(code, ascii(piece) | {_CODE_POINT}L) | "
+        f"shiftleft(CAST(size AS BIGINT), {_SIZE_AT}) | shiftleft(CAST(a AS BIGINT), {_START_AT})"
     )
-    return met.groupBy(*keys).agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    return met.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
 
 
 def folded(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -181,8 +188,19 @@ def folded(edges: DataFrame, keys: list[str]) -> DataFrame:
     edge can be taken if both its ends are such places and exactly one lies between
     them; it removes that one. Edges go by score, then from the left. One pass takes
     each edge once; only where it made a ``late`` piece is the fold done again
-    by steps that each look for the best edge anew.
+    by steps that each look for the best edge anew. A code point without a piece
+    becomes a negative id, its value negated, less one.
     """
+    start = f"(CAST(shiftright(e, {_START_AT}) AS INT) & 63)"
+    end = f"({start} + (CAST(shiftright(e, {_SIZE_AT}) AS INT) & 31))"
+    unpacked = (
+        "transform(sort_array(edges), e -> named_struct("
+        f"'a', {start}, 'ends', shiftleft(1L, {start}) | shiftleft(1L, {end}), "
+        f"'inner', (shiftleft(1L, {end}) - 1) & ~(shiftleft(2L, {start}) - 1), "
+        f"'late', getbit(e, {_LATE_AT}) = 1, "
+        f"'id', IF(getbit(e, 21) = 1, -1 - CAST(e & {_CODE_POINT - 1} AS INT), "
+        f"CAST(e & {_CODE_POINT - 1} AS INT))))"
+    )
     can = "(s.b & e.ends) = e.ends AND bit_count(s.b & e.inner) = 1"
     once = (
         "aggregate(merges, named_struct('b', full, 'again', false), (s, e) -> "
@@ -190,13 +208,14 @@ def folded(edges: DataFrame, keys: list[str]) -> DataFrame:
     )
     best = "filter(merges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1)"
     steps = (
-        "aggregate(sequence(1, n), full, (b, i) -> "
+        "aggregate(merges, full, (b, i) -> "
         f"b & ~coalesce(get({best}, 0).inner, 0L))"
     )
-    taken = "filter(edges, e -> (places & e.ends) = e.ends AND (places & e.inner) = 0)"
+    taken = "filter(unpacked, e -> (places & e.ends) = e.ends AND (places & e.inner) = 0)"
     return (
-        edges.withColumn("merges", F.expr("sort_array(filter(edges, e -> e.inner <> 0))"))
-        .withColumn("full", F.expr("shiftleft(1L, n + 1) - 1"))
+        edges.withColumn("unpacked", F.expr(unpacked))
+        .withColumn("merges", F.expr("filter(unpacked, e -> e.inner <> 0)"))
+        .withColumn("full", F.expr("aggregate(unpacked, 0L, (b, e) -> b | e.ends)"))
         .withColumn("once", F.expr(once))
         .withColumn("places", F.expr(f"IF(once.again, {steps}, once.b)"))
         .select(
@@ -252,7 +271,7 @@ def _with_bytes(ids: np.ndarray, path: str) -> np.ndarray:
 
 
 def _piece_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.createDataFrame(piece_rows(path), "piece STRING, id INT, rank DOUBLE, late BOOLEAN")
+    return spark.createDataFrame(piece_rows(path), "piece STRING, code BIGINT")
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -272,7 +291,7 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     table = stage(_piece_table(spark, model_path), "pieces")
     longest = max(len(row[0]) for row in piece_rows(model_path))
     chunks, n_chunks = stage_counted(_chunked(docs, model_path), "piece-chunks")
-    n_parts = max(1, min(n_chunks, MAX_PARTITIONS))
+    n_parts = max(1, min(2 * n_chunks, MAX_PARTITIONS))
     keys = ["chunk", "at"]
     words = (
         chunks.select("chunk", "segments")
