@@ -1,7 +1,103 @@
-"""The results of the registered queries in DuckDB SQL, where SQL can express them."""
+"""The results of the registered queries in DuckDB SQL, where SQL can express them.
+
+SQL has no byte-pair encoding, zstandard, checksum of a text or trained classifier; those
+queries, and license scans, are tested against brute force instead.
+"""
 
 from __future__ import annotations
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), "
+    "'[^\\x20\\x09-\\x0D]+')"
+)
+
+# The control strings that a chat text may not hold unbroken, as in the template.
+ANGLED = r"<\\*(\|im_start\|>|\|im_end\|>|\|endoftext\|>|/?s>|</?SYS>>)"
+SQUARE = r"\[\\*/?INST\]"
+
+CHAT = f"""
+    WITH turns AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+        UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+               count(*) OVER (PARTITION BY conv_id) AS n,
+               length('<|im_start|>') + length(role) + 1 + length(text)
+               + len(regexp_extract_all(text, '{ANGLED}')) + len(regexp_extract_all(text, '{SQUARE}'))
+               + length('<|im_end|>') + 1 AS n_chars
+        FROM turns),
+    summed AS (
+        SELECT *, sum(n_chars) OVER (PARTITION BY conv_id ORDER BY i) AS n_prefix FROM placed),
+    read AS (
+        SELECT conv_id, count(*) AS n_turns,
+               string_agg(role || chr(10) || text || chr(10), '' ORDER BY i) AS said,
+               coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '') AS loss,
+               CAST(sum(n_prefix) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
+        FROM summed GROUP BY conv_id)
+    SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars,
+           sha256(loss) AS loss_sha256, formatted_chars
+    FROM read"""
+
+LEAKS = f"""
+    WITH item_words AS (SELECT item_id, {WORDS} AS w FROM benchmark),
+    doc_words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    item_at AS (
+        SELECT item_id, len(w) - 4 AS n, i - 1 AS pos, w[i:i + 4] AS s
+        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM item_words)),
+    doc_at AS (
+        SELECT doc_id, i - 1 AS pos, w[i:i + 4] AS s
+        FROM (SELECT *, unnest(range(1, len(w) - 3)) AS i FROM doc_words)),
+    starts AS (
+        SELECT DISTINCT doc_id, item_id, n, d.pos - m.pos AS start
+        FROM doc_at d JOIN item_at m USING (s) WHERE d.pos >= m.pos),
+    in_window AS (
+        SELECT doc_id, item_id, n, start, s, count(*) AS n_here
+        FROM starts JOIN doc_at USING (doc_id) WHERE pos BETWEEN start AND start + n - 1
+        GROUP BY ALL),
+    full_windows AS (
+        SELECT doc_id, item_id, n, start FROM in_window
+        GROUP BY ALL HAVING sum(n_here) = n),
+    in_item AS (SELECT item_id, s, count(*) AS n_item FROM item_at GROUP BY ALL),
+    shared AS (
+        SELECT doc_id, item_id, n, start, sum(least(n_here, n_item)) AS shared
+        FROM in_window JOIN in_item USING (item_id, s)
+        SEMI JOIN full_windows USING (doc_id, item_id, n, start)
+        GROUP BY ALL)
+    SELECT doc_id, item_id, count(*) AS n_windows,
+           CAST(max(CAST(shared AS DOUBLE) / CAST(2 * n - shared AS DOUBLE)) AS DOUBLE) AS similarity
+    FROM shared WHERE 100 * shared >= 80 * (2 * n - shared) GROUP BY doc_id, item_id"""
+
+NEAR_DUPLICATES = f"""
+    WITH RECURSIVE doc_words AS (SELECT doc_id, {WORDS} AS w FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, w[i:i + 1] AS s
+        FROM (SELECT *, unnest(range(1, greatest(2, len(w)))) AS i FROM doc_words WHERE len(w) > 0)),
+    sizes AS (
+        SELECT doc_id, count(s) AS n_shingles
+        FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+    shared AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (
+        SELECT a, b FROM shared
+        JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id
+        WHERE 100 * n >= 80 * (x.n_shingles + y.n_shingles - n)),
+    both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (
+        SELECT doc_id AS a, doc_id AS b FROM documents
+        UNION SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+    components AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+    SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept
+    FROM sizes JOIN components USING (doc_id)"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op2_chat_formatting": CHAT,
+        "op8_decontamination": LEAKS,
+        "op9_near_duplicates": NEAR_DUPLICATES,
+    }
