@@ -35,8 +35,9 @@ class ToxicityRules:
     least_excess: float = 4.0
     epochs: int = 30
     batch: int = 400
+    least_steps: int = 20
     step: float = 0.05
-    decay: float = 1e-3
+    decay: float = 1e-2
     seed: int = 7
 
 
@@ -107,21 +108,19 @@ def train_non_negative_pu(
     weights = np.zeros(len(chosen) + 1)
     weights[-1] = np.log(prior / (1 - prior))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
-    n_steps = max(1, -(-len(unlabelled) // rules.batch))
+    n_steps = max(rules.least_steps, -(-len(unlabelled) // rules.batch))
     t = 0
     for epoch in range(rules.epochs):
-        parts_p = np.array_split(rng.permutation(len(positive)), n_steps)
-        parts_u = np.array_split(rng.permutation(len(unlabelled)), n_steps)
+        n_p, n_u = (min(len(sets), rules.batch) for sets in (positive, unlabelled))
         rate = rules.step * (1 - epoch / rules.epochs)
-        for rows_p, rows_u in zip(parts_p, parts_u, strict=True):
-            if not len(rows_p) or not len(rows_u):
-                continue
+        for _ in range(n_steps):
+            rows_p = rng.choice(len(positive), n_p, replace=False)
+            rows_u = rng.choice(len(unlabelled), n_u, replace=False)
             rows = [positive[i] for i in rows_p] + [unlabelled[i] for i in rows_u]
             sizes = np.array([len(r) for r in rows])
             starts = np.cumsum(sizes) - sizes
             index = np.concatenate(rows)
             p = _sigmoid(_sums(weights[index], starts, sizes) + weights[-1])
-            n_p, n_u = len(rows_p), len(rows_u)
             of_p, of_u = p[:n_p], p[n_p:]
             losses_u, losses_p = -np.log1p(-of_u), -np.log1p(-of_p)
             pull = np.zeros(len(rows))
@@ -132,7 +131,7 @@ def train_non_negative_pu(
             else:
                 pull[:n_p] = prior * of_p / n_p
                 pull[n_p:] = -of_u / n_u
-            slope = np.bincount(index, np.repeat(pull, sizes), len(weights))
+            slope = np.bincount(index, np.repeat(pull, sizes), len(weights)).astype(np.float64)
             slope += rules.decay * weights / n_steps
             slope[-1] = pull.sum()
             t += 1
