@@ -49,10 +49,10 @@ def _ranked(path: str) -> dict[str, tuple[float, int]]:
     return {name: (scores[i], i) for i, name in enumerate(names) if name}
 
 
-# Bits of an edge, low to high: id (or a code point and a mark), late, size, start, rank.
-# So edges sort by rank, then from the left.
+# Bits of an edge, low to high: id (or a code point and a mark), late, start, rank. So
+# edges sort by rank, then from the left.
 _CODE_POINT = 1 << 21
-_LATE_AT, _SIZE_AT, _START_AT, _RANK_AT = 22, 23, 28, 34
+_LATE_AT, _START_AT, _RANK_AT = 22, 23, 29
 
 
 def piece_rows(path: str) -> list[tuple[str, int]]:
@@ -160,12 +160,13 @@ _CHUNK_TYPES = pa.schema(
 
 
 def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Edges of each word: (keys, edges), an edge being one number.
+    """Edges of each word: (keys, edges), an edge being three numbers.
 
     ``words`` has the keys and ``word``, of 1 to ``LATTICE_CHARS`` characters. Every
     substring of up to ``longest`` characters meets the piece table; a single
-    character without a piece stays as an edge with its code point. The table is that of
-    one model file, some ten thousand rows, and is sent to all tasks.
+    character without a piece stays as an edge with its code point. Places are bits:
+    ``ends`` has those of the edge's two ends, ``inner`` those between. The table is that
+    of one model file, some ten thousand rows, and is sent to all tasks.
     """
     spans = (
         words.withColumn("n", F.char_length("word"))
@@ -174,11 +175,19 @@ def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -
         .withColumn("piece", F.expr("substring(word, a + 1, size)"))
     )
     met = spans.join(F.broadcast(table), "piece", "left").filter("code IS NOT NULL OR size = 1")
-    edge = F.expr(
-        f"coalesce(code, ascii(piece) | {_CODE_POINT}L) | "
-        f"shiftleft(CAST(size AS BIGINT), {_SIZE_AT}) | shiftleft(CAST(a AS BIGINT), {_START_AT})"
+    end = "(a + size)"
+    edges = met.select(
+        *keys,
+        F.expr(
+            f"coalesce(code, ascii(piece) | {_CODE_POINT}L) | "
+            f"shiftleft(CAST(a AS BIGINT), {_START_AT}) AS edge"
+        ),
+        F.expr(f"(shiftleft(1L, {end}) - 1) & ~(shiftleft(2L, a) - 1) AS inner"),
+        F.expr(f"shiftleft(1L, a) | shiftleft(1L, {end}) AS ends"),
+    )
+    return edges.groupBy(*keys).agg(
+        F.collect_list(F.struct("edge", "inner", "ends")).alias("edges")
     )
-    return met.select(*keys, edge.alias("edge")).groupBy(*keys).agg(F.collect_list("edge").alias("edges"))
 
 
 def folded(edges: DataFrame, keys: list[str]) -> DataFrame:
@@ -191,37 +200,30 @@ def folded(edges: DataFrame, keys: list[str]) -> DataFrame:
     by steps that each look for the best edge anew. A code point without a piece
     becomes a negative id, its value negated, less one.
     """
-    start = f"(CAST(shiftright(e, {_START_AT}) AS INT) & 63)"
-    end = f"({start} + (CAST(shiftright(e, {_SIZE_AT}) AS INT) & 31))"
-    unpacked = (
-        "transform(sort_array(edges), e -> named_struct("
-        f"'a', {start}, 'ends', shiftleft(1L, {start}) | shiftleft(1L, {end}), "
-        f"'inner', (shiftleft(1L, {end}) - 1) & ~(shiftleft(2L, {start}) - 1), "
-        f"'late', getbit(e, {_LATE_AT}) = 1, "
-        f"'id', IF(getbit(e, 21) = 1, -1 - CAST(e & {_CODE_POINT - 1} AS INT), "
-        f"CAST(e & {_CODE_POINT - 1} AS INT))))"
-    )
     can = "(s.b & e.ends) = e.ends AND bit_count(s.b & e.inner) = 1"
     once = (
         "aggregate(merges, named_struct('b', full, 'again', false), (s, e) -> "
-        f"IF({can}, named_struct('b', s.b & ~e.inner, 'again', s.again OR e.late), s))"
+        f"IF({can}, named_struct('b', s.b & ~e.inner, 'again', s.again OR getbit(e.edge, {_LATE_AT}) = 1), s))"
     )
     best = "filter(merges, e -> (b & e.ends) = e.ends AND bit_count(b & e.inner) = 1)"
     steps = (
         "aggregate(merges, full, (b, i) -> "
         f"b & ~coalesce(get({best}, 0).inner, 0L))"
     )
-    taken = "filter(unpacked, e -> (places & e.ends) = e.ends AND (places & e.inner) = 0)"
+    taken = "filter(edges, e -> (places & e.ends) = e.ends AND (places & e.inner) = 0)"
+    id_of = (
+        f"IF(getbit(e.edge, 21) = 1, -1 - CAST(e.edge & {_CODE_POINT - 1} AS INT), "
+        f"CAST(e.edge & {_CODE_POINT - 1} AS INT))"
+    )
     return (
-        edges.withColumn("unpacked", F.expr(unpacked))
-        .withColumn("merges", F.expr("filter(unpacked, e -> e.inner <> 0)"))
-        .withColumn("full", F.expr("aggregate(unpacked, 0L, (b, e) -> b | e.ends)"))
+        edges.withColumn("merges", F.expr("sort_array(filter(edges, e -> e.inner <> 0))"))
+        .withColumn("full", F.expr("aggregate(edges, 0L, (b, e) -> b | e.ends)"))
         .withColumn("once", F.expr(once))
         .withColumn("places", F.expr(f"IF(once.again, {steps}, once.b)"))
         .select(
             *keys,
             F.expr(
-                f"transform(sort_array(transform({taken}, e -> struct(e.a, e.id))), x -> x.id)"
+                f"transform(sort_array(transform({taken}, e -> struct(e.ends, {id_of} AS id))), x -> x.id)"
             ).alias("ids"),
         )
     )
