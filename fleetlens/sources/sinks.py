@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -37,11 +39,15 @@ def write_report(lines: DataFrame, path: str, mode: str = "overwrite") -> None:
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``, which must be set.
+    It lies under ``spark.checkpoint.dir``. Only a session whose one process is driver
+    and executor may go without that setting; then a temporary folder serves.
     """
     root = spark.conf.get(SHARED_DIR_KEY, None)
     if root is None:
-        raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors can reach")
+        master = spark.conf.get("spark.master", None) or ""
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"set {SHARED_DIR_KEY} to a folder that all executors can reach")
+        root = tempfile.mkdtemp(prefix="fleetlens-")
     return f"{root.rstrip('/')}/fleetlens/{purpose}-{uuid.uuid4().hex}"
 
 
