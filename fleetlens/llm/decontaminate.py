@@ -100,10 +100,13 @@ def benchmark_leaks(
     shingles of window and item, both counted with repeats.
 
     A window has as many shingles as the item, and at least one of its shingles stands
-    where the item has it; any other window has similarity 0 or is a shifted view of
-    such a one. Only documents with such a shingle are read again for fingerprints.
-    Windows meet items of their size in blocks of the fingerprint; pairs within the
-    radius are then compared exactly.
+    where the item has it. Where such a window would reach over an edge of the text, it
+    is moved to that edge; a text shorter than the item is one window. Only documents
+    with a shared shingle are read again for fingerprints. Windows meet items of their
+    size in blocks of the fingerprint; pairs within the radius are then compared exactly.
+
+    ``n_windows`` counts the similar windows with a shingle where the item has it, as
+    all others near them are shifted views; only if there is none, it counts the others.
 
     Null and empty texts, and texts shorter than a shingle, have no window; rows that
     repeat a doc_id count together. Items of equal text are each reported. Building it
@@ -138,12 +141,13 @@ def benchmark_leaks(
     if not widths:
         return docs.sparkSession.createDataFrame([], empty)
 
-    places = hashed(texts).select("doc_id", "row", "width", F.posexplode("hashes").alias("place", "mark"))
+    places = hashed(texts).select(
+        "doc_id", "row", "width", F.size("hashes").alias("size"), F.posexplode("hashes").alias("place", "mark")
+    )
     hits = places.join(small(gate, n_gate), ["width", "mark"])
     starts = (
         hits.join(small(marks, n_marks), ["width", "mark"])
-        .select("doc_id", "row", "width", "n", (F.col("place") - F.col("at")).alias("start"))
-        .filter("start >= 0")
+        .select("doc_id", "row", "width", "n", F.expr("greatest(0, least(place - at, size - n))").alias("start"))
         .distinct()
     )
     windows, _ = stage_counted(starts, "leak-windows")
@@ -152,14 +156,13 @@ def benchmark_leaks(
     cut = (
         again.dropDuplicates(["doc_id", "row", "width"])
         .join(windows, ["doc_id", "row", "width"])
-        .filter("start + n <= size(hashes)")
-        .select("doc_id", "row", "width", "start", F.expr("slice(hashes, start + 1, n)").alias("w"))
-    )
-    fingerprint = [simhash("w").alias("fp"), F.size("w").alias("n")]
-    seen = stage(cut.select("*", *fingerprint), "leak-fingerprints")
-    known = items.select("item_id", "width", F.col("shingles").alias("w")).select(
-        "item_id", "width", "w", *fingerprint
+        .select("doc_id", "row", "width", "start", "n", F.expr("slice(hashes, start + 1, n)").alias("w"))
     )
+    fingerprint = simhash("w").alias("fp")
+    seen = stage(cut.select("*", fingerprint), "leak-fingerprints")
+    known = items.select(
+        "item_id", "width", F.size("shingles").alias("n"), F.col("shingles").alias("w")
+    ).select("*", fingerprint)
 
     left = seen.select("doc_id", "row", "start", "width", "n", "w", "fp", F.inline(blocks("fp", rules.radius)))
     right = known.select(
@@ -174,14 +177,15 @@ def benchmark_leaks(
         F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= rules.radius
     )
     shared = F.size(F.array_intersect(numbered("w"), numbered("v")))
-    union = 2 * F.col("n") - shared
+    union = F.size("w") + F.size("v") - shared
+    aligned = F.expr("exists(zip_with(w, v, (a, b) -> a <=> b), same -> same)")
     return (
         near.dropDuplicates(["doc_id", "row", "start", "item_id"])
-        .select("doc_id", "item_id", shared.alias("shared"), union.alias("total"))
+        .select("doc_id", "item_id", shared.alias("shared"), union.alias("total"), aligned.alias("aligned"))
         .filter(100 * F.col("shared") >= rules.min_percent * F.col("total"))
         .groupBy("doc_id", "item_id")
         .agg(
-            F.count("*").alias("n_windows"),
+            F.expr("IF(any(aligned), count_if(aligned), count(*))").alias("n_windows"),
             F.max(F.col("shared") / F.col("total")).alias("similarity"),
         )
     )

@@ -81,6 +81,39 @@ def test_sample_equals_brute_force(spark, docs_of, sample, duck):
     assert found(spark, docs_of(*pairs), items) == brute(pairs, items)
 
 
+def all_windows(docs, items):
+    """{(doc, item): best} over every window, and over whole texts shorter than the item."""
+    result = {}
+    for item, text in items:
+        wanted = words(text)
+        width = min(5, len(wanted))
+        target = Counter(runs(wanted, width))
+        n = target.total()
+        for doc, body in docs:
+            have = runs(words(body), width)
+            windows = [Counter(have[i : i + n]) for i in range(max(1, len(have) - n + 1))]
+            best = max((target & w).total() / (target | w).total() for w in windows)
+            if best >= 0.8:
+                result[doc, item] = round(best, 9)
+    return result
+
+
+def test_windows_at_the_edges_of_a_text(spark, docs_of):
+    cut = [f"p{i}" for i in range(50)]
+    passage, filler = " ".join(cut), " ".join(f"f{i}" for i in range(70))
+    docs = [
+        (1, " ".join(cut[1:]) + " " + filler),
+        (2, filler + " " + " ".join(cut[:-1])),
+        (3, " ".join(cut[1:])),
+        (4, " ".join(cut[2:-2])),
+        (5, " ".join(cut[:30])),
+        (6, "p0 p1 p2"),
+    ]
+    got = found(spark, docs_of(*docs), [(1, passage)])
+    assert {key: best for key, (_, best) in got.items()} == all_windows(docs, [(1, passage)])
+    assert {d for d, _ in got} == {1, 2, 3, 4}
+
+
 def test_empty_tables(spark, docs_of):
     assert found(spark, docs_of(), [(1, "a b c d e f")]) == {}
     assert found(spark, docs_of((1, "a b c d e f")), []) == {}
