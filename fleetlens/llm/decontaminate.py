@@ -75,6 +75,29 @@ def numbered(hashes: str) -> Column:
     )
 
 
+def least_shared(n: str, size: str, min_percent: int) -> Column:
+    """Least shingles shared at ``min_percent`` by an item of n and a window of it in a text of size."""
+    both = f"{min_percent} * ({n} + least({n}, {size}))"
+    return F.expr(f"greatest(1, int(ceil({both} / {100 + min_percent})))")
+
+
+def window_starts(at: str, least: str, n: str, size: str) -> Column:
+    """Starts of the windows of n shingles that hold ``least`` or more of the sorted places ``at``.
+
+    A text of ``size`` below n has one window, at 0. The starts for the run of places that
+    begins with the i-th end at that place; those up to the place before it are of the runs
+    before. So each start is given once, and none is left out.
+    """
+    first = (
+        f"greatest(0, {at}[i + {least} - 1] - {n} + 1, IF(i = 0, 0, get({at}, i - 1) + 1))"
+    )
+    last = f"least({at}[i], greatest(0, {size} - {n}))"
+    return F.expr(
+        f"flatten(transform(sequence(0, size({at}) - {least}), "
+        f"i -> IF({first} > {last}, array(), sequence({first}, {last}))))"
+    )
+
+
 def benchmark_items(benchmark: DataFrame, rules: LeakRules) -> DataFrame:
     """(item_id, width, shingles) of each item that has words.
 
@@ -99,14 +122,16 @@ def benchmark_leaks(
     windows found and the best similarity, that is the shared shingles over all
     shingles of window and item, both counted with repeats.
 
-    A window has as many shingles as the item, and at least one of its shingles stands
-    where the item has it. Where such a window would reach over an edge of the text, it
-    is moved to that edge; a text shorter than the item is one window. Only documents
-    with a shared shingle are read again for fingerprints. Windows meet items of their
-    size in blocks of the fingerprint; pairs within the radius are then compared exactly.
+    A window has as many shingles as the item; a text shorter than the item is one window.
+    Every place of a text can start a window. Left out are only windows that hold fewer
+    shingles of items of that size than the least similarity needs, whatever their order.
+    Only documents with a window are read again for fingerprints. Windows meet items of
+    their size in blocks of the fingerprint; pairs within the radius are then compared
+    exactly.
 
-    ``n_windows`` counts the similar windows with a shingle where the item has it, as
-    all others near them are shifted views; only if there is none, it counts the others.
+    ``similarity`` is the best of all windows. ``n_windows`` counts the similar windows
+    with a shingle where the item has it, as all others near them are shifted views; only
+    if there is none, it counts the others.
 
     Null and empty texts, and texts shorter than a shingle, have no window; rows that
     repeat a doc_id count together. Items of equal text are each reported. Building it
@@ -115,8 +140,7 @@ def benchmark_leaks(
     items, _ = stage_counted(benchmark_items(benchmark, rules), "leak-items")
     widths = sorted(row["width"] for row in items.select("width").distinct().collect())
     marks, n_marks = stage_counted(
-        items.select("width", F.size("shingles").alias("n"), F.posexplode("shingles").alias("at", "mark"))
-        .distinct(),
+        items.select("width", F.size("shingles").alias("n"), F.explode("shingles").alias("mark")).distinct(),
         "leak-marks",
     )
     gate, n_gate = stage_counted(marks.select("width", "mark").distinct(), "leak-gate")
@@ -147,8 +171,12 @@ def benchmark_leaks(
     hits = places.join(small(gate, n_gate), ["width", "mark"])
     starts = (
         hits.join(small(marks, n_marks), ["width", "mark"])
-        .select("doc_id", "row", "width", "n", F.expr("greatest(0, least(place - at, size - n))").alias("start"))
-        .distinct()
+        .groupBy("doc_id", "row", "width", "n", "size")
+        .agg(F.array_sort(F.collect_set("place")).alias("at"))
+        .withColumn("least", least_shared("n", "size", rules.min_percent))
+        .filter("size(at) >= least")
+        .select("doc_id", "row", "width", "n", window_starts("at", "least", "n", "size").alias("starts"))
+        .filter("size(starts) > 0")
     )
     windows, _ = stage_counted(starts, "leak-windows")
     ids, n_ids = stage_counted(windows.select("doc_id").distinct(), "leak-ids")
@@ -156,7 +184,7 @@ def benchmark_leaks(
     cut = (
         again.dropDuplicates(["doc_id", "row", "width"])
         .join(windows, ["doc_id", "row", "width"])
-        .select("doc_id", "row", "width", "start", "n", F.expr("slice(hashes, start + 1, n)").alias("w"))
+        .select("doc_id", "row", "width", "n", F.expr("inline(transform(starts, s -> struct(s AS start, slice(hashes, s + 1, n) AS w)))"))
     )
     fingerprint = simhash("w").alias("fp")
     seen = stage(cut.select("*", fingerprint), "leak-fingerprints")

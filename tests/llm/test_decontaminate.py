@@ -114,6 +114,44 @@ def test_windows_at_the_edges_of_a_text(spark, docs_of):
     assert {d for d, _ in got} == {1, 2, 3, 4}
 
 
+def test_reordered_passages(spark, docs_of):
+    parts = [f"p{i}" for i in range(50)]
+    thirds = parts[34:] + parts[17:34] + parts[:17]
+    filler = " ".join(f"f{i}" for i in range(70))
+    again = " ".join(parts[:25] + ["new"] + parts[25:])
+    docs = [
+        (1, " ".join([filler, *parts[25:], *parts[:25], filler])),
+        (2, " ".join([*parts[20:], *parts[:20]])),
+        (3, " ".join([filler, *thirds, filler])),
+        (4, f"{filler} {again} {filler} {again}"),
+        (5, " ".join([filler, *parts[:12], filler, *parts[:12], filler])),
+        (6, " ".join([*parts[30:], filler])),
+    ]
+    items = [(1, " ".join(parts)), (2, " ".join(parts[:44]))]
+    got = found(spark, docs_of(*docs), items)
+    expected = all_windows(docs, items)
+    assert {key: best for key, (_, best) in got.items()} == expected
+    assert {(1, 1), (2, 1), (4, 1)} <= set(expected)
+
+
+def test_every_window_that_can_be_similar_starts_once(spark):
+    cases = [
+        ([0, 1, 2, 5, 9], 2, 4, 12),
+        ([3], 1, 4, 10),
+        ([0, 1, 2], 3, 8, 3),
+        ([7, 8, 9], 3, 3, 10),
+        ([0, 9], 2, 4, 10),
+        (list(range(30)), 1, 6, 30),
+    ]
+    frame = spark.createDataFrame(cases, "at ARRAY<INT>, least INT, n INT, size INT")
+    rows = frame.select(decontaminate.window_starts("at", "least", "n", "size")).collect()
+    expected = [
+        [s for s in range(max(0, size - n) + 1) if sum(s <= p < s + n for p in at) >= least]
+        for at, least, n, size in cases
+    ]
+    assert [list(row[0]) for row in rows] == expected
+
+
 def test_empty_tables(spark, docs_of):
     assert found(spark, docs_of(), [(1, "a b c d e f")]) == {}
     assert found(spark, docs_of((1, "a b c d e f")), []) == {}
