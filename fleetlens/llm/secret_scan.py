@@ -60,6 +60,66 @@ IDENTIFIERS = (
     "ResponseBuilder ServiceProvider UserRepository"
 )
 
+# Longer words of code and prose, so that names of plain words stay cheap
+# although they hold no digit.
+PLAIN_WORDS = (
+    "ability accept across active adapter additional advance after again agent alert algorithm "
+    "allocation allow alternative analysis annotation anonymous answer apache appearance approval "
+    "architecture archive argument assembly assert assignment assistant associated attachment attempt "
+    "attribute audience audit authenticated authentication Authentication AUTHENTICATION authenticator "
+    "author authority authorization Authorization AUTHORIZATION authorize automatic availability "
+    "available average backend BACKENDS backup balance bearer Bearer because before behavior benefit "
+    "between binding block branch bridge browser building bundle business calendar callable "
+    "capability capacity category certificate certificates challenge change channel character check "
+    "choice cipher circle classification cleanup closed cloud collection combine comment commit "
+    "communication community company comparison compatible compile complete component compress "
+    "compute condition confirm connect consistent constant constraint consumer contact contract "
+    "control conversation conversion convert coordinate core correct country coverage credentials "
+    "Credentials critical current_user customer dashboard dataset decode decrypt DEFAULT define delegate deliver "
+    "dependency deploy deployment description design desktop detail develop developer difference "
+    "digest dimension disable discovery dispatcher display distribution document domain download "
+    "driver duration dynamic economic edition editor education electric embedded emphasis employee "
+    "empty encode encrypt encryption enforce engine enterprise entity entry enum environment epoch "
+    "equal escape essential evaluate every evidence exchange exclude executor existing expected "
+    "experience expire expiration expired explicit expression extension external factory Factory "
+    "failed failure feature federation fetch figure final first folder following foreground forgot "
+    "forward framework frequency friend future gateway general generator global government "
+    "graphic grant_type guarantee guest hardware health hidden history holder Holder hostname however identifier "
+    "identity image important include increase individual industry information inherit initialize "
+    "inspector installation instruction integer integration intelligence interactive interceptor "
+    "international internationalization invalid invocation invoke issuer iterator javascript join "
+    "justification keyboard keystore knowledge language latest launch layer learn least legacy "
+    "letter level lifecycle lifetime linear listener literature live locale lock login logout lookup "
+    "machine mail maintenance management Manager market material mechanism media member merge "
+    "middleware migration minimum mission mobile monitor multiple mutable mutation native navigation "
+    "network normal notification observer occurrence official online operation operator opportunity "
+    "optional organization origin original other overflow override owner parameters particular "
+    "partition partner passphrase pattern payment performance period permission permissions "
+    "Permissions persistence personal phone physical pipeline platform please policy pool popular "
+    "position possible practice preference preferences Preferences previous principal priority "
+    "problem procedure processor producer product profession program progress promise properties "
+    "protected protection provision publish purchase purpose quality question quota range reaction "
+    "reader ready real reason receive recommend recovery recursive reduce reference refresh Refresh "
+    "refresh_token access_token register relation relationship reliable remember remove render "
+    "renewal repeat replace report represent require required Required REQUIRED research reserved "
+    "reset resolve responsible responsibilities restore restrict retry return reverse review revoke "
+    "rotation router rule safety salt scale schedule science search second section secure Security "
+    "selection sensitive separate sequence serializer services settings several share shared Shared "
+    "should signal signing simple single Singleton situation social software solution something "
+    "special specification standard statement station statistics step stream structure student "
+    "subject submit subscribe subscription success summary supplied support Support SUPPORT switch symbol "
+    "synchronize technology telephone temporary terminal through together tracking traffic training "
+    "transfer transform translation transport traversal trigger trust tunnel "
+    "understand understanding unique university unknown unlock until upgrade usage username Username "
+    "validate validation Validation validator variety various vendor verification Verification "
+    "verified verifier verify version virtual visible visitor wallet website whether wildcard without "
+    "workflow workspace wrapper yesterday zone "
+    "/usr/local/share/ /usr/local/lib/ /etc/ssl/certs/ /var/lib/ /opt/ /home/ application/json "
+    "application/x-www-form-urlencoded text/plain multipart/form-data _in_seconds _for_ _from_ _with_ "
+    "AuthenticationToken AccessToken RefreshToken UsernamePassword SecurityContext ProxyFactoryBean "
+    "2020-01-01 2021- 2022- 2023- 2024- 2025-12-31 "
+)
+
 
 @dataclass(frozen=True)
 class NoveltyRule:
@@ -68,7 +128,8 @@ class NoveltyRule:
     A candidate is a run of ``min_chars`` or more of the characters of keys, at
     most ``reach`` characters behind a sensitive word. ``around`` characters on both
     sides are the surrounding code. It is reported if it adds at least ``min_cost``
-    compressed bytes per character to them.
+    compressed bytes per character to them, whatever kinds of characters it has. So a
+    name of words that the dictionary does not know may be reported too.
     """
 
     min_chars: int = 16
@@ -86,7 +147,7 @@ class NoveltyMeter:
 
     def __init__(self, rule: NoveltyRule) -> None:
         primed = zstandard.ZstdCompressionDict(
-            IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
+            (PLAIN_WORDS + IDENTIFIERS).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT
         )
         self._rule = rule
         self._compress = zstandard.ZstdCompressor(
@@ -129,8 +190,7 @@ def novel_spans(
                 break
             covered = m.end()
             inside = any(s < m.end() and m.start() < e for s, _, e in taken)
-            mixed_kinds = re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0])
-            if not inside and mixed_kinds and meter.cost(text, *m.span()) >= rule.min_cost:
+            if not inside and meter.cost(text, *m.span()) >= rule.min_cost:
                 spans[m.span()] = None
     return [(start, KINDS.index("novel"), end) for start, end in spans]
 

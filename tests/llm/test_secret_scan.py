@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import string
 
 from fleetlens.llm import secret_scan
 from fleetlens.llm.secret_scan import NoveltyMeter, NoveltyRule
@@ -60,6 +62,22 @@ def test_novel_strings_need_context_and_randomness():
     assert not novel("bearer kR9xQ2vLw8Zt5JmYb3Ns" * 1 + " " + "") == []
 
 
+def test_keys_of_one_kind_of_character_are_measured():
+    meter, chosen = NoveltyMeter(RULE), random.Random(3)
+
+    def novel(value):
+        text = f"Authorization: Bearer {value} and nothing else"
+        return [text[a:b] for a, k, b in secret_scan.scan(text, meter, RULE)[1] if k == 3]
+
+    kinds = (string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase, string.ascii_letters + string.digits)
+    keys = ["".join(chosen.choices(kind, k=n)) for kind in kinds for n in (16, 20, 40) for _ in range(20)]
+    keys += ["kRxQvLwZtJmYbNsHqTz", "7041-9385/2617-4093-8852", "60318_94275_11846_70932"]
+    assert [key for key in keys if novel(key) != [key]] == []
+    names = "internationalization_support AbstractSingletonProxyFactoryBean application/x-www-form-urlencoded"
+    names += " UsernamePasswordAuthenticationToken session_timeout_in_seconds ________________ 1111-1111-1111-1111"
+    assert [name for name in names.split() if novel(name)] == []
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     docs = docs_of(*TEXTS, extra=True)
     cleaned = secret_scan.redact_secrets(docs)
