@@ -177,10 +177,23 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def _rest(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range outside sorted spans; none if no span meets it."""
+    parts, done = [], start
+    for s, _, e in taken:
+        if s < end and start < e:
+            parts.append((done, s))
+            done = max(done, e)
+    return [(a, b) for a, b in [*parts, (done, end)] if a < b] if parts else []
+
+
 def novel_spans(
     text: str, taken: list[tuple[int, int, int]], meter: NoveltyMeter, rule: NoveltyRule
 ) -> list[tuple[int, int, int]]:
-    """Strings behind a sensitive word that stay incompressible and are not in a taken span."""
+    """Strings behind a sensitive word that stay incompressible and are not whole in a taken span.
+
+    One that a taken span covers in part is measured whole and also by the rest alone.
+    """
     spans: dict[tuple[int, int], None] = {}
     candidate = re.compile(_CANDIDATE % rule.min_chars)
     covered = 0
@@ -189,8 +202,10 @@ def novel_spans(
             if m.start() - near.end() > rule.reach:
                 break
             covered = m.end()
-            inside = any(s < m.end() and m.start() < e for s, _, e in taken)
-            if not inside and meter.cost(text, *m.span()) >= rule.min_cost:
+            if any(s <= m.start() and m.end() <= e for s, _, e in taken):
+                continue
+            parts = [m.span(), *_rest(*m.span(), taken)]
+            if any(meter.cost(text, *part) >= rule.min_cost for part in parts):
                 spans[m.span()] = None
     return [(start, KINDS.index("novel"), end) for start, end in spans]
 

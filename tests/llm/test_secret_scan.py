@@ -78,6 +78,16 @@ def test_keys_of_one_kind_of_character_are_measured():
     assert [name for name in names.split() if novel(name)] == []
 
 
+def test_a_key_around_a_hex_run_is_reported_whole():
+    meter = NoveltyMeter(RULE)
+    key = "0123456789abcdef0123456789abcdef-Qx7Lm2Zt"
+    text = f"the bearer is {key} and nothing else"
+    base, spans = secret_scan.scan(text, meter, RULE)
+    assert [text[a:b] for a, _, b in base] == [key[:32]]
+    assert [text[a:b] for a, k, b in spans if k == 3] == [key]
+    assert "Qx7Lm2Zt" not in secret_scan.redacted(text, spans)
+
+
 def test_redaction_keeps_rows_and_columns(docs_of):
     docs = docs_of(*TEXTS, extra=True)
     cleaned = secret_scan.redact_secrets(docs)
