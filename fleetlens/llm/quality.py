@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.texts import byte_words, in_pieces, mixed
+from fleetlens.llm.texts import byte_words, in_pieces, mixed, small
 
 # The base rules of the query's contract.
 MIN_WORDS = 50
@@ -28,9 +28,8 @@ _BASE = ", ".join(f"{name} BIGINT" for name in _NAMES)
 class QualityRules:
     """Parameters of the ratio.
 
-    ``gram`` is the length of the n-grams in bytes of UTF-8, ``buckets`` the size
-    of both multinomials (a power of two, which bounds all that is broadcast) and
-    ``trusted_docs`` the most trusted texts that the target is fitted on.
+    ``gram`` is the length of the n-grams in bytes of UTF-8 and ``buckets`` the size
+    of both multinomials (a power of two, which bounds all that reaches the driver).
     ``smoothing`` is added to the count that each bucket has in the target and to the
     one that the raw multinomial lets expect there, so rare n-grams say little. Texts
     whose mean log ratio per n-gram is below ``min_ratio`` are rejected.
@@ -38,7 +37,6 @@ class QualityRules:
 
     gram: int = 3
     buckets: int = 1 << 16
-    trusted_docs: int = 20_000
     smoothing: float = 1.0
     min_ratio: float = -0.6
 
@@ -114,20 +112,17 @@ def log_ratios(
 ) -> np.ndarray | None:
     """Smoothed log(p_target / p_raw) of each bucket; None if no trusted text is found.
 
-    The raw multinomial counts every text. The target counts trusted texts, of
-    which at most ``trusted_docs`` are used: those whose hashed ids come first. One
-    row per bucket reaches the driver.
+    The raw multinomial counts every text, the target every trusted one. One row per
+    bucket reaches the driver. Many trusted ids are joined by a shuffle of the texts.
     """
     ids = (
         trusted.select(F.col("doc_id").alias("trusted_id"))
         .filter("trusted_id IS NOT NULL")
         .distinct()
-        .orderBy(F.xxhash64("trusted_id"), "trusted_id")
-        .limit(rules.trusted_docs)
     )
     marked = (
         docs.select("doc_id", "text")
-        .join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
+        .join(small(ids, ids.count()), F.col("doc_id") == F.col("trusted_id"), "left")
         .select(F.coalesce("text", F.lit("")).alias("text"), F.expr("trusted_id IS NOT NULL AS trusted"))
     )
     counts = np.zeros((2, rules.buckets))

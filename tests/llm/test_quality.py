@@ -64,6 +64,13 @@ def test_ratio_rejects_what_trusted_texts_never_show(docs_of, spark):
     assert not any(kept[i] for i, _ in junk)
 
 
+def test_every_trusted_text_counts(docs_of, spark):
+    docs = docs_of(*((i, f"only{i * i} here{i}") for i in range(16)))
+    there = spark.range(12).toDF("doc_id")
+    many = spark.range(60_000).selectExpr("IF(id < 12, id, id + 1000000) AS doc_id")
+    assert (quality.log_ratios(docs, many) == quality.log_ratios(docs, there)).all()
+
+
 def test_empty_table(docs_of, spark):
     none = spark.createDataFrame([], "doc_id BIGINT")
     assert quality.quality_rules(docs_of(), none).count() == 0
