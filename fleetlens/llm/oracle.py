@@ -95,9 +95,71 @@ NEAR_DUPLICATES = f"""
     FROM sizes JOIN components USING (doc_id)"""
 
 
+# CRC-32 of a decimal id: each byte goes in, then eight shifts, which -1 stands for.
+CRC = """
+    list_reduce(
+        [4294967295::BIGINT] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]
+                                 FOR c IN string_split({text}, '')]),
+        lambda s, x: CASE WHEN x >= 0 THEN xor(s, x)
+                       ELSE xor(s >> 1, 3988292384 * (s & 1)) END)"""
+
+
+def crc32(text: str) -> str:
+    return f"xor({CRC.format(text=text)}, 4294967295)"
+
+
+RUNS = f"""
+    WITH split AS (
+        SELECT doc_id, {crc32("CAST(doc_id AS VARCHAR)")} AS h,
+               regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w
+        FROM documents),
+    cut AS (
+        SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a,
+               h // 10 AS g
+        FROM split),
+    words AS (
+        SELECT doc_id, list_transform(range(len(w)), lambda i: CASE
+                   WHEN i < a THEN w[i + 1]
+                   ELSE w[a + (i - a) % (1 + (len(w) - a) // (3 + g % 8)) + 1] END) AS w
+        FROM cut),
+    word_at AS (
+        SELECT doc_id, len(w) AS n, unnest(w) AS word, unnest(range(len(w))) AS i FROM words),
+    matches AS (
+        SELECT x.doc_id, x.i, x.i - y.i AS lag
+        FROM word_at x JOIN word_at y
+          ON x.doc_id = y.doc_id AND x.word = y.word AND x.i > y.i AND 4 * (x.i - y.i) <= x.n),
+    diagonals AS (
+        SELECT doc_id, lag, i,
+               i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS island
+        FROM matches),
+    stretches AS (
+        SELECT doc_id, lag AS period, min(i) - lag AS start, max(i) + 1 AS stop
+        FROM diagonals GROUP BY doc_id, lag, island
+        HAVING max(i) + 1 - min(i) + lag >= greatest(6, 4 * lag)),
+    runs AS (
+        SELECT doc_id, start, stop - start AS length, min(period) AS period
+        FROM stretches GROUP BY doc_id, start, stop),
+    listed AS (
+        SELECT doc_id, count(*) AS n_runs,
+               first(struct_pack(start, length, period) ORDER BY length DESC, start, period) AS best,
+               string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed
+        FROM runs GROUP BY doc_id),
+    gone AS (
+        SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS collapsed
+        FROM word_at ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+    SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length,
+           best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+           sha256(coalesce(listed, '')) AS runs_sha256,
+           sha256(coalesce(collapsed, '')) AS collapsed_sha256
+    FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": CHAT,
         "op8_decontamination": LEAKS,
         "op9_near_duplicates": NEAR_DUPLICATES,
+        "op13_periodic_runs": RUNS,
     }

@@ -14,6 +14,7 @@ from fleetlens.llm import (
     decontaminate,
     license_scan,
     near_dup,
+    periodic,
     pieces,
     quality,
     secret_scan,
@@ -105,6 +106,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repeated = periodic.with_repeats(table(spark, sf_dir, "documents"))
+    return periodic.run_digests(periodic.periodic_runs(repeated))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_quality_rules,
@@ -117,6 +123,7 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_near_duplicates,
         op10_sharding,
+        op13_periodic_runs,
     ]
     return {query.__name__: _ready(query) for query in found}
 
