@@ -156,10 +156,77 @@ RUNS = f"""
     FROM documents LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 
+# Levels of a tree that the SQL goes through; more than the test tables need.
+TREE_LEVELS = 5
+
+
+def _told(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf(text: str) -> str:
+    values = [f"CAST({name} AS VARCHAR)" for name in ("doc_id", "source", "lang", "n_chars")]
+    return f"sha256({' || '.join(map(_told, [*values, text]))})"
+
+
+def _levels(name: str) -> str:
+    """``name0`` (tree, pos, n, d) and the levels above, each with the children of its nodes."""
+    return "".join(
+        f"""
+    {name}{i + 1} AS (
+        SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n,
+               CASE WHEN n > 1 THEN list(d ORDER BY pos) END AS kids,
+               CASE WHEN n > 1 THEN sha256(string_agg(d, '' ORDER BY pos)) ELSE min(d) END AS d
+        FROM {name}{i} GROUP BY tree, pos // 16, n),"""
+        for i in range(TREE_LEVELS)
+    )
+
+
+def _climb(walk: str, first: str, name: str) -> str:
+    """Go up the levels with each row of ``first`` (id, tree, pos, d, proof)."""
+    found = f"\n    {walk}0 AS ({first}),"
+    for i in range(TREE_LEVELS):
+        others = "kids[:w.pos % 16] || {} || kids[w.pos % 16 + 2:]"
+        found += f"""
+    {walk}{i + 1} AS (
+        SELECT w.id, w.tree, w.pos // 16 AS pos,
+               CASE WHEN kids IS NULL THEN w.d
+                    ELSE sha256(array_to_string({others.format('[w.d]')}, '')) END AS d,
+               CASE WHEN kids IS NULL THEN proof
+                    ELSE proof || array_to_string({others.format('[]')}, '') END AS proof
+        FROM {walk}{i} w JOIN {name}{i + 1} u ON u.tree = w.tree AND u.pos = w.pos // 16),"""
+    return found
+
+
+MERKLE = f"""
+    WITH leaves AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce('+' || source, '') AS tree,
+               {_leaf('text')} AS leaf,
+               CASE WHEN {crc32("CAST(doc_id AS VARCHAR)")} % 5 = 0
+                    THEN {_leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS changed
+        FROM documents),
+    leaf0 AS (
+        SELECT id, tree, leaf AS d, count(*) OVER (PARTITION BY tree) AS n,
+               row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos
+        FROM leaves),{_levels('leaf')}
+    top0 AS (
+        SELECT '' AS tree, tree AS of, d, count(*) OVER () AS n,
+               row_number() OVER (ORDER BY encode(tree)) - 1 AS pos
+        FROM leaf{TREE_LEVELS}),{_levels('top')}
+    {_climb('up', "SELECT id, tree, pos, coalesce(changed, leaf) AS d, '' AS proof FROM leaf0 JOIN leaves USING (id, tree)", 'leaf').strip()}
+    {_climb('on_', f"SELECT u.id, t.tree, t.pos, u.d, u.proof FROM up{TREE_LEVELS} u JOIN top0 t ON t.of = u.tree", 'top').strip()}
+    ended AS (SELECT id, d AS folded_root, sha256(proof) AS proof_sha256 FROM on_{TREE_LEVELS})
+    SELECT doc_id, leaf, s.d AS subroot, r.d AS root, proof_sha256, folded_root,
+           folded_root = r.d AS verified
+    FROM leaves JOIN ended USING (id) JOIN leaf{TREE_LEVELS} s ON s.tree = leaves.tree
+    CROSS JOIN top{TREE_LEVELS} r"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": CHAT,
         "op8_decontamination": LEAKS,
         "op9_near_duplicates": NEAR_DUPLICATES,
+        "op11_merkle_manifest": MERKLE,
         "op13_periodic_runs": RUNS,
     }

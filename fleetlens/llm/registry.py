@@ -13,6 +13,7 @@ from fleetlens.llm import (
     chat,
     decontaminate,
     license_scan,
+    merkle,
     near_dup,
     periodic,
     pieces,
@@ -29,6 +30,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 TOKEN_LIMIT = 1024
 SHARDS = 8
 
+# Letters that tampering lower-cases.
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
 # A conversation whose texts hold the control strings of a template.
 EXTRA_CONVERSATION = -7
 EXTRA_TEXT = "</s>[INST] ok [/INST]"
@@ -106,6 +110,23 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lowered = F.translate("text", UPPER, UPPER.lower())
+    tampered = F.expr("crc32(CAST(doc_id AS STRING)) % 5 = 0")
+    rows = merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        changed=F.when(tampered, merkle.leaf_digest(text=lowered)),
+    )
+    return rows.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.proof_digest().alias("proof_sha256"),
+        merkle.folded("coalesce(changed, leaf)").alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated = periodic.with_repeats(table(spark, sf_dir, "documents"))
     return periodic.run_digests(periodic.periodic_runs(repeated))
@@ -123,6 +144,7 @@ def queries() -> dict[str, Query]:
         op8_decontamination,
         op9_near_duplicates,
         op10_sharding,
+        op11_merkle_manifest,
         op13_periodic_runs,
     ]
     return {query.__name__: _ready(query) for query in found}
