@@ -222,11 +222,41 @@ MERKLE = f"""
     CROSS JOIN top{TREE_LEVELS} r"""
 
 
+REPEATS = """
+    WITH texts AS (
+        SELECT row_number() OVER () AS id, doc_id, hex(encode(coalesce(text, ''))) AS bytes
+        FROM documents),
+    windows AS (
+        SELECT id, pos, md5(substring(bytes, 2 * pos + 1, 800)) AS window_md5
+        FROM (SELECT id, bytes, unnest(range(len(bytes) // 2 - 399)) AS pos FROM texts)),
+    repeated AS (
+        SELECT id, pos FROM (SELECT id, pos, count(*) OVER (PARTITION BY window_md5) AS n FROM windows)
+        WHERE n > 1),
+    steps AS (
+        SELECT id, pos, coalesce(pos > 400 + lag(pos) OVER (PARTITION BY id ORDER BY pos), true) AS is_new
+        FROM repeated),
+    spans AS (
+        SELECT id, min(pos) AS a, max(pos) + 400 AS b
+        FROM (SELECT id, pos, sum(is_new::INT) OVER (PARTITION BY id ORDER BY pos) AS span FROM steps)
+        GROUP BY id, span),
+    gaps AS (
+        SELECT id, b AS a, coalesce(lead(a) OVER (PARTITION BY id ORDER BY a, b), len(bytes) // 2) AS b, bytes
+        FROM (SELECT id, a, b FROM spans UNION ALL SELECT id, 0, 0 FROM texts) JOIN texts USING (id)),
+    kept AS (
+        SELECT id, count(*) - 1 AS n_spans,
+               string_agg(substring(bytes, 2 * a + 1, 2 * (b - a)), '' ORDER BY a, b) AS kept
+        FROM gaps GROUP BY id)
+    SELECT doc_id, len(bytes) // 2 AS n_bytes, len(bytes) // 2 - len(kept) // 2 AS n_removed,
+           n_spans, sha256(unhex(kept)) AS kept_sha256
+    FROM texts JOIN kept USING (id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": CHAT,
         "op8_decontamination": LEAKS,
         "op9_near_duplicates": NEAR_DUPLICATES,
         "op11_merkle_manifest": MERKLE,
+        "op12_repeated_strings": REPEATS,
         "op13_periodic_runs": RUNS,
     }

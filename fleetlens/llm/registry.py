@@ -18,6 +18,7 @@ from fleetlens.llm import (
     periodic,
     pieces,
     quality,
+    repeats,
     secret_scan,
     sharding,
     token_counts,
@@ -127,6 +128,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_counts(repeats.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     repeated = periodic.with_repeats(table(spark, sf_dir, "documents"))
     return periodic.run_digests(periodic.periodic_runs(repeated))
@@ -145,6 +150,7 @@ def queries() -> dict[str, Query]:
         op9_near_duplicates,
         op10_sharding,
         op11_merkle_manifest,
+        op12_repeated_strings,
         op13_periodic_runs,
     ]
     return {query.__name__: _ready(query) for query in found}
