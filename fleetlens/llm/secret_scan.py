@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -177,16 +179,55 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def _rest(start: int, end: int, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a range outside sorted spans; none if no span meets it."""
+class _Taken:
+    """Spans by kind; those of one kind do not overlap, so they are found by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]) -> None:
+        self._by_kind: dict[int, tuple[list[int], list[int]]] = {}
+        for start, kind, end in spans:
+            starts, ends = self._by_kind.setdefault(kind, ([], []))
+            starts.append(start)
+            ends.append(end)
+
+    def meeting(self, start: int, end: int) -> list[tuple[int, int]]:
+        """The spans that share a character with a range, by start."""
+        found = []
+        for starts, ends in self._by_kind.values():
+            met = slice(bisect_right(ends, start), bisect_left(starts, end))
+            found += zip(starts[met], ends[met], strict=True)
+        return sorted(found)
+
+
+def _rest(start: int, end: int, met: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of a range outside the sorted spans that meet it; none if there are none."""
     parts, done = [], start
-    for s, _, e in taken:
-        if s < end and start < e:
-            parts.append((done, s))
-            done = max(done, e)
+    for s, e in met:
+        parts.append((done, s))
+        done = max(done, e)
     return [(a, b) for a, b in [*parts, (done, end)] if a < b] if parts else []
 
 
+def candidates(text: str, rule: NoveltyRule) -> Iterator[tuple[int, int]]:
+    """Runs of key characters that begin within reach of a sensitive word, left to right.
+
+    A word may end inside a run; the rest of the run then counts. Words and runs are each
+    found once and walked in step, so that the work is linear in the text.
+    """
+    runs = re.finditer(_CANDIDATE % rule.min_chars, text)
+    run = next(runs, None)
+    covered = 0
+    for word in _NEAR.finditer(text):
+        first = max(covered, word.end())
+        while run and max(run.start(), first) - word.end() <= rule.reach:
+            start = max(run.start(), first)
+            if run.end() - start >= rule.min_chars:
+                yield start, run.end()
+                first = covered = run.end()
+            run = next(runs, None)
+        if not run:
+            return
+
+
 def novel_spans(
     text: str, taken: list[tuple[int, int, int]], meter: NoveltyMeter, rule: NoveltyRule
 ) -> list[tuple[int, int, int]]:
@@ -194,20 +235,16 @@ def novel_spans(
 
     One that a taken span covers in part is measured whole and also by the rest alone.
     """
-    spans: dict[tuple[int, int], None] = {}
-    candidate = re.compile(_CANDIDATE % rule.min_chars)
-    covered = 0
-    for near in _NEAR.finditer(text):
-        for m in candidate.finditer(text, max(covered, near.end())):
-            if m.start() - near.end() > rule.reach:
-                break
-            covered = m.end()
-            if any(s <= m.start() and m.end() <= e for s, _, e in taken):
-                continue
-            parts = [m.span(), *_rest(*m.span(), taken)]
-            if any(meter.cost(text, *part) >= rule.min_cost for part in parts):
-                spans[m.span()] = None
-    return [(start, KINDS.index("novel"), end) for start, end in spans]
+    spans = []
+    known = _Taken(taken)
+    for start, end in candidates(text, rule):
+        met = known.meeting(start, end)
+        if any(s <= start and end <= e for s, e in met):
+            continue
+        parts = [(start, end), *_rest(start, end, met)]
+        if any(meter.cost(text, *part) >= rule.min_cost for part in parts):
+            spans.append((start, KINDS.index("novel"), end))
+    return spans
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
