@@ -124,6 +124,54 @@ def _worded_issues(table: str) -> str:
               FROM {table})"""
 
 
+def _sweep(intervals: str, keys: str) -> str:
+    """Instants at which intervals open or close, with the number that is active from there on."""
+    by = f"PARTITION BY {keys} ORDER BY at_time" if keys else "ORDER BY at_time"
+    also = f"{keys}, " if keys else ""
+    return f"""
+        SELECT *, sum(delta) OVER ({by}) AS active, lead(at_time) OVER ({by}) AS next_time
+        FROM (SELECT {also}at_time, sum(delta) AS delta, sum(opened) AS opened
+              FROM (SELECT {also}start_time AS at_time, 1 AS delta, 1 AS opened FROM {intervals}
+                    UNION ALL SELECT {also}end_time, -1, 0 FROM {intervals})
+              GROUP BY ALL)"""
+
+
+def _peaks(sweep: str, keys: str) -> str:
+    also = f"{keys}, " if keys else ""
+    return f"""
+        SELECT {also}CAST(max(active) AS BIGINT) AS peak_runs,
+               min(at_time) FILTER (active = top) AS peak_start,
+               CAST(sum(epoch_us(next_time) - epoch_us(at_time)) FILTER (active = top) AS BIGINT)
+                   // 1000000 AS peak_seconds,
+               CAST(sum(epoch_us(next_time) - epoch_us(at_time)) FILTER (active > 0) AS BIGINT)
+                   // 1000000 AS busy_seconds,
+               CAST(sum(active * (epoch_us(next_time) - epoch_us(at_time))) AS BIGINT)
+                   // 1000000 AS run_seconds,
+               {_r("""CAST(sum(active * (epoch_us(next_time) - epoch_us(at_time))) AS DOUBLE)
+                      / sum(epoch_us(next_time) - epoch_us(at_time)) FILTER (active > 0)""", 4)}
+                   AS avg_active_runs
+        FROM (SELECT *, max(active) OVER ({f"PARTITION BY {keys}" if keys else ""}) AS top
+              FROM {sweep})
+        WHERE next_time IS NOT NULL {f"GROUP BY {keys}" if keys else ""}"""
+
+
+def _usage(condition: str) -> str:
+    return f"""
+        SELECT workspace_id, job_id, job_name, measured_runs, n_readings, node_seconds,
+               {_r("cpu_node_seconds", 4)} AS cpu_node_seconds,
+               {_r("cpu_mean", 4)} AS avg_cpu_utilization, {_r("mem_mean", 4)} AS avg_memory_utilization,
+               {_r("mem_peak", 4)} AS peak_memory_utilization
+        FROM usage {condition}"""
+
+
+def _schedules(condition: str) -> str:
+    return f"""
+        SELECT workspace_id, job_id, job_name, n_starts, {_r("period", 4)} AS period_seconds,
+               {_r("mad", 4)} AS gap_mad_seconds, {_r("mad / period", 4)} AS gap_spread,
+               {_r("concentration", 4)} AS phase_concentration
+        FROM schedules {condition}"""
+
+
 # Steps shared by several queries; each may use the views and earlier steps.
 STEPS = {
     "latest_job": """
@@ -141,6 +189,67 @@ STEPS = {
                CAST(epoch(max(period_end_time)) - epoch(min(period_start_time)) AS BIGINT)
                    AS duration_seconds
         FROM job_run_timeline WHERE period_start_time >= {SINCE_DAY} GROUP BY ALL""",
+    "runs": f"""
+        SELECT workspace_id, job_id, run_id, min(period_start_time) AS start_time,
+               max(period_end_time) AS end_time,
+               bool_or(coalesce(result_state = 'SUCCESS', false)) AS succeeded,
+               bool_or(coalesce(result_state IN {FAILED}, false)) AS failed
+        FROM job_run_timeline WHERE period_start_time >= {SINCE_DAY} GROUP BY ALL""",
+    "named_runs": """
+        SELECT r.*, coalesce(j.name, 'Job_' || r.job_id) AS job_name, j.change_time AS version_time
+        FROM runs r ASOF LEFT JOIN jobs j
+          ON r.workspace_id = j.workspace_id AND r.job_id = j.job_id
+             AND r.start_time >= j.change_time""",
+    "versioned_readings": f"""
+        SELECT t.cluster_id, t.instance_id, t.driver, t.start_time, {CPU} AS cpu_percent,
+               t.mem_used_percent, c.cluster_name, c.node_type_id AS node_type,
+               CAST(c.num_workers AS DOUBLE) AS num_workers, c.change_time AS version_time
+        FROM (SELECT * FROM node_timeline WHERE start_time >= {NODES_SINCE}) t
+        ASOF LEFT JOIN clusters c ON t.cluster_id = c.cluster_id AND t.start_time >= c.change_time""",
+    "run_sweep": _sweep("runs", "workspace_id"),
+    "fleet_sweep": _sweep("runs", ""),
+    "since_slices": f"""
+        SELECT workspace_id, period_start_time AS start_time, period_end_time AS end_time
+        FROM job_run_timeline WHERE period_start_time >= {SINCE_DAY}""",
+    "slice_sweep": _sweep("since_slices", "workspace_id"),
+    "run_spans": """
+        SELECT workspace_id, job_id, run_id, 'c-' || lpad(CAST(job_id % 20 AS VARCHAR), 2, '0') AS cluster_id,
+               min(moved + (period_start_time - date_trunc('day', period_start_time))) AS from_time,
+               max(moved + (period_end_time - date_trunc('day', period_start_time))) AS to_time
+        FROM (SELECT *, TIMESTAMP '2024-01-01' + to_minutes(run_id * 7919 % 41760) AS moved
+              FROM job_run_timeline)
+        WHERE moved + (period_start_time - date_trunc('day', period_start_time)) >= DATE '2024-01-31' - 7
+        GROUP BY ALL""",
+    "overlapping": f"""
+        SELECT r.workspace_id, r.job_id, r.run_id, {CPU} AS cpu, t.mem_used_percent AS mem,
+               epoch_us(least(to_time, end_time)) - epoch_us(greatest(from_time, start_time)) AS us
+        FROM run_spans r JOIN node_timeline t
+          ON r.cluster_id = t.cluster_id AND t.start_time < r.to_time AND r.from_time < t.end_time
+        WHERE t.start_time >= DATE '2024-01-31' - 8""",
+    "usage": f"""
+        SELECT o.*, coalesce(j.name, 'Job_' || o.job_id) AS job_name
+        FROM (SELECT workspace_id, job_id, count(DISTINCT run_id) AS measured_runs, count(*) AS n_readings,
+                     coalesce(CAST(sum(us) FILTER (cpu IS NOT NULL) AS BIGINT), 0) // 1000000 AS node_seconds,
+                     sum(us * cpu) / 1e8 AS cpu_node_seconds,
+                     sum(us * cpu) / sum(us) FILTER (cpu IS NOT NULL) AS cpu_mean,
+                     sum(us * mem) / sum(us) FILTER (mem IS NOT NULL) AS mem_mean,
+                     max(mem) AS mem_peak
+              FROM overlapping GROUP BY workspace_id, job_id) o
+        LEFT JOIN latest_job j ON o.workspace_id = j.workspace_id AND o.job_id = j.job_id""",
+    "starts": """
+        SELECT workspace_id, job_id, start, lead(start) OVER (PARTITION BY workspace_id, job_id ORDER BY start) - start AS gap
+        FROM (SELECT DISTINCT workspace_id, job_id, CAST(floor(epoch(start_time)) AS BIGINT) AS start FROM runs)""",
+    "spread_gaps": """
+        SELECT workspace_id, job_id, median(gap) AS period, mad(gap) AS mad
+        FROM starts WHERE gap IS NOT NULL GROUP BY workspace_id, job_id""",
+    "schedules": """
+        SELECT s.workspace_id, s.job_id, coalesce(j.name, 'Job_' || s.job_id) AS job_name, n_starts, period, mad,
+               concentration
+        FROM (SELECT workspace_id, job_id, period, mad, count(*) AS n_starts,
+                     sqrt(pow(avg(cos(2 * pi() * (start % period) / period)), 2)
+                          + pow(avg(sin(2 * pi() * (start % period) / period)), 2)) AS concentration
+              FROM starts JOIN spread_gaps USING (workspace_id, job_id) GROUP BY ALL) s
+        LEFT JOIN latest_job j ON s.workspace_id = j.workspace_id AND s.job_id = j.job_id""",
     "actives": f"""
         SELECT workspace_id, job_id, run_id,
                CAST(sum(epoch(period_end_time - period_start_time)) AS BIGINT) AS duration_seconds
@@ -673,6 +782,51 @@ def _bodies() -> dict[str, str]:
                     ON r.workspace_id = j.workspace_id AND r.job_id = j.job_id
                   WHERE period_start_time > {SINCE_INSTANT}
                   GROUP BY r.workspace_id, r.job_id, j.name)""",
+        "runs_asof_jobs": """
+            SELECT workspace_id, job_id, run_id, start_time AS started, succeeded, failed,
+                   CAST(epoch(end_time) - epoch(start_time) AS BIGINT) AS envelope_seconds,
+                   job_name, version_time
+            FROM named_runs""",
+        "job_health_by_name": f"""
+            SELECT workspace_id, job_id, job_name, count(*) AS total_runs,
+                   min(start_time) AS first_start, max(start_time) AS last_start,
+                   {_r("avg(epoch(end_time) - epoch(start_time))")} AS avg_duration_seconds,
+                   count(*) FILTER (succeeded) AS successful_runs,
+                   count(*) FILTER (failed) AS failed_runs,
+                   {_percent("count(*) FILTER (succeeded)", "count(*)")} AS success_rate_percent,
+                   {_percent("count(*) FILTER (failed)", "count(*)")} AS failure_rate_percent
+            FROM named_runs GROUP BY workspace_id, job_id, job_name""",
+        "readings_asof_clusters": f"""
+            SELECT * REPLACE ({_r("cpu_percent", 4)} AS cpu_percent,
+                              {_r("mem_used_percent", 4)} AS mem_used_percent)
+            FROM versioned_readings""",
+        "cluster_utilization_by_version": f"""
+            SELECT cluster_id, cluster_name, node_type, num_workers, version_time,
+                   count(*) AS data_points, count(DISTINCT instance_id) AS n_instances,
+                   {_r("avg(cpu_percent)", 4)} AS avg_cpu_utilization,
+                   {_r("avg(mem_used_percent)", 4)} AS avg_memory_utilization
+            FROM versioned_readings GROUP BY ALL""",
+        "concurrency_levels": """
+            SELECT workspace_id, CAST(active AS BIGINT) AS active_runs,
+                   CAST(sum(epoch_us(next_time) - epoch_us(at_time)) AS BIGINT) AS active_micros,
+                   min(epoch_us(at_time)) AS first_at
+            FROM run_sweep WHERE next_time IS NOT NULL GROUP BY workspace_id, active""",
+        "peak_concurrency": _peaks("run_sweep", "workspace_id"),
+        "peak_concurrency_fleet": _peaks("fleet_sweep", ""),
+        "busy_periods": """
+            SELECT workspace_id, min(at_time) AS period_start, max(at_time) AS period_end,
+                   CAST(epoch(max(at_time)) - epoch(min(at_time)) AS BIGINT) AS busy_seconds,
+                   CAST(sum(opened) AS BIGINT) AS n_slices, CAST(max(active) AS BIGINT) AS peak_slices
+            FROM (SELECT *, sum(CASE WHEN active > 0 AND active = delta THEN 1 ELSE 0 END)
+                                OVER (PARTITION BY workspace_id ORDER BY at_time) AS period
+                  FROM slice_sweep)
+            GROUP BY workspace_id, period""",
+        "job_resource_usage": _usage(""),
+        "resource_intensive_jobs": _usage("WHERE cpu_mean > 80 OR mem_mean > 85"),
+        "job_schedules": _schedules(""),
+        "irregular_schedules": _schedules(
+            "WHERE n_starts >= 5 AND mad / period > 0.25 AND concentration < 0.75"
+        ),
         "run_durations": "SELECT * FROM envelopes",
         "run_durations_active": "SELECT * FROM actives",
         "lookback_calendar": _window_rows(f"period_start_time >= {SINCE_DAY}"),

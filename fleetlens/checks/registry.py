@@ -28,7 +28,19 @@ from fleetlens.functions import (
     stable_round,
     threshold_level,
 )
-from fleetlens.operators import advise, clusters, detect, jobs, nodes, stats, versions
+from fleetlens.operators import (
+    advise,
+    clusters,
+    concurrency,
+    detect,
+    history,
+    jobs,
+    nodes,
+    resources,
+    schedules,
+    stats,
+    versions,
+)
 from fleetlens.plans import reports
 from fleetlens.plans.bundles import cluster_bundle
 from fleetlens.sources import catalog
@@ -149,6 +161,105 @@ def standard_percentiles(t: Tables) -> DataFrame:
     return stats.quantiles(runs, {"duration_seconds": "duration_seconds"}, digits=CHECK_DIGITS)
 
 
+# History: figures with the metadata of their time
+
+def _wall_clock(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({name: F.col(name).cast("timestamp_ntz") for name in names})
+
+
+@_register
+def runs_asof_jobs(t: Tables) -> DataFrame:
+    return history.runs_asof_jobs(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
+
+
+@_register
+def job_health_by_name(t: Tables) -> DataFrame:
+    return history.job_health_by_name(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF)
+
+
+@_register
+def readings_asof_clusters(t: Tables) -> DataFrame:
+    taken = history.readings_asof_clusters(t.node_timeline, t.clusters, NODE_DAYS, NODE_AS_OF)
+    figures = ("cpu_percent", "mem_used_percent")
+    rounded = taken.withColumns({c: stable_round(F.col(c), CHECK_DIGITS) for c in figures})
+    return _doubles(rounded, "num_workers")
+
+
+@_register
+def cluster_utilization_by_version(t: Tables) -> DataFrame:
+    by_version = history.cluster_utilization_by_version(
+        t.node_timeline, t.clusters, NODE_DAYS, NODE_AS_OF, CHECK_DIGITS
+    )
+    return _doubles(by_version, "num_workers")
+
+
+# Concurrency
+
+
+@_register
+def concurrency_levels(t: Tables) -> DataFrame:
+    return concurrency.concurrency_levels(t.job_run_timeline, JOB_DAYS, JOB_AS_OF)
+
+
+@_register
+def peak_concurrency(t: Tables) -> DataFrame:
+    peaks = concurrency.peak_concurrency(
+        t.job_run_timeline, JOB_DAYS, JOB_AS_OF, digits=CHECK_DIGITS
+    )
+    return _wall_clock(peaks, "peak_start")
+
+
+@_register
+def peak_concurrency_fleet(t: Tables) -> DataFrame:
+    peaks = concurrency.peak_concurrency(
+        t.job_run_timeline, JOB_DAYS, JOB_AS_OF, keys=(), digits=CHECK_DIGITS
+    )
+    return _wall_clock(peaks, "peak_start")
+
+
+@_register
+def busy_periods(t: Tables) -> DataFrame:
+    periods = concurrency.busy_periods(t.job_run_timeline, JOB_DAYS, JOB_AS_OF)
+    return _wall_clock(periods, "period_start", "period_end")
+
+
+# Resources and schedules
+
+
+def _usage(t: Tables, digits: int | None) -> DataFrame:
+    return resources.job_resource_usage(
+        bindings.run_clusters(t.job_run_timeline), t.node_timeline, t.jobs, NODE_DAYS, NODE_AS_OF, digits
+    )
+
+
+@_register
+def job_resource_usage(t: Tables) -> DataFrame:
+    return _usage(t, CHECK_DIGITS)
+
+
+@_register
+def resource_intensive_jobs(t: Tables) -> DataFrame:
+    heavy = resources.resource_intensive_jobs(_usage(t, None), LIMITS)
+    figures = [c for c in heavy.columns if c.endswith("utilization") or c == "cpu_node_seconds"]
+    return heavy.withColumns({c: stable_round(F.col(c), CHECK_DIGITS) for c in figures})
+
+
+def _schedules(t: Tables, digits: int | None) -> DataFrame:
+    return schedules.job_schedules(t.job_run_timeline, t.jobs, JOB_DAYS, JOB_AS_OF, digits)
+
+
+@_register
+def job_schedules(t: Tables) -> DataFrame:
+    return _schedules(t, CHECK_DIGITS)
+
+
+@_register
+def irregular_schedules(t: Tables) -> DataFrame:
+    irregular = schedules.irregular_schedules(_schedules(t, None))
+    figures = ("period_seconds", "gap_mad_seconds", "gap_spread", "phase_concentration")
+    return irregular.withColumns({c: stable_round(F.col(c), CHECK_DIGITS) for c in figures})
+
+
 # Nodes and clusters
 
 
