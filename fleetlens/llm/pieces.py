@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.llm.texts import pieces as bounded
-from fleetlens.llm.texts import stage_counted
 from fleetlens.sources.sinks import stage
 
 BLANK = "▁"
@@ -23,7 +22,12 @@ BLANK = "▁"
 # characters must fit a signed 64-bit number.
 LATTICE_CHARS = 62
 
-# Most partitions that chunks of text are dealt to.
+# A part of the texts ends behind so many bytes or so many different segments.
+PART_BYTES = 32 << 20
+PART_WORDS = 1 << 19
+
+# Segments of parts for each partition that they are dealt to, and most partitions.
+PARTITION_WORDS = 50_000
 MAX_PARTITIONS = 20_000
 
 
@@ -109,54 +113,74 @@ def segments(text: str, path: str) -> list[str]:
     return [marked[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
 
 
-_CHUNKS = (
-    "chunk BIGINT, segments ARRAY<STRING>, doc_ids ARRAY<BIGINT>, sizes ARRAY<INT>, "
-    "codes BINARY, long_at ARRAY<INT>, long ARRAY<STRING>"
+_PARTS = (
+    "part BIGINT, doc_ids ARRAY<BIGINT>, sizes ARRAY<INT>, codes BINARY, first INT, words ARRAY<STRING>"
+)
+_PART_TYPES = pa.schema(
+    [
+        ("part", pa.int64()),
+        ("doc_ids", pa.list_(pa.int64())),
+        ("sizes", pa.list_(pa.int32())),
+        ("codes", pa.binary()),
+        ("first", pa.int32()),
+        ("words", pa.list_(pa.string())),
+    ]
 )
 
 
-def _chunked(docs: DataFrame, path: str) -> DataFrame:
-    """One row per bounded chunk of texts: its distinct segments, and texts as their numbers."""
+def _packed(codes: list[int]) -> bytes:
+    """Numbers as planes of bytes, compressed."""
+    return zstandard.compress(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    rows = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T)
+    return rows.view("<u4").ravel().astype(np.int64)
+
+
+def _in_parts(docs: DataFrame, path: str) -> DataFrame:
+    """Texts as numbers of their segments, a row for a few megabytes, and the numbered segments.
+
+    Numbers hold within a part, which is texts of one task up to ``PART_BYTES``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = TaskContext.get().partitionId() << 32
-        n = 0
+        part = TaskContext.get().partitionId() << 32
+        numbers: dict[str, int] = {}
+        n_bytes = 0
+
+        def lists() -> Iterator[pa.RecordBatch]:
+            words = list(numbers)
+            for first in range(0, len(words), PARTITION_WORDS):
+                some = words[first : first + PARTITION_WORDS]
+                yield pa.RecordBatch.from_pylist(
+                    [{"part": part, "first": first, "words": some}], schema=_PART_TYPES
+                )
+
         for batch in batches:
             for piece in bounded(batch):
-                numbers: dict[str, int] = {}
                 codes, sizes = [], []
                 for text in piece.column("text").to_pylist():
                     found = segments(text or "", path)
                     sizes.append(len(found))
                     codes += [numbers.setdefault(s, len(numbers)) for s in found]
-                long = [(i, s) for s, i in numbers.items() if len(s) > LATTICE_CHARS]
                 row = {
-                    "chunk": first + n,
-                    "segments": [s if len(s) <= LATTICE_CHARS else "" for s in numbers],
+                    "part": part,
                     "doc_ids": piece.column("doc_id").to_pylist(),
                     "sizes": sizes,
-                    "codes": zstandard.compress(np.array(codes, "<u4").tobytes()),
-                    "long_at": [i for i, _ in long],
-                    "long": [s for _, s in long],
+                    "codes": _packed(codes),
                 }
-                n += 1
-                yield pa.RecordBatch.from_pylist([row], schema=_CHUNK_TYPES)
+                n_bytes += piece.column("text").nbytes
+                yield pa.RecordBatch.from_pylist([row], schema=_PART_TYPES)
+                if n_bytes >= PART_BYTES or len(numbers) >= PART_WORDS:
+                    yield from lists()
+                    part, n_bytes = part + 1, 0
+                    numbers.clear()
+        yield from lists()
 
     columns = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    return columns.mapInArrow(run, _CHUNKS)
-
-
-_CHUNK_TYPES = pa.schema(
-    [
-        ("chunk", pa.int64()),
-        ("segments", pa.list_(pa.string())),
-        ("doc_ids", pa.list_(pa.int64())),
-        ("sizes", pa.list_(pa.int32())),
-        ("codes", pa.binary()),
-        ("long_at", pa.list_(pa.int32())),
-        ("long", pa.list_(pa.string())),
-    ]
-)
+    return columns.mapInArrow(run, _PARTS)
 
 
 def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -> DataFrame:
@@ -276,79 +300,87 @@ def _piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(piece_rows(path), "piece STRING, code BIGINT")
 
 
+def _merged_long(words: DataFrame, path: str) -> DataFrame:
+    """(word, ids) of words that are too long for the lattice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [merged(word, path) for word in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"]
+            )
+
+    return words.mapInArrow(run, "word STRING, ids ARRAY<INT>")
+
+
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, n_tokens, ids) of every text under a SentencePiece BPE model file.
 
-    Texts are cut where no piece can reach over. Each bounded chunk of texts keeps its
-    distinct segments once; these are the words of the lattice, whose edges are
-    grouped and folded into ids, and the chunk's texts are put together from them. So
-    only chunks are shuffled, never single words, and no word is frequent enough to be hot.
-    Characters without a piece become the pieces of their UTF-8 bytes.
+    Texts are cut where no piece can reach over. The distinct segments of all texts are the
+    words of the lattice; each is looked up, grouped and folded into ids once. Texts are kept as numbers of
+    their segments, by parts of bounded size; a word meets a part at most once, so that
+    no word is frequent enough to be hot. Each part then gets the ids of its words, and its texts are
+    put together from them. Characters without a piece become the pieces of their UTF-8 bytes.
 
     A null or empty text has no ids. Repeated rows each give a row. A segment of more
     than ``LATTICE_CHARS`` characters, which is rare, is merged by a plain helper. The
-    model file must be at the same path on all machines. Building it stages the chunks.
+    model file must be at the same path on all machines. Building it stages the numbered texts.
     """
     spark = docs.sparkSession
     table = stage(_piece_table(spark, model_path), "pieces")
     longest = max(len(row[0]) for row in piece_rows(model_path))
-    chunks, n_chunks = stage_counted(_chunked(docs, model_path), "piece-chunks")
-    n_parts = max(1, min(2 * n_chunks, MAX_PARTITIONS))
-    keys = ["chunk", "at"]
-    words = (
-        chunks.select("chunk", "segments")
-        .repartition(n_parts, "chunk")
-        .select("chunk", F.posexplode("segments").alias("at", "word"))
-        .filter("word <> ''")
+    parts = stage(_in_parts(docs, model_path), "piece-parts")
+    n_words = parts.agg(F.sum(F.size("words"))).first()[0] or 0
+    n_partitions = min(MAX_PARTITIONS, -(-n_words // PARTITION_WORDS)) or 1
+    places = (
+        parts.filter("words IS NOT NULL")
+        .select("part", "first", F.posexplode("words").alias("at", "word"))
+        .select("part", F.expr("first + at AS at"), "word")
+        .repartition(n_partitions, "word")
     )
-    coded = folded(lattice(words, table, keys, longest), keys)
-    gathered = coded.groupBy("chunk").agg(F.collect_list(F.struct("at", "ids")).alias("known"))
-    texts = chunks.select("chunk", "doc_ids", "sizes", "codes", "long_at", "long", F.size("segments").alias("n"))
-    joined = texts.join(gathered, "chunk", "left")
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                yield _assembled(batch.slice(i, 1), model_path)
-
-    return joined.mapInArrow(assemble, "doc_id BIGINT, n_tokens BIGINT, ids ARRAY<INT>")
-
-
-def _assembled(row: pa.RecordBatch, path: str) -> pa.RecordBatch:
-    """The texts of one chunk as ids."""
-    get = {name: row.column(name)[0] for name in row.schema.names}
-    n = get["n"].as_py()
-    starts, sizes = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    flat: list[np.ndarray] = [np.empty(0, np.int32)]
-    if get["known"].is_valid:
-        known = get["known"].values
-        lists = known.field("ids")
-        at = np.asarray(known.field("at"))
+    words = places.select("word").distinct()
+    is_long = F.char_length("word") > LATTICE_CHARS
+    coded = folded(lattice(words.filter(~is_long), table, ["word"], longest), ["word"])
+    coded = coded.unionByName(_merged_long(words.filter(is_long), model_path))
+    known = places.join(coded, "word").select(F.col("part").alias("of"), "at", "ids")
+    texts = parts.filter("codes IS NOT NULL").select("part", "doc_ids", "sizes", "codes")
+
+    def assemble(numbered: pa.Table, words: pa.Table) -> pa.Table:
+        at = np.asarray(words["at"])
+        lists = words["ids"].combine_chunks()
+        sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         sizes[at] = np.asarray(pa.compute.list_value_length(lists))
         starts[at] = np.cumsum(sizes[at]) - sizes[at]
-        flat.append(np.asarray(lists.flatten(), np.int32))
-    end = len(flat[-1])
-    for at, word in zip(get["long_at"].as_py(), get["long"].as_py(), strict=True):
-        ids = np.array(merged(word, path), np.int32)
-        starts[at], sizes[at] = end, len(ids)
-        end += len(ids)
-        flat.append(ids)
-    ids = np.concatenate(flat)
-    codes = np.frombuffer(zstandard.decompress(get["codes"].as_py()), "<u4").astype(np.int64)
+        ids = np.asarray(lists.flatten(), np.int32)
+        made = [_assembled(row, starts, sizes, ids, model_path) for row in numbered.to_pylist()]
+        return pa.Table.from_batches(made)
+
+    return (
+        texts.groupBy("part")
+        .cogroup(known.groupBy("of"))
+        .applyInArrow(assemble, "doc_id BIGINT, n_tokens BIGINT, ids ARRAY<INT>")
+    )
+
+
+def _assembled(
+    row: dict, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, path: str
+) -> pa.RecordBatch:
+    """Some texts as ids: those of word k are ``sizes[k]`` from ``starts[k]`` on."""
+    codes = _unpacked(row["codes"])
     n_ids = sizes[codes]
     ends = np.cumsum(n_ids)
-    where = np.repeat(starts[codes] - (ends - n_ids), n_ids) + np.arange(ends[-1] if len(ends) else 0)
-    tokens = ids[where]
-    counts = np.asarray(get["sizes"].values, np.int64)
-    last = np.cumsum(counts)
     reached = np.concatenate([[0], ends])
+    where = np.repeat(starts[codes] - reached[:-1], n_ids) + np.arange(reached[-1])
+    tokens = ids[where]
+    counts = np.asarray(row["sizes"], np.int64)
+    last = reached[np.cumsum(counts)]
+    first = reached[np.cumsum(counts) - counts]
     of_docs = [
-        _with_bytes(tokens[reached[a] : reached[b]], path)
-        for a, b in zip((last - counts).tolist(), last.tolist(), strict=True)
+        _with_bytes(tokens[a:b], path) for a, b in zip(first.tolist(), last.tolist(), strict=True)
     ]
     return pa.RecordBatch.from_arrays(
         [
-            get["doc_ids"].values,
+            pa.array(row["doc_ids"], pa.int64()),
             pa.array([len(d) for d in of_docs], pa.int64()),
             pa.array(of_docs, pa.list_(pa.int32())),
         ],

@@ -47,6 +47,17 @@ def test_empty_table(docs_of):
     assert pieces.encode(docs_of(), PATH).count() == 0
 
 
+def test_only_empty_texts(docs_of):
+    pairs = [(1, None), (2, ""), (2, "")]
+    check(docs_of(*pairs), pairs)
+
+
+def test_words_of_many_parts(docs_of, monkeypatch):
+    monkeypatch.setattr(pieces, "PARTITION_WORDS", 7)
+    pairs = [(i, f"shared words and number {i} " + "y" * (i % 90)) for i in range(200)]
+    check(docs_of(*pairs).repartition(6), pairs)
+
+
 def test_decode_of_null_and_broken_bytes(spark):
     frame = spark.createDataFrame([(1, None), (2, [])], "doc_id BIGINT, ids ARRAY<INT>")
     assert {r["doc_id"]: r["text"] for r in pieces.decode(frame, PATH).collect()} == {1: None, 2: ""}
