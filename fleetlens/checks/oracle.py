@@ -870,6 +870,9 @@ def _bodies() -> dict[str, str]:
                         WHEN cpu > 80 OR mem > 85 THEN 'High Utilization'
                         ELSE 'Normal' END AS efficiency_category
             FROM cluster_means""",
+        "rollup_utilization_top20": "SELECT * FROM top20",
+        "rollup_utilization_zero": "SELECT * FROM utilization",
+        "rollup_efficiency": "SELECT * FROM efficiency",
         "cluster_report_details": "SELECT * FROM utilization",
         "reading_percentiles": _union(
             [

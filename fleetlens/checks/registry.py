@@ -8,6 +8,7 @@ nullable integers doubles, the types that clients of both engines show alike.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,7 +42,7 @@ from fleetlens.operators import (
     stats,
     versions,
 )
-from fleetlens.plans import reports
+from fleetlens.plans import reports, rollups
 from fleetlens.plans.bundles import cluster_bundle
 from fleetlens.sources import catalog
 from fleetlens.sources.sinks import shared_folder
@@ -486,6 +487,32 @@ def metrics_summary(t: Tables) -> DataFrame:
     return stats.metrics_summary(cluster_bundle(t, NODE_DAYS, NODE_AS_OF))
 
 
+# Daily partials
+
+
+def _daily(t: Tables) -> DataFrame:
+    """Partials in a fresh folder, refreshed as on two days, the second time over days that are there."""
+    path = shared_folder(t.spark, "rollups")
+    for as_of in (NODE_AS_OF - timedelta(days=3), NODE_AS_OF):
+        rollups.refresh(t.node_timeline, path, as_of, limits=LIMITS)
+    return t.spark.read.parquet(path)
+
+
+@_register
+def rollup_utilization_top20(t: Tables) -> DataFrame:
+    return rollups.utilization_top(_daily(t), NODE_DAYS, NODE_AS_OF)
+
+
+@_register
+def rollup_utilization_zero(t: Tables) -> DataFrame:
+    return rollups.utilization(_daily(t), NODE_DAYS, NODE_AS_OF)
+
+
+@_register
+def rollup_efficiency(t: Tables) -> DataFrame:
+    return rollups.efficiency(_daily(t), NODE_DAYS, NODE_AS_OF, CHECK_DIGITS, LIMITS)
+
+
 # Catalog and SQL
 
 FAILED_RUNS_SQL = """
