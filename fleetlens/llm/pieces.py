@@ -373,16 +373,18 @@ def _assembled(
     where = np.repeat(starts[codes] - reached[:-1], n_ids) + np.arange(reached[-1])
     tokens = ids[where]
     counts = np.asarray(row["sizes"], np.int64)
-    last = reached[np.cumsum(counts)]
-    first = reached[np.cumsum(counts) - counts]
-    of_docs = [
-        _with_bytes(tokens[a:b], path) for a, b in zip(first.tolist(), last.tolist(), strict=True)
-    ]
+    bounds = reached[np.concatenate([[0], np.cumsum(counts)])]
+    if (tokens < 0).any():
+        of_docs = [
+            _with_bytes(tokens[a:b], path) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
+        ]
+        bounds = np.cumsum([0, *map(len, of_docs)])
+        tokens = np.concatenate([np.empty(0, np.int32), *of_docs])
     return pa.RecordBatch.from_arrays(
         [
             pa.array(row["doc_ids"], pa.int64()),
-            pa.array([len(d) for d in of_docs], pa.int64()),
-            pa.array(of_docs, pa.list_(pa.int32())),
+            pa.array(np.diff(bounds), pa.int64()),
+            pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(tokens, pa.int32())),
         ],
         names=["doc_id", "n_tokens", "ids"],
     )
@@ -405,18 +407,47 @@ def decoded_text(ids: list[int], path: str) -> str:
     return text.replace(BLANK, " ").removeprefix(" ")
 
 
+# Ids that are decoded together.
+_DECODED_IDS = 1 << 20
+
+
+def _texts(lists: pa.ListArray, path: str) -> pa.Array:
+    """The texts of lists of ids; those without single bytes are joined all at once."""
+    names, _, _, bytes_of = _vocabulary(path)
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
+    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
+    ids = lists.flatten()
+    pieces_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names).take(ids))
+    joined = pa.compute.binary_join(pieces_of, "")
+    joined = pa.compute.replace_substring(joined, BLANK, " ")
+    stripped = pa.compute.utf8_slice_codeunits(joined, 1)
+    texts = pa.compute.if_else(pa.compute.starts_with(joined, " "), stripped, joined)
+    is_byte = np.isin(np.asarray(ids), list(bytes_of))
+    if is_byte.any():
+        seen = np.concatenate([[0], np.cumsum(is_byte)])
+        with_bytes = seen[ends[1:]] > seen[ends[:-1]]
+        slow = [decoded_text(lists[int(i)].as_py(), path) for i in np.flatnonzero(with_bytes)]
+        texts = pa.compute.replace_with_mask(texts, pa.array(with_bytes), pa.array(slow, pa.string()))
+    return pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
+
+
 def decode(encoded: DataFrame, model_path: str) -> DataFrame:
     """Add ``text``, the text that the ids stand for; null ids give a null text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [
-                None if ids is None else decoded_text(ids, model_path)
-                for ids in batch.column("ids").to_pylist()
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "text"]
-            )
+            lengths = pa.compute.fill_null(pa.compute.list_value_length(batch.column("ids")), 0)
+            ends = np.cumsum(np.asarray(lengths, np.int64))
+            start = 0
+            while start < batch.num_rows:
+                before = ends[start - 1] if start else 0
+                end = max(start + 1, int(np.searchsorted(ends, before + _DECODED_IDS, "right")))
+                some = batch.slice(start, end - start)
+                texts = _texts(some.column("ids"), model_path)
+                yield pa.RecordBatch.from_arrays(
+                    [*some.columns, texts], names=[*some.schema.names, "text"]
+                )
+                start = end
 
     kept = encoded.drop("text") if "text" in encoded.columns else encoded
     schema = StructType([*kept.schema.fields, StructField("text", StringType())])
