@@ -172,6 +172,29 @@ def _schedules(condition: str) -> str:
         FROM schedules {condition}"""
 
 
+def _segmented(series: str, rounds: int) -> dict[str, str]:
+    """Binary segmentation: the stretches, and the best split of each, round by round."""
+    steps = {"stretch1": f"SELECT workspace_id, 1 AS part, day, v FROM {series}"}
+    for n in range(1, rounds + 1):
+        steps[f"sums{n}"] = f"""
+        SELECT *, row_number() OVER w AS i, sum(v) OVER w AS behind, count(*) OVER p AS n,
+               sum(v) OVER p AS total, sum(CAST(v AS DOUBLE) * v) OVER p AS squares,
+               lead(day) OVER w AS next_day
+        FROM stretch{n}
+        WINDOW w AS (PARTITION BY workspace_id, part ORDER BY day), p AS (PARTITION BY workspace_id, part)"""
+        steps[f"splits{n}"] = f"""
+        SELECT *, abs(n * behind - i * total) / sqrt(n * squares - CAST(total AS DOUBLE) * total) / sqrt(n) AS score
+        FROM (SELECT *, row_number() OVER (PARTITION BY workspace_id, part
+                                           ORDER BY abs(n * behind - i * total) DESC, i) AS place
+              FROM sums{n} WHERE i < n AND n >= 10)
+        WHERE place = 1 AND n * squares > CAST(total AS DOUBLE) * total"""
+        steps[f"changes{n}"] = f"SELECT * FROM splits{n} WHERE score > 0.8"
+        steps[f"stretch{n + 1}"] = f"""
+        SELECT workspace_id, 2 * s.part + CAST(s.i > c.i AS INTEGER) AS part, s.day, s.v
+        FROM sums{n} s JOIN changes{n} c USING (workspace_id, part)"""
+    return steps
+
+
 # Steps shared by several queries; each may use the views and earlier steps.
 STEPS = {
     "latest_job": """
@@ -250,6 +273,28 @@ STEPS = {
                           + pow(avg(sin(2 * pi() * (start % period) / period)), 2)) AS concentration
               FROM starts JOIN spread_gaps USING (workspace_id, job_id) GROUP BY ALL) s
         LEFT JOIN latest_job j ON s.workspace_id = j.workspace_id AND s.job_id = j.job_id""",
+    "run_seconds": """
+        SELECT *, CAST(start_time AS DATE) AS day,
+               CAST(epoch(end_time) - epoch(start_time) AS BIGINT) AS s
+        FROM runs""",
+    "daily_medians": """
+        SELECT workspace_id, day, count(*) AS n_runs, quantile_disc(s, 0.5) AS v
+        FROM run_seconds GROUP BY workspace_id, day""",
+    "day_pairs": """
+        SELECT a.workspace_id, CAST(b.v - a.v AS DOUBLE) / (b.day - a.day) AS slope, sign(b.v - a.v) AS up
+        FROM daily_medians a JOIN daily_medians b ON a.workspace_id = b.workspace_id AND a.day < b.day""",
+    "day_ties": """
+        SELECT workspace_id, sum(t * (t - 1) * (2 * t + 5)) AS ties
+        FROM (SELECT workspace_id, v, CAST(count(*) AS DOUBLE) AS t FROM daily_medians GROUP BY ALL)
+        GROUP BY workspace_id""",
+    "day_trends": """
+        SELECT workspace_id, n, slope, fitted, (up - sign(up)) / sqrt((n * (n - 1.0) * (2 * n + 5) - ties) / 18) AS z
+        FROM (SELECT workspace_id, median(slope) AS slope, CAST(sum(up) AS DOUBLE) AS up FROM day_pairs GROUP BY 1)
+        JOIN day_ties USING (workspace_id)
+        JOIN (SELECT workspace_id, count(*) AS n, regr_slope(v, day - DATE '1970-01-01') AS fitted
+              FROM daily_medians GROUP BY 1) USING (workspace_id)
+        WHERE n >= 5""",
+    **_segmented("daily_medians", 3),
     "actives": f"""
         SELECT workspace_id, job_id, run_id,
                CAST(sum(epoch(period_end_time - period_start_time)) AS BIGINT) AS duration_seconds
@@ -821,6 +866,45 @@ def _bodies() -> dict[str, str]:
                                 OVER (PARTITION BY workspace_id ORDER BY at_time) AS period
                   FROM slice_sweep)
             GROUP BY workspace_id, period""",
+        "duration_quantiles": """
+            SELECT workspace_id, count(*) AS n_runs,
+                   CAST(quantile_disc(s, 0.5) AS DOUBLE) AS median_duration_seconds,
+                   CAST(quantile_disc(s, 0.9) AS DOUBLE) AS p90_duration_seconds,
+                   CAST(quantile_disc(s, 0.95) AS DOUBLE) AS p95_duration_seconds
+            FROM run_seconds GROUP BY workspace_id""",
+        "job_duration_quantiles": """
+            SELECT workspace_id, job_id, count(*) AS n_runs,
+                   CAST(quantile_disc(s, 0.5) AS DOUBLE) AS median_duration_seconds,
+                   CAST(quantile_disc(s, 0.9) AS DOUBLE) AS p90_duration_seconds,
+                   CAST(quantile_disc(s, 0.95) AS DOUBLE) AS p95_duration_seconds
+            FROM run_seconds GROUP BY workspace_id, job_id""",
+        "statistical_anomalies": """
+            SELECT workspace_id, strftime(day, '%Y-%m-%d') AS day, n_runs, CAST(v AS DOUBLE) AS median_seconds,
+                   baseline_runs, CAST(baseline_median AS DOUBLE) AS baseline_median_seconds, baseline_percent,
+                   CASE WHEN baseline_percent >= 95 THEN 'slower' ELSE 'faster' END AS direction
+            FROM (SELECT m.workspace_id, m.day, m.n_runs, m.v, count(*) AS baseline_runs,
+                         quantile_disc(b.s, 0.5) AS baseline_median,
+                         100 * count(*) FILTER (b.s <= m.v) // count(*) AS baseline_percent
+                  FROM daily_medians m JOIN run_seconds b
+                    ON m.workspace_id = b.workspace_id AND b.day < DATE '2001-08-01' - 60
+                  WHERE m.day >= DATE '2001-08-01' - 60 GROUP BY ALL)
+            WHERE baseline_runs >= 20 AND (baseline_percent >= 95 OR baseline_percent < 5)""",
+        "duration_trends": f"""
+            SELECT workspace_id, n AS n_days, {_r("slope", 4)} AS seconds_per_day,
+                   {_r("fitted", 4)} AS fitted_seconds_per_day, {_r("z", 4)} AS mann_kendall_z,
+                   CASE WHEN z > 1.96 THEN 'rising' WHEN z < -1.96 THEN 'falling' ELSE 'steady' END AS trend
+            FROM day_trends""",
+        "duration_changes": _union(
+            [
+                f"""SELECT workspace_id, strftime(next_day, '%Y-%m-%d') AS change_day, {n} AS round,
+                   i AS days_before, n - i AS days_after,
+                   {_r("CAST(behind AS DOUBLE) / i", 4)} AS mean_before_seconds,
+                   {_r("CAST(total - behind AS DOUBLE) / (n - i)", 4)} AS mean_after_seconds,
+                   {_r("score", 4)} AS score
+                FROM changes{n}"""
+                for n in (1, 2, 3)
+            ]
+        ),
         "job_resource_usage": _usage(""),
         "resource_intensive_jobs": _usage("WHERE cpu_mean > 80 OR mem_mean > 85"),
         "job_schedules": _schedules(""),
@@ -892,6 +976,20 @@ def _bodies() -> dict[str, str]:
             SELECT node_type AS node_type_id, memory_mb, core_count AS num_cores,
                    gpu_count AS num_gpus FROM node_types""",
         "cluster_costs": "SELECT * FROM costs",
+        "expensive_clusters": f"""
+            SELECT usage_unit, place, s.cluster_id, cluster_name, CAST(total_usage AS DOUBLE) AS total_usage,
+                   {_r("total_usage * CAST(100 AS DOUBLE) / total", 4)} AS share_percent,
+                   {_r("running * CAST(100 AS DOUBLE) / total", 4)} AS running_percent
+            FROM (SELECT *, row_number() OVER w AS place, sum(total_usage) OVER w AS running,
+                         sum(total_usage) OVER (PARTITION BY usage_unit) AS total
+                  FROM (SELECT usage_unit, usage_metadata['cluster_id'] AS cluster_id,
+                               sum(usage_quantity) AS total_usage
+                        FROM billing_usage
+                        WHERE usage_date >= {NODES_SINCE} AND usage_metadata['cluster_id'] IS NOT NULL
+                        GROUP BY ALL HAVING sum(usage_quantity) > 0)
+                  WINDOW w AS (PARTITION BY usage_unit ORDER BY total_usage DESC, cluster_id)) s
+            LEFT JOIN latest_cluster c ON s.cluster_id = c.cluster_id
+            WHERE (running - total_usage) * 100 < total * 80""",
         "latest_jobs": "SELECT * FROM latest_job",
         "latest_clusters": "SELECT * FROM latest_cluster",
         "top_cpu": _top(TOP_CPU_COLUMNS),
@@ -919,6 +1017,11 @@ def _bodies() -> dict[str, str]:
             UNION ALL BY NAME SELECT 'overutilized_clusters' AS kind, * FROM overutilized
             UNION ALL BY NAME SELECT 'inefficient_clusters' AS kind, * FROM inefficient""",
         "performance_issues": "SELECT * FROM issues",
+        "issues_without_data": _no_issues("late"),
+        "issues_none_found": _no_issues("utilization"),
+        "recommendations_without_data": _no_advice("late"),
+        "recommendations_none_found": _no_advice("utilization"),
+        "instance_utilization_null_cluster": "SELECT * FROM lost_instances",
         "issues_by_severity": "SELECT * FROM severities",
         "recommendations": "SELECT * FROM advice",
         "imbalanced_clusters": f"""
@@ -952,6 +1055,31 @@ def _bodies() -> dict[str, str]:
     }
 
 
+STEPS["lost_readings"] = """
+        SELECT * REPLACE (nullif(cluster_id, 'c-07') AS cluster_id) FROM node_timeline"""
+STEPS["lost_instances"] = STEPS["instances"].replace("FROM node_timeline t", "FROM lost_readings t")
+LATE_SINCE = "DATE '2025-01-30' - 7"
+STEPS["late"] = STEPS["utilization"].replace(NODES_SINCE, LATE_SINCE)
+
+
+def _remark(table: str, no_data: str, nothing: str) -> str:
+    return f"(SELECT CASE WHEN count(*) = 0 THEN '{no_data}' ELSE '{nothing}' END FROM {table})"
+
+
+def _no_issues(table: str) -> str:
+    remark = _remark(table, wording.NO_ISSUE_DATA, wording.NO_ISSUES)
+    return f"""
+        SELECT CAST(NULL AS VARCHAR) AS cluster_id, CAST(NULL AS BOOLEAN) AS driver, 5 AS rule_no,
+               CAST(NULL AS VARCHAR) AS rule, 'OTHER' AS severity, CAST(NULL AS DOUBLE) AS value,
+               {remark} AS message, {remark} AS issue"""
+
+
+def _no_advice(table: str) -> str:
+    remark = _remark(table, wording.NO_RECOMMENDATION_DATA, wording.NO_RECOMMENDATIONS)
+    return f"""
+        SELECT 5 AS theme_rank, 'OTHER' AS theme, CAST(NULL AS BIGINT) AS n, {remark} AS message"""
+
+
 def _query(body: str) -> str:
     """The body behind the views and steps it needs, in order of definition."""
     known = VIEWS | STEPS

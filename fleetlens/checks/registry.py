@@ -39,7 +39,9 @@ from fleetlens.operators import (
     nodes,
     resources,
     schedules,
+    spend,
     stats,
+    trends,
     versions,
 )
 from fleetlens.plans import reports, rollups
@@ -261,6 +263,44 @@ def irregular_schedules(t: Tables) -> DataFrame:
     return irregular.withColumns({c: stable_round(F.col(c), CHECK_DIGITS) for c in figures})
 
 
+# Trends; workspaces, as single jobs of the test tables have too few runs
+
+WORKSPACES = ("workspace_id",)
+RECENT_DAYS = 60
+
+
+def _daily_durations(t: Tables) -> DataFrame:
+    return trends.daily_durations(t.job_run_timeline, JOB_DAYS, JOB_AS_OF, WORKSPACES)
+
+
+@_register
+def duration_quantiles(t: Tables) -> DataFrame:
+    return trends.duration_quantiles(_daily_durations(t), WORKSPACES)
+
+
+@_register
+def job_duration_quantiles(t: Tables) -> DataFrame:
+    return trends.duration_quantiles(trends.daily_durations(t.job_run_timeline, JOB_DAYS, JOB_AS_OF))
+
+
+@_register
+def statistical_anomalies(t: Tables) -> DataFrame:
+    found = trends.statistical_anomalies(_daily_durations(t), RECENT_DAYS, JOB_AS_OF, WORKSPACES)
+    return _text_date(found, "day")
+
+
+@_register
+def duration_trends(t: Tables) -> DataFrame:
+    return trends.duration_trends(_daily_durations(t), WORKSPACES)
+
+
+@_register
+def duration_changes(t: Tables) -> DataFrame:
+    # A limit below the usual one, as durations of the test tables do not really change.
+    changes = trends.duration_changes(_daily_durations(t), WORKSPACES, limit=0.8)
+    return _text_date(changes, "change_day")
+
+
 # Nodes and clusters
 
 
@@ -301,6 +341,15 @@ def cluster_instance_utilization(t: Tables) -> DataFrame:
     return _instances(t, CHECK_DIGITS, ordered=True)
 
 
+@_register
+def instance_utilization_null_cluster(t: Tables) -> DataFrame:
+    """Readings of one cluster come without its id: they are kept, without a description."""
+    lost = t.node_timeline.withColumn("cluster_id", F.expr("nullif(cluster_id, 'c-07')"))
+    return nodes.cluster_instance_utilization(
+        lost, t.clusters, NODE_DAYS, NODE_AS_OF, CHECK_DIGITS, ordered=False
+    )
+
+
 @_register
 def cluster_efficiency(t: Tables) -> DataFrame:
     return _efficiency(t, CHECK_DIGITS, ordered=True)
@@ -343,6 +392,14 @@ def cluster_costs(t: Tables) -> DataFrame:
     return _doubles(costs, "total_usage", "num_workers")
 
 
+@_register
+def expensive_clusters(t: Tables) -> DataFrame:
+    listed = spend.expensive_clusters(
+        t.billing_usage, t.clusters, NODE_DAYS, NODE_AS_OF, digits=CHECK_DIGITS
+    )
+    return _doubles(listed, "total_usage")
+
+
 @_register
 def latest_jobs(t: Tables) -> DataFrame:
     return versions.latest_jobs(t.jobs)
@@ -425,6 +482,38 @@ def performance_issues(t: Tables) -> DataFrame:
     return advise.performance_issues(_zero(t), LIMITS)
 
 
+# A clock so late that its look-back finds no reading, and limits that no reading is over.
+LATE_AS_OF = NODE_AS_OF + timedelta(days=365)
+NO_LIMITS = Thresholds(
+    cpu_percent=1e9, memory_percent=1e9, high_wait=1e9, idle_cpu=-1, downsize_cpu=-1,
+    scale_up_cpu=1e9, relieve_memory=1e9, imbalance_gap=1e9,
+)
+
+
+def _nothing(t: Tables) -> DataFrame:
+    return nodes.cluster_utilization(t.node_timeline, NODE_DAYS, LATE_AS_OF, ordered=False)
+
+
+@_register
+def issues_without_data(t: Tables) -> DataFrame:
+    return advise.performance_issues(_nothing(t), LIMITS)
+
+
+@_register
+def issues_none_found(t: Tables) -> DataFrame:
+    return advise.performance_issues(_zero(t), NO_LIMITS)
+
+
+@_register
+def recommendations_without_data(t: Tables) -> DataFrame:
+    return advise.recommendations(_nothing(t), LIMITS)
+
+
+@_register
+def recommendations_none_found(t: Tables) -> DataFrame:
+    return advise.recommendations(_zero(t), NO_LIMITS)
+
+
 @_register
 def issues_by_severity(t: Tables) -> DataFrame:
     return advise.issues_by_severity(advise.performance_issues(_zero(t), LIMITS))

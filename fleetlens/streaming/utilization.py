@@ -17,7 +17,7 @@ from fleetlens.operators.advise import row_issues
 from fleetlens.operators.nodes import NODE_KEYS, ZERO_FIGURES, partials, readings, show
 from fleetlens.schemas import SCHEMAS
 
-# Date of the window, by which output is partitioned, and the most tasks that write it.
+# Date of the window, by which output is partitioned, and the tasks that write a trigger's.
 DATE_COLUMN = "window_date"
 FILES_PER_TRIGGER = 8
 
@@ -70,14 +70,15 @@ def windowed_issues(windows: DataFrame, limits: Thresholds = Thresholds()) -> Da
 
 
 def _writer(stream: DataFrame, path: str, checkpoint: str, files_per_trigger: int):
-    """Append to folders per window date, with a bounded number of files per trigger.
+    """Append to folders per window date, with a bounded number of files per trigger and date.
 
     Adaptive execution does not coalesce a stateful query, whose closed windows would
-    else end up in a file per state partition.
+    else end up in a file per state partition. Nearly all rows of a trigger have one date, so
+    they are spread by cluster as well.
     """
     dated = stream.withColumn(DATE_COLUMN, F.to_date("window_start"))
     return (
-        dated.repartition(files_per_trigger, DATE_COLUMN)
+        dated.repartition(files_per_trigger, DATE_COLUMN, "cluster_id")
         .writeStream.format("parquet")
         .outputMode("append")
         .partitionBy(DATE_COLUMN)
