@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.texts import byte_words, in_pieces, mixed, small
+from fleetlens.llm.texts import byte_words, in_pieces, mixed
 
 # The base rules of the query's contract.
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
+# Most trusted ids that go to all tasks: 32 MB of numbers.
+BROADCAST_IDS = 4_000_000
+
 _SYMBOLS = re.compile(rb"[#*$%&|<>]")
 _BLANK_LIKE = np.zeros(256, bool)
 _BLANK_LIKE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -107,26 +110,37 @@ def _bucket_counts(docs: DataFrame, rules: QualityRules) -> DataFrame:
     return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
+def _counted(docs: DataFrame, trusted: DataFrame, rules: QualityRules) -> DataFrame:
+    """(bucket, raw, target) of all texts, of which the trusted ids name some."""
+    ids = trusted.select(F.col("doc_id").cast("bigint").alias("id")).filter("id IS NOT NULL").distinct()
+    texts = docs.select(
+        F.col("doc_id").cast("bigint").alias("id"), F.coalesce("text", F.lit("")).alias("text")
+    )
+    if ids.count() <= BROADCAST_IDS:
+        marked = texts.join(F.broadcast(ids.withColumn("trusted", F.lit(True))), "id", "left")
+        return _bucket_counts(marked.select("text", F.expr("trusted IS NOT NULL AS trusted")), rules)
+    # The raw counts need no ids; only the trusted texts are looked for, and counted apart.
+    raw = _bucket_counts(texts.select("text", F.lit(False).alias("trusted")), rules)
+    found = texts.join(ids, "id", "left_semi").select("text", F.lit(True).alias("trusted"))
+    target = _bucket_counts(found, rules)
+    none = F.lit(0).cast("bigint")
+    both = raw.select("bucket", "raw", none.alias("target")).union(
+        target.select("bucket", none.alias("raw"), "target")
+    )
+    return both.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+
+
 def log_ratios(
     docs: DataFrame, trusted: DataFrame, rules: QualityRules = QualityRules()
 ) -> np.ndarray | None:
     """Smoothed log(p_target / p_raw) of each bucket; None if no trusted text is found.
 
     The raw multinomial counts every text, the target every trusted one. One row per
-    bucket reaches the driver. Many trusted ids are joined by a shuffle of the texts.
+    bucket reaches the driver. Up to ``BROADCAST_IDS`` trusted ids go to all tasks, and no text is
+    shuffled; more are joined by a shuffle for the target, but not for the raw counts.
     """
-    ids = (
-        trusted.select(F.col("doc_id").alias("trusted_id"))
-        .filter("trusted_id IS NOT NULL")
-        .distinct()
-    )
-    marked = (
-        docs.select("doc_id", "text")
-        .join(small(ids, ids.count()), F.col("doc_id") == F.col("trusted_id"), "left")
-        .select(F.coalesce("text", F.lit("")).alias("text"), F.expr("trusted_id IS NOT NULL AS trusted"))
-    )
     counts = np.zeros((2, rules.buckets))
-    for bucket, raw, target in _bucket_counts(marked, rules).collect():
+    for bucket, raw, target in _counted(docs, trusted, rules).collect():
         counts[:, bucket] = raw, target
     if not counts[1].any():
         return None

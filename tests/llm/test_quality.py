@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -71,6 +72,66 @@ def test_every_trusted_text_counts(docs_of, spark):
     assert (quality.log_ratios(docs, many) == quality.log_ratios(docs, there)).all()
 
 
+def brute_scores(pairs, trusted, rules):
+    """Mean log ratio per n-gram of each text, with counts in plain dictionaries."""
+
+    def bucket(gram: bytes) -> int:
+        value = int.from_bytes(gram, "big")
+        value = (value ^ value >> 30) * 0x9E3779B97F4A7C15 % 2**64
+        value = (value ^ value >> 27) * 0xC2B2AE3D27D4EB4F % 2**64
+        return (value ^ value >> 31) % rules.buckets
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        line = " ".join(["", *words, ""]).encode() if words else b""
+        return [bucket(line[i : i + rules.gram]) for i in range(len(line) - rules.gram + 1)]
+
+    raw, target = Counter(), Counter()
+    for i, text in pairs:
+        found = grams(text)
+        raw.update(found)
+        if i in trusted:
+            target.update(found)
+    share = sum(target.values()) / max(1, sum(raw.values()))
+
+    def weight(b):
+        return math.log(target[b] + rules.smoothing) - math.log(raw[b] * share + rules.smoothing)
+
+    scores = []
+    for _, text in pairs:
+        found = grams(text)
+        scores.append(sum(map(weight, found)) / len(found) if found and target else 0.0)
+    return scores
+
+
+@pytest.mark.parametrize("broadcast_ids", [quality.BROADCAST_IDS, 0])
+def test_scores_and_verdicts_equal_brute_force(docs_of, spark, sample, monkeypatch, broadcast_ids):
+    monkeypatch.setattr(quality, "BROADCAST_IDS", broadcast_ids)
+    rules = quality.QualityRules()
+    pairs = [(i, t) for i, t in TEXTS if i != 8] + [(10_000 + i, t) for i, t in list(sample.items())[:150]]
+    pairs += [(20_000 + i, " ".join(f"$$|{k}##" for k in range(80))) for i in range(3)]
+    trusted = [i for i, _ in pairs if i and (i in (4, 6) or 10_000 <= i < 10_100)]
+    ids = spark.createDataFrame([(i,) for i in [*trusted, trusted[0], None, 5_000_000]], "doc_id BIGINT")
+    scores = dict(zip([i for i, _ in pairs], brute_scores(pairs, set(trusted), rules), strict=True))
+    found = quality.quality_rules(docs_of(*pairs), ids, rules).collect()
+    assert len(found) == len(pairs)
+    for row in found:
+        assert row["score"] == pytest.approx(scores[row["doc_id"]], abs=1e-5)
+        assert row["kept"] == (not row["base_failed"] and row["score"] >= rules.min_ratio)
+    assert {row["kept"] for row in found if not row["base_failed"]} == {True, False}
+
+
+def test_no_text_is_shuffled_for_many_trusted_ids(docs_of, spark):
+    docs = docs_of(*((i, f"text {i}") for i in range(20))).repartition(4).persist()
+    many = spark.range(300_000).toDF("doc_id")
+    counted = quality._counted(docs, many, quality.QualityRules())
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    docs.unpersist()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    exchanged = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan.split("InMemoryTableScan")[0])
+    assert exchanged and all("bucket" in keys for keys in exchanged)
+
+
 def test_empty_table(docs_of, spark):
     none = spark.createDataFrame([], "doc_id BIGINT")
     assert quality.quality_rules(docs_of(), none).count() == 0
