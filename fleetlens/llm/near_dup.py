@@ -11,7 +11,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.texts import byte_words, in_pieces, mixed, small, stage_counted, word_hashes
+from fleetlens.llm.texts import (
+    byte_words,
+    in_pieces,
+    joined_by_size,
+    mixed,
+    small,
+    stage_counted,
+    word_hashes,
+)
 from fleetlens.sources.sinks import stage
 
 # Slots of the two permutations. Shingles of one text that share a slot only blur
@@ -109,20 +117,22 @@ def _signed(docs: DataFrame, rules: NearDupRules) -> DataFrame:
     return in_pieces(columns, sign, schema)
 
 
-def _sets(docs: DataFrame, ids: DataFrame, n_ids: int, rules: NearDupRules) -> DataFrame:
-    """(id, shingles) of the given documents."""
+def _sets(docs: DataFrame, classes: DataFrame, n_classes: int, rules: NearDupRules) -> DataFrame:
+    """(id, shingles) of the given classes (node, id, set_key), with the node as id."""
 
     def gather(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [
-            shingles(text or "", rules.width).view(np.int64)
-            for text in batch.column("text").to_pylist()
-        ]
-        columns = [batch.column("id"), pa.array(sets, pa.list_(pa.int64()))]
-        return pa.RecordBatch.from_arrays(columns, names=["id", "shingles"])
+        sets = [shingles(text or "", rules.width) for text in batch.column("text").to_pylist()]
+        keys = [xxhash.xxh3_128_digest(hashed.tobytes()) for hashed in sets]
+        lists = pa.array([hashed.view(np.int64) for hashed in sets], pa.list_(pa.int64()))
+        columns = [batch.column("id"), pa.array(keys, pa.binary()), lists]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "set_key", "shingles"])
 
     texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), F.col("text").cast("string"))
-    wanted = texts.join(small(ids, n_ids), "id", "left_semi")
-    return in_pieces(wanted, gather, "id BIGINT, shingles ARRAY<BIGINT>").dropDuplicates(["id"])
+    wanted = texts.join(small(classes.select("id").distinct(), n_classes), "id", "left_semi")
+    # An id may name several texts; the key tells the one that stands for the class.
+    found = in_pieces(wanted, gather, "id BIGINT, set_key BINARY, shingles ARRAY<BIGINT>")
+    once = found.dropDuplicates(["id", "set_key"])
+    return once.join(classes, ["id", "set_key"]).select(F.col("node").alias("id"), "shingles")
 
 
 def _compared(pairs: DataFrame, sets: DataFrame, rules: NearDupRules) -> DataFrame:
@@ -260,16 +270,16 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
        that joins two components is lost.
 
     A null or empty text has no shingles and is linked with nothing. Repeated rows stay
-    and share their group. Ids are taken to name one text each: of several texts that
-    are the smallest of their classes under one id, one is compared. A null id only
-    joins the class of its text. Building it stages signatures, buckets and links.
+    and share their group. An id may name several texts: each is linked on its own. A null id only
+    joins the class of its text. Building it stages signatures, classes, buckets and links.
     """
-    signed = stage(_signed(docs, rules), "near-dup-signatures")
+    signed, n_rows = stage_counted(_signed(docs, rules), "near-dup-signatures")
     named = signed.filter("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = named.groupBy("set_key").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands")
+        F.min("doc_id").alias("id"), F.count("*").alias("n"), F.first("bands").alias("bands")
     )
-    members = classes.select("id", F.explode("bands").alias("bucket"))
+    classes = stage(classes.withColumn("node", F.monotonically_increasing_id()), "near-dup-classes")
+    members = classes.select(F.col("node").alias("id"), F.explode("bands").alias("bucket"))
     shared = (
         members.groupBy("bucket")
         .agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
@@ -277,8 +287,11 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
         .select("bucket")
     )
     buckets = stage(members.join(shared, "bucket").select("bucket", "id"), "near-dup-buckets")
-    ids, n_ids = stage_counted(buckets.select("id").distinct(), "near-dup-ids")
-    sets = stage(_sets(docs, ids, n_ids, rules), "near-dup-sets")
+    nodes = buckets.select(F.col("id").alias("node")).distinct()
+    alike, n_alike = stage_counted(
+        classes.select("node", "id", "set_key").join(nodes, "node"), "near-dup-alike"
+    )
+    sets = stage(_sets(docs, alike, n_alike, rules), "near-dup-sets")
 
     sizes = sets.select("id", F.size("shingles").alias("n")).join(_own_shingles(sets), "id", "left")
     share = sizes.select("id", (F.coalesce("own", F.lit(0)) / F.col("n")).alias("share"))
@@ -299,11 +312,13 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
         more = _compared(open_pairs, sets, rules).filter("linked").select("a", "b")
         links = links.union(stage(more, "near-dup-links"))
 
-    keys = named.groupBy("set_key").agg(F.min("doc_id").alias("id"))
-    classed = signed.select("doc_id", "n_shingles", "set_key").join(keys, "set_key", "left")
-    grouped = classed.join(components(links), "id", "left")
-    component = F.coalesce("component", "id", "doc_id")
-    return grouped.select(
+    labelled = stage(_labelled(classes, components(links)), "near-dup-labels")
+    keyed = signed.select("doc_id", "n_shingles", "set_key")
+    classed = joined_by_size(
+        keyed.filter("set_key IS NOT NULL"), labelled, ["set_key"], "n", n_rows, "left"
+    ).unionByName(keyed.filter("set_key IS NULL"), allowMissingColumns=True)
+    component = F.coalesce("label", "doc_id")
+    return classed.select(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
@@ -311,6 +326,25 @@ def near_duplicates(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> Da
     )
 
 
+def _labelled(classes: DataFrame, reached: DataFrame) -> DataFrame:
+    """(set_key, n, label): the smallest doc_id that each class reaches over links.
+
+    ``reached`` holds (id, component), nodes both, of every linked node but the smallest.
+    """
+    ids = classes.select("node", "id")
+    linked = reached.select(F.col("id").alias("node"), "component").union(
+        reached.select(F.col("component").alias("node"), "component").distinct()
+    )
+    linked, n_linked = stage_counted(linked.join(ids, "node"), "near-dup-linked")
+    labels = linked.groupBy("component").agg(F.min("id").alias("label"), F.count("*").alias("size"))
+    of_nodes = joined_by_size(
+        linked.select("node", "component"), labels, ["component"], "size", n_linked
+    ).select("node", "label")
+    return classes.join(of_nodes, "node", "left").select(
+        "set_key", "n", F.coalesce("label", "id").alias("label")
+    )
+
+
 def deduplicated(docs: DataFrame, rules: NearDupRules = NearDupRules()) -> DataFrame:
     """One row of each group, with all its columns: of the row whose id is the group's smallest.
 

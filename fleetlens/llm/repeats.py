@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.llm.suffix_array import common_prefixes, suffix_array
-from fleetlens.llm.texts import in_pieces, mixed, small, stage_counted
+from fleetlens.llm.texts import in_pieces, joined_by_size, mixed, small, stage_counted
 from fleetlens.llm.texts import pieces as bounded
 from fleetlens.sources.sinks import stage
 
@@ -30,11 +30,6 @@ MAX_PARTITIONS = 20_000
 # Most windows of a segment.
 _SEGMENT = 512
 
-# Rows of one key beyond which it is joined by a broadcast: this many, or this part of all
-# rows, so that at most ``_HOT_SHARE`` keys are ever broadcast.
-_HOT_ROWS = 1000
-_HOT_SHARE = 100_000
-
 _GRAM_SEED = 12
 _ODD = 0x9E3779B97F4A7C15
 
@@ -162,22 +157,6 @@ def sketch(docs: DataFrame, rules: RepeatRules) -> DataFrame:
     return in_pieces(docs.filter(F.octet_length("text") >= width), cut, _SKETCH)
 
 
-def _joined(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
-    """Rows with the facts of their key, which are unique. ``size`` of the facts counts a key's rows.
-
-    Keys of very many rows are few, by their counts; their facts go to all tasks. The
-    other rows meet theirs by shuffle.
-    """
-    hot_size = max(_HOT_ROWS, total // _HOT_SHARE)
-    hot = facts.filter(F.col(size) > hot_size)
-    cold = facts.filter(F.col(size) <= hot_size)
-    names = [c for c in facts.columns if c not in on]
-    met = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
-    of_hot = met.filter("_hot").drop("_hot")
-    rest = met.filter("_hot IS NULL").drop("_hot", *names).join(cold, on)
-    return of_hot.unionByName(rest)
-
-
 _RANGES = "ARRAY<STRUCT<a: INT, b: INT>>"
 _VERDICT = f"key BIGINT, hi BIGINT, lo BIGINT, ranges {_RANGES}"
 _VERDICT_TYPES = pa.schema(
@@ -305,7 +284,7 @@ def _compared_windows(bytes_of: DataFrame, width: int) -> DataFrame:
     counts = windows.groupBy("w_hi", "w_lo").agg(
         F.count("*").alias("rows"), (F.count("*") + F.count_if("copied")).alias("places")
     )
-    repeated = _joined(windows, counts.filter("places > 1").drop("places"), ["w_hi", "w_lo"], "rows", total)
+    repeated = joined_by_size(windows, counts.filter("places > 1").drop("places"), ["w_hi", "w_lo"], "rows", total)
     return repeated.groupBy("key", "hi", "lo").agg(
         F.expr(f"CAST(collect_list(struct(at AS a, at + 1 AS b)) AS {_RANGES}) AS ranges")
     )
@@ -331,7 +310,7 @@ def repeated_starts(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> Data
     keys = rows.groupBy("key").agg(F.count("*").alias("key_rows"), F.max("inner").alias("key_inner"))
     keys, _ = stage_counted(keys.filter("key_rows > 1 OR key_inner").drop("key_inner"), "repeats-keys")
     total = keys.agg(F.sum("key_rows")).first()[0] or 0
-    places = stage(_joined(rows, keys, ["key"], "key_rows", total).drop("key_rows"), "repeats-places")
+    places = stage(joined_by_size(rows, keys, ["key"], "key_rows", total).drop("key_rows"), "repeats-places")
 
     different = places.groupBy(*segment).agg(
         F.count("*").alias("copies"),
@@ -348,7 +327,7 @@ def repeated_starts(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> Data
         by_key.filter("key_rows > 1 OR key_inner").drop("key_inner"), "repeats-shared"
     )
     copied = (F.col("copies") > 1).alias("copied")
-    wanted = _joined(
+    wanted = joined_by_size(
         different.select(*segment, "id", "mark", "start", "n", copied), by_key, ["key"], "key_rows", total
     )
     whole = different.filter("copies > 1").select(
@@ -370,7 +349,7 @@ def repeated_starts(docs: DataFrame, rules: RepeatRules = RepeatRules()) -> Data
             verdicts = verdicts.unionByName(found)
     sized = verdicts.join(different.select(*segment, "copies"), segment)
     sized = stage(sized, "repeats-verdicts")
-    ranged = _joined(places.drop("inner", "n"), sized, segment, "copies", total)
+    ranged = joined_by_size(places.drop("inner", "n"), sized, segment, "copies", total)
     spread = ranged.select("id", "mark", "start", F.inline("ranges")).select(
         "id", "mark", F.expr("struct(start + a AS a, start + b AS b) AS range")
     )

@@ -18,6 +18,11 @@ from fleetlens.sources.sinks import stage
 # numbers; above it, the same join shuffles both sides.
 BROADCAST_ROWS = 200_000
 
+# Rows of one key beyond which the facts of it are broadcast: this many, or this part of all
+# rows, so that at most ``HOT_PARTS`` keys are ever broadcast.
+HOT_ROWS = 1000
+HOT_PARTS = 100_000
+
 # Words end at these characters and at no others.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -92,3 +97,21 @@ def stage_counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 def small(df: DataFrame, n_rows: int) -> DataFrame:
     """Broadcast a frame whose counted rows are few; else leave the join to shuffle."""
     return F.broadcast(df) if n_rows <= BROADCAST_ROWS else df
+
+
+def joined_by_size(
+    rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int, how: str = "inner"
+) -> DataFrame:
+    """Rows with the facts of their key, which are unique. ``size`` of the facts counts a key's rows.
+
+    Keys of very many rows are few, by their counts; their facts go to all tasks. The
+    other rows meet theirs by shuffle. ``how`` is ``inner`` or ``left``; no key may be null.
+    """
+    hot_size = max(HOT_ROWS, total // HOT_PARTS)
+    hot = facts.filter(F.col(size) > hot_size)
+    cold = facts.filter(F.col(size) <= hot_size)
+    names = [c for c in facts.columns if c not in on]
+    met = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), on, "left")
+    of_hot = met.filter("_hot").drop("_hot")
+    rest = met.filter("_hot IS NULL").drop("_hot", *names).join(cold, on, how)
+    return of_hot.unionByName(rest)

@@ -6,7 +6,7 @@ import re
 import numpy as np
 import pytest
 
-from fleetlens.llm import near_dup
+from fleetlens.llm import near_dup, texts
 from fleetlens.llm.near_dup import NearDupRules
 
 
@@ -72,6 +72,16 @@ def test_edge_cases(docs_of):
     assert len(repeated) == 3 and {r["component_id"] for r in repeated} == {3}
 
 
+def test_an_id_may_name_several_texts(docs_of, monkeypatch):
+    """Links of each text count, and all rows of an id share its least document."""
+    monkeypatch.setattr(texts, "HOT_ROWS", 1)
+    a, b = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    rows = near_dup.near_duplicates(docs_of((1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "own words"))).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4)]
+    rows = near_dup.near_duplicates(docs_of((5, a), (7, a + " x"), (7, b), (6, b + " y"), (9, b + " y"))).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in rows) == [(5, 5), (6, 6), (7, 5), (7, 6), (9, 6)]
+
+
 def test_chains_and_borderline_groups_equal_brute_force(docs_of):
     """A drifting chain, a star of edits near the limit, and copies."""
     rng = random.Random(3)

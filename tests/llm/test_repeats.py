@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fleetlens.llm import repeats, suffix_array
+from fleetlens.llm import repeats, suffix_array, texts
 
 SMALL = repeats.RepeatRules(width=12, gram=5)
 
@@ -118,7 +118,7 @@ def test_repeated_rows_and_null_ids(docs_of):
 
 
 def test_many_copies_take_the_broadcast_path(docs_of, monkeypatch):
-    monkeypatch.setattr(repeats, "_HOT_ROWS", 5)
+    monkeypatch.setattr(texts, "HOT_ROWS", 5)
     shared = "a passage that a third of all texts hold"
     pairs = [(i, f"{i:04d} own words {i * 7919 % 9973:05d} " + (shared if i % 3 else "")) for i in range(90)]
     pairs += [(i, shared) for i in range(90, 120)]
