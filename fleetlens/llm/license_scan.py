@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.decontaminate import shingle_hashes
 from fleetlens.llm.texts import small, stage_counted
+from fleetlens.sources.sinks import stage
 
-# Public license notices and the opening passages of license texts.
+# Public license notices and passages of license texts.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
@@ -22,12 +24,42 @@ TEMPLATES = (
         "without restriction, including without limitation the rights to use, copy, modify, merge, "
         "publish, distribute, sublicense, and/or sell copies of the Software",
     ),
+    (
+        "MIT",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE "
+        "FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+        "DEALINGS IN THE SOFTWARE.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a "
+        "copy of the software and accompanying documentation covered by this license (the "
+        '"Software") to use, reproduce, display, distribute, execute, and transmit the Software',
+    ),
+    (
+        "BSL-1.0",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, '
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
+        "PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE "
+        "DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN "
+        "CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR "
+        "THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     (
         "Apache-2.0",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file '
         "except in compliance with the License. You may obtain a copy of the License at",
     ),
+    (
+        "Apache-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the "
+        'License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied.",
+    ),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     (
         "GPL-3.0",
@@ -35,6 +67,24 @@ TEMPLATES = (
         "of the GNU General Public License as published by the Free Software Foundation, either "
         "version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms "
+        "of the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms "
+        "of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
+    ),
     (
         "LGPL-2.1",
         "This library is free software; you can redistribute it and/or modify it under the terms "
@@ -44,10 +94,25 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    (
+        "BSD-2-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are "
+        "permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution.",
+    ),
     (
         "BSD-3-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are "
-        "permitted provided that the following conditions are met",
+        "permitted provided that the following conditions are met: 1. Redistributions of source code "
+        "must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other "
+        "materials provided with the distribution. 3. Neither the name of the copyright holder nor "
+        "the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
     ),
     (
         "ISC",
@@ -61,6 +126,29 @@ TEMPLATES = (
         "copy of the MPL was not distributed with this file, You can obtain one at",
     ),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    (
+        "Unlicense",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or "
+        "non-commercial, and by any means.",
+    ),
+    (
+        "Zlib",
+        "This software is provided 'as-is', without any express or implied warranty. In no event "
+        "will the authors be held liable for any damages arising from the use of this software. "
+        "Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely",
+    ),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the "
+        "Eclipse Public License 2.0 which is available at",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or "
+        "neighboring rights to this work.",
+    ),
 )
 
 # Tokens are runs of letters and digits.
@@ -75,6 +163,9 @@ class LicenseRules:
     windows equal to some of them, which always collide. A shorter one is one window;
     with the defaults it reaches a similarity of 3/7 at least, and with one row in
     each of 16 bands it collides with a probability of more than 0.9998.
+
+    Templates of which one holds ``rival_percent`` of the other's shingles are rivals: of those found
+    around one place only the best is reported.
     """
 
     width: int = 3
@@ -82,6 +173,7 @@ class LicenseRules:
     stride: int = 4
     bands: int = 16
     min_percent: int = 80
+    rival_percent: int = 60
 
 
 def tokens(text: Column) -> Column:
@@ -104,13 +196,38 @@ def band_values(window: str, rules: LicenseRules) -> Column:
     )
 
 
+def families(
+    templates: Sequence[tuple[str, str]], rules: LicenseRules
+) -> list[tuple[int, int]]:
+    """(family, depth) of each template: rivals share a family, and depth counts those it holds whole."""
+    sets = []
+    for _, text in templates:
+        found = re.findall(r"[^\W_]+", text.lower())
+        sets.append({tuple(found[i : i + rules.width]) for i in range(len(found) - rules.width + 1)})
+    family = list(range(len(sets)))
+    depth = [0] * len(sets)
+    for a, one in enumerate(sets):
+        for b, other in enumerate(sets):
+            if a == b or not one:
+                continue
+            if 100 * len(one & other) >= rules.rival_percent * len(one):
+                old, new = family[b], family[a]
+                family = [new if f == old else f for f in family]
+            if one < other:
+                depth[b] += 1
+    return list(zip(family, depth, strict=True))
+
+
 def template_table(spark, rules: LicenseRules, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """(template, license, shingles); templates shorter than a shingle are left out."""
-    rows = [(i, name, text) for i, (name, text) in enumerate(templates)]
-    frame = spark.createDataFrame(rows, "template INT, license STRING, text STRING")
+    """(template, license, family, depth, shingles); templates shorter than a shingle are left out."""
+    related = families(templates, rules)
+    rows = [(i, name, *related[i], text) for i, (name, text) in enumerate(templates)]
+    frame = spark.createDataFrame(rows, "template INT, license STRING, family INT, depth INT, text STRING")
     return (
         frame.withColumn("found", tokens(F.col("text")))
-        .select("template", "license", shingle_hashes("found", rules.width).alias("shingles"))
+        .select(
+            "template", "license", "family", "depth", shingle_hashes("found", rules.width).alias("shingles")
+        )
         .filter("size(shingles) > 0")
     )
 
@@ -124,11 +241,13 @@ def license_passages(
 
     Returns (doc_id, license, containment, first_token): for each document and license
     the greatest share of a template's distinct shingles that lies in the text around
-    one window, and the first token of the first such window.
+    one window, and the first token of the first such window. Of rivals, templates that hold most
+    of each other, a passage counts for the one with the greatest share; of equal shares one that
+    holds the other whole wins, else both count.
 
-    Windows of all texts are hashed into bands and joined with those of the
-    templates. Texts of windows that collide are read again, and containment is counted
-    on the shingles from one template length before the window to one behind it.
+    Windows that share a shingle with some template are hashed into bands and joined with those of the
+    templates; any other window cannot collide, as a band is one row. Containment is counted on the
+    shingles from one template length before a window that collides to one behind it.
 
     Null and empty texts, and texts shorter than a shingle, have no window; rows that
     repeat a doc_id count together. Building it stages templates and collisions.
@@ -151,28 +270,35 @@ def license_passages(
     )
 
     def hashed(frame: DataFrame) -> DataFrame:
+        # Out of a generator: a filter on the shingles, pushed below them, would split a text once per shingle.
         found = frame.select("doc_id", F.xxhash64("text").alias("row"), tokens(F.col("text")).alias("found"))
-        return found.select("doc_id", "row", shingle_hashes("found", rules.width).alias("hashes"))
+        row = F.struct("row", shingle_hashes("found", rules.width).alias("hashes"))
+        return found.select("doc_id", F.inline(F.array(row)))
 
-    # Not a filter on the shingles: pushed down, it would split a text once per shingle.
-    starts = f"IF(size(hashes) = 0, array(), sequence(0, size(hashes) - 1, {rules.stride}))"
-    windows = hashed(texts).select(
-        "doc_id",
-        "row",
-        F.expr(
-            f"inline(transform({starts}, s -> named_struct('start', s, "
-            f"'w', slice(hashes, s + 1, {rules.window}))))"
-        ),
+    # Places of template shingles, and the windows they lie in.
+    vocabulary, n_vocabulary = stage_counted(
+        known.select(F.explode("shingles").alias("hash")).distinct(), "license-shingles"
+    )
+    places = hashed(texts).select("doc_id", "row", F.posexplode("hashes").alias("at", "hash"))
+    first = f"greatest(0, (at - {rules.window} + {rules.stride}) div {rules.stride} * {rules.stride})"
+    touched, _ = stage_counted(
+        places.join(small(vocabulary, n_vocabulary), "hash")
+        .select("doc_id", "row", F.expr(f"explode(sequence({first}, at, {rules.stride})) AS start"))
+        .distinct(),
+        "license-touched",
     )
-    banded = windows.select("doc_id", "row", "start", F.explode(band_values("w", rules)).alias("band"))
+    ids, n_ids = stage_counted(touched.select("doc_id").distinct(), "license-ids")
+    again = hashed(texts.join(small(ids, n_ids), "doc_id", "left_semi")).dropDuplicates(["doc_id", "row"])
+    again = stage(again, "license-texts")
+    banded = touched.join(again, ["doc_id", "row"]).select(
+        "doc_id", "row", "start", F.expr(f"slice(hashes, start + 1, {rules.window}) AS w")
+    ).select("doc_id", "row", "start", F.explode(band_values("w", rules)).alias("band"))
     collisions, _ = stage_counted(
         banded.join(small(marks, n_marks), "band")
         .select("doc_id", "row", "start", "template")
         .distinct(),
         "license-collisions",
     )
-    ids, n_ids = stage_counted(collisions.select("doc_id").distinct(), "license-ids")
-    again = hashed(texts.join(small(ids, n_ids), "doc_id", "left_semi")).dropDuplicates(["doc_id", "row"])
     around = F.expr(
         f"slice(hashes, greatest(1, start + 1 - size(shingles)), 2 * size(shingles) + {rules.window})"
     )
@@ -181,17 +307,28 @@ def license_passages(
         .join(small(known, n_known), "template")
         .select(
             "doc_id",
+            "row",
             "license",
+            "family",
+            "depth",
             "start",
             F.size(F.array_intersect(around, "shingles")).alias("shared"),
             F.size(F.array_distinct("shingles")).alias("total"),
         )
+        .filter(100 * F.col("shared") >= rules.min_percent * F.col("total"))
+        .withColumn("merit", F.struct((F.col("shared") / F.col("total")).alias("share"), "depth"))
     )
+    reach = rules.window + rules.stride
+    nearby = Window.partitionBy("doc_id", "row", "family").orderBy("start").rangeBetween(-reach, reach)
     return (
-        checked.filter(100 * F.col("shared") >= rules.min_percent * F.col("total"))
+        checked.withColumn("best", F.max("merit").over(nearby))
+        .filter(F.col("merit") == F.col("best"))
         .groupBy("doc_id", "license")
-        .agg(
-            F.max(F.col("shared") / F.col("total")).alias("containment"),
-            F.min("start").cast("bigint").alias("first_token"),
+        .agg(F.max(F.struct("merit.share", (-F.col("start")).alias("less"))).alias("top"))
+        .select(
+            "doc_id",
+            "license",
+            F.col("top.share").alias("containment"),
+            (-F.col("top.less")).cast("bigint").alias("first_token"),
         )
     )

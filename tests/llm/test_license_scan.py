@@ -12,19 +12,25 @@ def runs(text):
 
 
 def brute(docs):
-    """{(doc, license): containment} around every window that shares a shingle."""
+    """{(doc, license): containment} around every window that shares a shingle, the best of rivals."""
     result = {}
+    related = license_scan.families(TEMPLATES, license_scan.LicenseRules())
+    targets = [(name, set(runs(text)), len(runs(text)), *related[k]) for k, (name, text) in enumerate(TEMPLATES)]
     for doc, text in docs:
         have = runs(text)
-        for name, template in TEMPLATES:
-            target = runs(template)
+        checked = []
+        for name, target, length, family, depth in targets:
             for start in range(0, len(have), 4):
-                if set(have[start : start + 6]) & set(target):
-                    low = max(0, start - len(target))
-                    around = set(have[low : low + 2 * len(target) + 6])
-                    share = len(around & set(target)) / len(set(target))
+                if set(have[start : start + 6]) & target:
+                    low = max(0, start - length)
+                    around = set(have[low : low + 2 * length + 6])
+                    share = len(around & target) / len(target)
                     if share >= 0.8:
-                        result[doc, name] = max(share, result.get((doc, name), 0))
+                        checked.append((family, start, (share, depth), name))
+        for family, start, merit, name in checked:
+            best = max(m for f, s, m, _ in checked if f == family and abs(s - start) <= 10)
+            if merit == best:
+                result[doc, name] = max(merit[0], result.get((doc, name), 0))
     return result
 
 
@@ -56,3 +62,43 @@ def test_sample_equals_brute_force(docs_of, sample):
 
 def test_empty_table(docs_of):
     assert found(docs_of()) == {}
+
+
+FILLER = "Some words of a readme come before and after the passage that names a license here."
+
+
+def named(docs_of, *texts):
+    got = found(docs_of(*enumerate(texts)))
+    return [sorted(name for i, name in got if i == k) for k in range(len(texts))]
+
+
+def template(name, place=0):
+    return [text for found_name, text in TEMPLATES if found_name == name][place]
+
+
+def test_rivals_are_told_apart(docs_of):
+    names = ["AGPL-3.0", "GPL-2.0", "LGPL-2.1", "LGPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "BSL-1.0", "Zlib", "EPL-2.0", "CC0-1.0"]
+    texts = [f"{FILLER} {template(name)} {FILLER}" for name in names]
+    texts.append(f"{FILLER} {template('GPL-3.0', 1)} {FILLER}")
+    texts.append(f"{FILLER} {template('MIT', 3)} {FILLER}")
+    texts.append(f"{FILLER} {template('BSL-1.0', 1)} {FILLER}")
+    assert named(docs_of, *texts) == [[name] for name in [*names, "GPL-3.0", "MIT", "BSL-1.0"]]
+
+
+def test_licenses_behind_one_another_all_count(docs_of):
+    lines = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0."]
+    both = f"{template('GPL-2.0')} {FILLER} {FILLER} {FILLER} {template('AGPL-3.0')}"
+    assert named(docs_of, " ".join(lines), both) == [["CC-BY-4.0", "CC-BY-NC-4.0", "MIT"], ["AGPL-3.0", "GPL-2.0"]]
+
+
+def test_edited_passages_keep_their_name(docs_of):
+    words = template("AGPL-3.0").split()
+    words[3], words[30] = "libre", "Fund"
+    assert named(docs_of, f"{FILLER} {' '.join(words)} {FILLER}") == [["AGPL-3.0"]]
+
+
+def test_families():
+    related = license_scan.families(TEMPLATES, license_scan.LicenseRules())
+    of = {name: related[k][0] for k, (name, _) in enumerate(TEMPLATES)}
+    assert of["GPL-2.0"] == of["AGPL-3.0"] and of["BSD-2-Clause"] == of["BSD-3-Clause"]
+    assert len({of["CC-BY-4.0"], of["CC-BY-NC-4.0"], of["CC-BY-SA-4.0"], of["Zlib"], of["ISC"]}) == 5
