@@ -1052,6 +1052,19 @@ def _bodies() -> dict[str, str]:
             GROUP BY job_id""",
         "stream_utilization": "SELECT * FROM windows",
         "stream_issues": _worded_issues("window_issues"),
+        "stream_alert_episodes": """
+            SELECT cluster_id, driver, window_start, window_end, avg_cpu_utilization,
+                   CASE WHEN is_over THEN 'opened' ELSE 'closed' END AS change
+            FROM (SELECT *, lag(is_over, 1, false) OVER (PARTITION BY cluster_id, driver
+                                                         ORDER BY window_start) AS was_over
+                  FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, driver, is_over, island
+                                                     ORDER BY window_start) AS n
+                        FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id, driver ORDER BY window_start)
+                                        - row_number() OVER (PARTITION BY cluster_id, driver, is_over
+                                                             ORDER BY window_start) AS island
+                              FROM (SELECT *, avg_cpu_utilization > 50 AS is_over FROM windows)))
+                  WHERE n = CASE WHEN is_over THEN 2 ELSE 1 END)
+            WHERE is_over <> was_over""",
     }
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import timedelta
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +51,10 @@ from fleetlens.sources import catalog
 from fleetlens.sources.sinks import shared_folder
 from fleetlens.sources.tables import Tables
 from fleetlens.streaming import (
+    AlertRule,
+    alert_episodes,
     read_timeline,
+    read_windows,
     run_available,
     windowed_issues,
     windowed_utilization,
@@ -653,10 +657,31 @@ def stream_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _completed(windowed_issues(_windows_from_files(spark, sf_dir), LIMITS), "stream-issues")
 
 
+# Windows of a day are few, so that short rows of them decide here.
+EPISODE_RULE = AlertRule(limit=50.0, open_after=2, close_after=1)
+
+
+def stream_alert_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _find_code(spark)
+    windows = _windows_from_files(spark, sf_dir)
+    folder = shared_folder(spark, "stream-alert-windows")
+    run_available(windows, f"{folder}/out", f"{folder}/checkpoint")
+    written = read_windows(spark, f"{folder}/out", windows.schema)
+    return _completed(alert_episodes(written, EPISODE_RULE), "stream-alert-episodes")
+
+
+def _find_code(spark: SparkSession) -> None:
+    """Let Python workers of a session on one machine find the package. A cluster is sent its code."""
+    if (spark.conf.get("spark.master", None) or "").startswith("local"):
+        root = str(Path(__file__).resolve().parents[2])
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
+
+
 def queries() -> dict[str, Query]:
     return {
         **_QUERIES,
         "sql_passthrough": sql_passthrough,
         "stream_utilization": stream_utilization,
         "stream_issues": stream_issues,
+        "stream_alert_episodes": stream_alert_episodes,
     }

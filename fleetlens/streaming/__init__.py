@@ -1,3 +1,9 @@
+from fleetlens.streaming.alerts import (
+    AlertRule,
+    alert_episodes,
+    batch_alert_episodes,
+    read_windows,
+)
 from fleetlens.streaming.utilization import (
     read_timeline,
     run_available,
@@ -7,7 +13,11 @@ from fleetlens.streaming.utilization import (
 )
 
 __all__ = [
+    "AlertRule",
+    "alert_episodes",
+    "batch_alert_episodes",
     "read_timeline",
+    "read_windows",
     "run_available",
     "start_periodic",
     "windowed_issues",

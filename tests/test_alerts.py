@@ -1,0 +1,108 @@
+"""Alerts that open and close over windows, as a stream and in batch."""
+
+from __future__ import annotations
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from conftest import rows
+from frames import readings
+
+from fleetlens.checks.registry import _find_code
+from fleetlens.session import prepare
+from fleetlens.streaming import (
+    AlertRule,
+    alert_episodes,
+    batch_alert_episodes,
+    read_timeline,
+    read_windows,
+    run_available,
+    windowed_utilization,
+)
+
+START = datetime(2024, 1, 1)
+RULE = AlertRule(limit=80.0, open_after=3, close_after=2)
+WINDOWS = (
+    "cluster_id STRING, driver BOOLEAN, window_start TIMESTAMP, window_end TIMESTAMP, avg_cpu_utilization DOUBLE"
+)
+
+
+@pytest.fixture(scope="module", autouse=True)
+def prepared(spark):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    prepare(spark)
+    _find_code(spark)
+    yield
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+
+
+def windows_of(spark, values, cluster="c"):
+    made = [
+        (cluster, False, START + timedelta(minutes=5 * i), START + timedelta(minutes=5 * i + 5), v)
+        for i, v in enumerate(values)
+    ]
+    return spark.createDataFrame(made, WINDOWS)
+
+
+def brute(values, rule=RULE):
+    found, is_open = [], False
+    valued = [(i, v) for i, v in enumerate(values) if v is not None]
+    for k, (i, _) in enumerate(valued):
+        need = rule.close_after if is_open else rule.open_after
+        last = [v > rule.limit for _, v in valued[max(0, k - need + 1) : k + 1]]
+        if len(last) == need and all(over != is_open for over in last):
+            is_open = not is_open
+            found.append((START + timedelta(minutes=5 * i), "opened" if is_open else "closed"))
+    return found
+
+
+def test_batch_equals_brute_force(spark):
+    rng = random.Random(1)
+    for seed in range(4):
+        values = [rng.choice([50.0, 81.0, 95.0, 80.0, None]) for _ in range(120)]
+        made = batch_alert_episodes(windows_of(spark, values), RULE)
+        assert sorted(rows(made, "window_start", "change")) == brute(values), seed
+
+
+def test_limit_is_strict_and_short_rows_do_nothing(spark):
+    values = [81.0, 81.0, 80.0, 81.0, 81.0, 81.0, 10.0, 81.0, 10.0, 10.0]
+    made = sorted(rows(batch_alert_episodes(windows_of(spark, values), RULE), "window_start", "change"))
+    assert made == [
+        (START + timedelta(minutes=25), "opened"), (START + timedelta(minutes=45), "closed"),
+    ]
+
+
+def reading(minute, cpu, cluster):
+    return (cluster, cpu, 0.0, 1.0, 50.0, False, "i", START + timedelta(minutes=minute))
+
+
+def test_stream_over_restarts_equals_batch(spark, tmp_path):
+    """Readings arrive in four parts, with a restart after each; state carries on."""
+    rng = random.Random(2)
+    entries = [
+        reading(5 * i + 1, rng.choice([20.0, 85.0, 95.0, 90.0]), cluster) for i in range(80) for cluster in "ab"
+    ]
+    for part in range(4):
+        some = entries[part * 40 : part * 40 + 40]
+        rng.shuffle(some)
+        readings(spark, *some).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        windows = windowed_utilization(read_timeline(spark, str(tmp_path / "in")), "5 minutes", "5 minutes")
+        run_available(windows, str(tmp_path / "windows"), str(tmp_path / "window-state"))
+        written = read_windows(spark, str(tmp_path / "windows"), windows.schema)
+        changes = alert_episodes(written, RULE)
+        run_available(changes, str(tmp_path / "out"), str(tmp_path / "state"))
+    done = spark.read.schema(changes.schema).parquet(str(tmp_path / "out")).select(changes.columns)
+    batch = windowed_utilization(readings(spark, *entries), "5 minutes", "5 minutes")
+    closed = batch.filter(batch.window_end <= START + timedelta(minutes=5 * 79 + 1 - 5))
+    expected = batch_alert_episodes(closed, RULE)
+    assert done.columns == expected.columns
+    found = sorted(rows(done), key=str)
+    assert found == sorted(rows(expected), key=str)
+    assert {row[-1] for row in found} == {"opened", "closed"}
+
+
+def test_bad_rules():
+    for name in ("open_after", "close_after"):
+        with pytest.raises(ValueError, match="or more"):
+            AlertRule(**{name: 0})
