@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +39,9 @@ EXTRA_TEXT = "</s>[INST] ok [/INST]"
 
 
 def tokenizer(name: str) -> str:
+    """Path of a public vocabulary file. Queries without a vocabulary need no such package."""
+    import public_tokenizers
+
     return str(public_tokenizers.path(name))
 
 
