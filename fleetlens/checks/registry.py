@@ -584,11 +584,9 @@ def metrics_summary(t: Tables) -> DataFrame:
 
 
 def _daily(t: Tables) -> DataFrame:
-    """Partials in a fresh folder, refreshed as on two days, the second time over days that are there."""
-    path = shared_folder(t.spark, "rollups")
-    for as_of in (NODE_AS_OF - timedelta(days=3), NODE_AS_OF):
-        rollups.refresh(t.node_timeline, path, as_of, limits=LIMITS)
-    return t.spark.read.parquet(path)
+    """The partials that a refresh writes, here merged as they are made: no query stores a table."""
+    first = NODE_AS_OF.date() - timedelta(days=rollups.RETENTION_DAYS)
+    return rollups.daily_partials(rollups.touched(t.node_timeline, first, NODE_AS_OF), LIMITS)
 
 
 @_register
