@@ -1,11 +1,13 @@
 """The results of the registered queries in DuckDB SQL, where SQL can express them.
 
 SQL has no byte-pair encoding, zstandard, checksum of a text or trained classifier; those
-queries, and license scans, are tested against brute force instead.
+queries are tested against brute force instead. License passages are found without MinHash there.
 """
 
 from __future__ import annotations
 
+from fleetlens.llm import license_scan
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 WORDS = (
@@ -251,9 +253,60 @@ REPEATS = """
     FROM texts JOIN kept USING (id)"""
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licenses() -> str:
+    """Exact containment around every window that shares a shingle with a template; the best of rivals."""
+    rules = license_scan.LicenseRules()
+    related = license_scan.families(license_scan.TEMPLATES, rules)
+    rows = ", ".join(
+        f"({i}, {_quoted(name)}, {related[i][0]}, {related[i][1]}, {_quoted(text)})"
+        for i, (name, text) in enumerate(license_scan.TEMPLATES)
+    )
+    found = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
+    shingles = "list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])"
+    reach = rules.window + rules.stride
+    return f"""
+    WITH given(template, license, family, depth, text) AS (VALUES {rows}),
+    templates AS (
+        SELECT template, license, family, depth, {shingles} AS s
+        FROM (SELECT *, {found} AS w FROM given) WHERE len(w) > 2),
+    known AS (SELECT DISTINCT template, len(s) AS size, unnest(s) AS shingle FROM templates),
+    totals AS (SELECT template, count(*) AS total FROM known GROUP BY template),
+    places AS (
+        SELECT doc_id, unnest(s) AS shingle, unnest(range(len(s))) AS place
+        FROM (SELECT doc_id, {shingles} AS s FROM (SELECT doc_id, {found} AS w FROM documents))),
+    hits AS (SELECT doc_id, template, size, shingle, place FROM places JOIN known USING (shingle)),
+    starts AS (
+        SELECT DISTINCT doc_id, template, size, start
+        FROM (SELECT *, unnest(range(greatest(0, (place - {rules.window} + {rules.stride}) // {rules.stride})
+                                     * {rules.stride}, place + 1, {rules.stride})) AS start FROM hits)),
+    shared AS (
+        SELECT s.doc_id, s.template, s.start, count(DISTINCT h.shingle) AS shared
+        FROM starts s JOIN hits h
+          ON h.doc_id = s.doc_id AND h.template = s.template
+             AND h.place >= greatest(0, s.start - s.size)
+             AND h.place < greatest(0, s.start - s.size) + 2 * s.size + {rules.window}
+        GROUP BY ALL),
+    checked AS (
+        SELECT doc_id, license, family, depth, start, CAST(shared AS DOUBLE) / CAST(total AS DOUBLE) AS share
+        FROM shared JOIN totals USING (template) JOIN templates USING (template)
+        WHERE 100 * shared >= {rules.min_percent} * total)
+    SELECT doc_id, license, max(share) AS containment
+    FROM checked c
+    WHERE NOT EXISTS (
+        SELECT 1 FROM checked b
+        WHERE b.doc_id = c.doc_id AND b.family = c.family AND abs(b.start - c.start) <= {reach}
+          AND (b.share > c.share OR b.share = c.share AND b.depth > c.depth))
+    GROUP BY doc_id, license"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": CHAT,
+        "op5_license_scan": _licenses(),
         "op8_decontamination": LEAKS,
         "op9_near_duplicates": NEAR_DUPLICATES,
         "op11_merkle_manifest": MERKLE,

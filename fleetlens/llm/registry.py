@@ -73,7 +73,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.license_passages(table(spark, sf_dir, "documents"))
+    found = license_scan.license_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "containment")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
