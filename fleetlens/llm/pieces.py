@@ -23,7 +23,7 @@ BLANK = "▁"
 LATTICE_CHARS = 62
 
 # A part of the texts ends behind so many bytes or so many different segments.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 PART_WORDS = 1 << 19
 
 # Segments of parts for each partition that they are dealt to, and most partitions.
