@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from fleetlens.llm.texts import pieces as bounded
-from fleetlens.sources.sinks import stage
+from fleetlens.sources.sinks import stage, stage_bucketed
 
 BLANK = "▁"
 
@@ -22,14 +22,17 @@ BLANK = "▁"
 # characters must fit a signed 64-bit number.
 LATTICE_CHARS = 62
 
-# A part of the texts ends behind so many bytes or so many different segments.
-PART_BYTES = 8 << 20
-PART_WORDS = 1 << 19
+# A part of the texts ends behind so many bytes; so many are cut together.
+PART_BYTES = 12 << 20
+_CUT_BYTES = 1 << 20
 
 # Segments of parts for each partition that they are dealt to, and most partitions.
 PARTITION_WORDS = 50_000
 MAX_PARTITIONS = 20_000
 
+# Segments with ids that are packed together.
+_PACKED_WORDS = 1 << 19
+
 
 @cache
 def _vocabulary(path: str) -> tuple[list[str], list[float], dict[int, int], dict[int, int]]:
@@ -83,34 +86,41 @@ def piece_rows(path: str) -> list[tuple[str, int]]:
 
 @cache
 def _joints(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of characters that stand together in some piece: sorted, and a table of low ones."""
+    """A class for each character, and which classes stand side by side in some piece.
+
+    Characters in no piece are of class 0.
+    """
     pairs = {(ord(a), ord(b)) for piece in _ranked(path) for a, b in zip(piece, piece[1:], strict=False)}
-    low = np.zeros((1024, 1024), bool)
+    seen = sorted({code for pair in pairs for code in pair})
+    classes = np.zeros(0x110000, np.int32)
+    classes[seen] = np.arange(1, len(seen) + 1)
+    joined = np.zeros((len(seen) + 1, len(seen) + 1), bool)
     for a, b in pairs:
-        if a < 1024 and b < 1024:
-            low[a, b] = True
-    return np.array(sorted((a << 21) | b for a, b in pairs), np.int64), low
+        joined[classes[a], classes[b]] = True
+    return classes, joined
 
 
-def segments(text: str, path: str) -> list[str]:
-    """Cut a text, with blanks marked, between characters that no piece holds together.
+def segments(texts: list[str | None], path: str) -> tuple[pa.StringArray, np.ndarray]:
+    """Cut texts, with blanks marked, between characters that no piece holds together.
 
-    No piece reaches over such a cut, so the segments are encoded one by one.
+    No piece reaches over such a cut, so the segments are encoded one by one. Returns the
+    segments of all texts, in order, and their number in each text.
     """
-    if not text:
-        return []
-    marked = BLANK + text.replace(" ", BLANK)
-    codes = np.frombuffer(marked.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    a, b = codes[:-1], codes[1:]
-    known, low = _joints(path)
-    both_low = (a < 1024) & (b < 1024)
-    joined = np.zeros(len(a), bool)
-    joined[both_low] = low[a[both_low], b[both_low]]
-    high = np.flatnonzero(~both_low)
-    value = (a[high] << 21) | b[high]
-    joined[high] = known[np.minimum(np.searchsorted(known, value), len(known) - 1)] == value
-    cuts = [0, *(np.flatnonzero(~joined) + 1).tolist(), len(marked)]
-    return [marked[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+    marked = [BLANK + text.replace(" ", BLANK) if text else "" for text in texts]
+    ends = np.cumsum([0, *map(len, marked)])
+    whole = "".join(marked)
+    codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+    classes, joined = _joints(path)
+    of = classes[codes]
+    is_cut = np.ones(len(codes) + 1, bool)
+    is_cut[1:-1] = ~joined.ravel()[of[:-1] * len(joined) + of[1:]]
+    is_cut[ends] = True
+    cuts = np.flatnonzero(is_cut[:-1])
+    raw = np.frombuffer(whole.encode(), np.uint8)
+    first_bytes = np.flatnonzero((raw & 0xC0) != 0x80)
+    offsets = np.append(first_bytes[cuts], len(raw)).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(cuts), pa.py_buffer(offsets), pa.py_buffer(raw))
+    return words, np.diff(np.searchsorted(cuts, ends))
 
 
 _PARTS = (
@@ -128,56 +138,62 @@ _PART_TYPES = pa.schema(
 )
 
 
-def _packed(codes: list[int]) -> bytes:
-    """Numbers as planes of bytes, compressed."""
-    return zstandard.compress(np.array(codes, "<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+def _packed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as planes of bytes, compressed."""
+    planes = np.asarray(numbers, "<i4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.compress(planes.tobytes())
 
 
 def _unpacked(packed: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
-    rows = np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T)
-    return rows.view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(planes.reshape(4, len(planes) // 4).T).view("<i4").ravel()
+
+
+def _part_rows(
+    part: int, doc_ids: list[list], sizes: list[np.ndarray], found: list[pa.StringArray]
+) -> Iterator[pa.RecordBatch]:
+    """The rows of a part: its texts as numbers, and its segments, the most frequent first."""
+    coded = pa.concat_arrays(found).dictionary_encode()
+    found.clear()
+    words, numbers = coded.dictionary, np.asarray(coded.indices)
+    counted = pa.table({"count": np.bincount(numbers, minlength=len(words)), "word": words})
+    order = pa.compute.sort_indices(counted, [("count", "descending"), ("word", "ascending")])
+    rank = np.empty(len(words), np.int32)
+    rank[np.asarray(order)] = np.arange(len(words), dtype=np.int32)
+    end = 0
+    for ids, lengths in zip(doc_ids, sizes, strict=True):
+        start, end = end, end + int(lengths.sum())
+        row = {"part": part, "doc_ids": ids, "sizes": lengths, "codes": _packed(rank[numbers[start:end]])}
+        yield pa.RecordBatch.from_pylist([row], schema=_PART_TYPES)
+    words = words.take(order)
+    for first in range(0, len(words), PARTITION_WORDS):
+        row = {"part": part, "first": first, "words": words.slice(first, PARTITION_WORDS).to_pylist()}
+        yield pa.RecordBatch.from_pylist([row], schema=_PART_TYPES)
 
 
 def _in_parts(docs: DataFrame, path: str) -> DataFrame:
-    """Texts as numbers of their segments, a row for a few megabytes, and the numbered segments.
+    """Texts as numbers of their segments, a row for about a megabyte, and the numbered segments.
 
     Numbers hold within a part, which is texts of one task up to ``PART_BYTES``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 32
-        numbers: dict[str, int] = {}
-        n_bytes = 0
-
-        def lists() -> Iterator[pa.RecordBatch]:
-            words = list(numbers)
-            for first in range(0, len(words), PARTITION_WORDS):
-                some = words[first : first + PARTITION_WORDS]
-                yield pa.RecordBatch.from_pylist(
-                    [{"part": part, "first": first, "words": some}], schema=_PART_TYPES
-                )
-
+        doc_ids, sizes, found, n_bytes = [], [], [], 0
         for batch in batches:
-            for piece in bounded(batch):
-                codes, sizes = [], []
-                for text in piece.column("text").to_pylist():
-                    found = segments(text or "", path)
-                    sizes.append(len(found))
-                    codes += [numbers.setdefault(s, len(numbers)) for s in found]
-                row = {
-                    "part": part,
-                    "doc_ids": piece.column("doc_id").to_pylist(),
-                    "sizes": sizes,
-                    "codes": _packed(codes),
-                }
+            for piece in bounded(batch, most=_CUT_BYTES):
+                words, lengths = segments(piece.column("text").to_pylist(), path)
+                doc_ids.append(piece.column("doc_id").to_pylist())
+                sizes.append(lengths)
+                found.append(words)
                 n_bytes += piece.column("text").nbytes
-                yield pa.RecordBatch.from_pylist([row], schema=_PART_TYPES)
-                if n_bytes >= PART_BYTES or len(numbers) >= PART_WORDS:
-                    yield from lists()
-                    part, n_bytes = part + 1, 0
-                    numbers.clear()
-        yield from lists()
+                if n_bytes >= PART_BYTES:
+                    yield from _part_rows(part, doc_ids, sizes, found)
+                    pa.default_memory_pool().release_unused()
+                    part += 1
+                    doc_ids, sizes, found, n_bytes = [], [], [], 0
+        if found:
+            yield from _part_rows(part, doc_ids, sizes, found)
 
     columns = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return columns.mapInArrow(run, _PARTS)
@@ -186,15 +202,14 @@ def _in_parts(docs: DataFrame, path: str) -> DataFrame:
 def lattice(words: DataFrame, table: DataFrame, keys: list[str], longest: int) -> DataFrame:
     """Edges of each word: (keys, edges), an edge being three numbers.
 
-    ``words`` has the keys and ``word``, of 1 to ``LATTICE_CHARS`` characters. Every
+    ``words`` has the keys, ``word`` and ``n``, its 1 to ``LATTICE_CHARS`` characters. Every
     substring of up to ``longest`` characters meets the piece table; a single
     character without a piece stays as an edge with its code point. Places are bits:
     ``ends`` has those of the edge's two ends, ``inner`` those between. The table is that
     of one model file, some ten thousand rows, and is sent to all tasks.
     """
     spans = (
-        words.withColumn("n", F.char_length("word"))
-        .withColumn("a", F.expr("explode(sequence(0, n - 1))"))
+        words.withColumn("a", F.expr("explode(sequence(0, n - 1))"))
         .withColumn("size", F.expr(f"explode(sequence(1, least({longest}, n - a)))"))
         .withColumn("piece", F.expr("substring(word, a + 1, size)"))
     )
@@ -287,30 +302,76 @@ def merged(word: str, path: str) -> list[int]:
     return [known[p][1] if p in known else -1 - ord(p) for p in parts if p]
 
 
-def _with_bytes(ids: np.ndarray, path: str) -> np.ndarray:
-    """Replace negated code points by the ids of their UTF-8 bytes."""
-    if not (ids < 0).any():
-        return ids
+def _with_bytes(ids: np.ndarray, sizes: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Replace negated code points in lists of ids, joined, by the ids of their UTF-8 bytes."""
+    unknown = ids < 0
+    if not unknown.any():
+        return ids, sizes
     byte_ids = _vocabulary(path)[2]
-    parts = [[i] if i >= 0 else [byte_ids[b] for b in chr(-1 - i).encode()] for i in ids.tolist()]
-    return np.array([i for part in parts for i in part], np.int32)
+    made = [[byte_ids[b] for b in chr(-1 - i).encode()] for i in ids[unknown].tolist()]
+    widths = np.ones(len(ids), np.int64)
+    widths[unknown] = [len(m) for m in made]
+    longer = np.repeat(ids, widths)
+    longer[np.repeat(unknown, widths)] = [i for m in made for i in m]
+    reached, ends = np.append(0, np.cumsum(widths)), np.cumsum(np.append(0, sizes))
+    return longer, np.diff(reached[ends])
 
 
 def _piece_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(piece_rows(path), "piece STRING, code BIGINT")
 
 
-def _merged_long(words: DataFrame, path: str) -> DataFrame:
-    """(word, ids) of words that are too long for the lattice."""
+_IDS = pa.list_(pa.int32())
+_KNOWN = "of BIGINT, at BINARY, sizes BINARY, ids BINARY"
+
+
+def _packed_known(known: DataFrame, path: str) -> DataFrame:
+    """(of, at, ids) rows as few rows: of each part some places, and the ids for each of them.
+
+    A word without ids is too long for the lattice and is merged here.
+    """
+
+    def pack(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(some)
+        if table["ids"].null_count:
+            long = table.filter(table["word"].is_valid())
+            ids = pa.array([merged(word, path) for word in long["word"].to_pylist()], _IDS)
+            long = long.set_column(2, "ids", ids)
+            table = pa.concat_tables([table.filter(table["word"].is_null()), long])
+        table = table.take(pa.compute.sort_indices(table, [("of", "ascending"), ("at", "ascending")]))
+        table = table.combine_chunks()
+        of, at = np.asarray(table["of"]), np.asarray(table["at"])
+        lists = table["ids"].combine_chunks()
+        sizes = np.asarray(pa.compute.list_value_length(lists))
+        ids, sizes = _with_bytes(np.asarray(lists.flatten()), sizes, path)
+        reached = np.cumsum(np.append(0, sizes))
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        rows = [
+            (
+                int(of[a]),
+                _packed(np.diff(at[a:b], prepend=0)),
+                _packed(sizes[a:b]),
+                _packed(ids[reached[a] : reached[b]]),
+            )
+            for a, b in zip(cuts, cuts[1:], strict=False)
+        ]
+        return pa.RecordBatch.from_pylist(
+            [dict(zip(("of", "at", "sizes", "ids"), row, strict=True)) for row in rows]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, n_rows = [], 0
         for batch in batches:
-            ids = [merged(word, path) for word in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"]
-            )
+            some.append(batch)
+            n_rows += batch.num_rows
+            if n_rows >= _PACKED_WORDS:
+                yield pack(some)
+                some, n_rows = [], 0
+        if n_rows:
+            yield pack(some)
 
-    return words.mapInArrow(run, "word STRING, ids ARRAY<INT>")
+    too_long = F.when(F.col("ids").isNull(), F.col("word")).alias("word")
+    return known.select("of", "at", "ids", too_long).mapInArrow(run, _KNOWN)
 
 
 def encode(docs: DataFrame, model_path: str) -> DataFrame:
@@ -320,7 +381,8 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     words of the lattice; each is looked up, grouped and folded into ids once. Texts are kept as numbers of
     their segments, by parts of bounded size; a word meets a part at most once, so that
     no word is frequent enough to be hot. Each part then gets the ids of its words, and its texts are
-    put together from them. Characters without a piece become the pieces of their UTF-8 bytes.
+    put together from them. Parts are staged in buckets and do not move again. Characters
+    without a piece become the pieces of their UTF-8 bytes.
 
     A null or empty text has no ids. Repeated rows each give a row. A segment of more
     than ``LATTICE_CHARS`` characters, which is rare, is merged by a plain helper. The
@@ -329,30 +391,38 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     spark = docs.sparkSession
     table = stage(_piece_table(spark, model_path), "pieces")
     longest = max(len(row[0]) for row in piece_rows(model_path))
-    parts = stage(_in_parts(docs, model_path), "piece-parts")
+    n_buckets = min(MAX_PARTITIONS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = stage_bucketed(_in_parts(docs, model_path), "piece-parts", "part", n_buckets)
     n_words = parts.agg(F.sum(F.size("words"))).first()[0] or 0
     n_partitions = min(MAX_PARTITIONS, -(-n_words // PARTITION_WORDS)) or 1
     places = (
         parts.filter("words IS NOT NULL")
         .select("part", "first", F.posexplode("words").alias("at", "word"))
-        .select("part", F.expr("first + at AS at"), "word")
+        .select(F.col("part").alias("of"), F.expr("first + at AS at"), "word")
+        .filter("word IS NOT NULL")
         .repartition(n_partitions, "word")
     )
-    words = places.select("word").distinct()
-    is_long = F.char_length("word") > LATTICE_CHARS
-    coded = folded(lattice(words.filter(~is_long), table, ["word"], longest), ["word"])
-    coded = coded.unionByName(_merged_long(words.filter(is_long), model_path))
-    known = places.join(coded, "word").select(F.col("part").alias("of"), "at", "ids")
+    # The least places are never below zero. They keep the columns that the join below reads,
+    # so that one shuffle serves both.
+    words = places.groupBy("word").agg(
+        F.max(F.char_length("word")).alias("n"),
+        F.min("of").alias("of"),
+        F.min("at").alias("at"),
+    )
+    words = words.filter(f"of >= 0 AND at >= 0 AND n <= {LATTICE_CHARS}").select("word", "n")
+    coded = folded(lattice(words, table, ["word"], longest), ["word"])
+    known = _packed_known(places.join(coded.hint("shuffle_hash"), "word", "left"), model_path)
     texts = parts.filter("codes IS NOT NULL").select("part", "doc_ids", "sizes", "codes")
 
     def assemble(numbered: pa.Table, words: pa.Table) -> pa.Table:
-        at = np.asarray(words["at"])
-        lists = words["ids"].combine_chunks()
+        packed = [[_unpacked(x) for x in words[c].to_pylist()] for c in ("at", "sizes", "ids")]
+        at = np.concatenate([np.empty(0, np.int64), *map(np.cumsum, packed[0])])
+        lengths = np.concatenate([np.empty(0, np.int64), *packed[1]])
         sizes, starts = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
-        sizes[at] = np.asarray(pa.compute.list_value_length(lists))
-        starts[at] = np.cumsum(sizes[at]) - sizes[at]
-        ids = np.asarray(lists.flatten(), np.int32)
-        made = [_assembled(row, starts, sizes, ids, model_path) for row in numbered.to_pylist()]
+        sizes[at] = lengths
+        starts[at] = np.cumsum(lengths) - lengths
+        ids = np.concatenate([np.empty(0, np.int32), *packed[2]])
+        made = [_assembled(row, starts, sizes, ids) for row in numbered.to_pylist()]
         return pa.Table.from_batches(made)
 
     return (
@@ -362,24 +432,15 @@ def encode(docs: DataFrame, model_path: str) -> DataFrame:
     )
 
 
-def _assembled(
-    row: dict, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray, path: str
-) -> pa.RecordBatch:
+def _assembled(row: dict, starts: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
     """Some texts as ids: those of word k are ``sizes[k]`` from ``starts[k]`` on."""
     codes = _unpacked(row["codes"])
     n_ids = sizes[codes]
-    ends = np.cumsum(n_ids)
-    reached = np.concatenate([[0], ends])
+    reached = np.append(0, np.cumsum(n_ids))
     where = np.repeat(starts[codes] - reached[:-1], n_ids) + np.arange(reached[-1])
     tokens = ids[where]
     counts = np.asarray(row["sizes"], np.int64)
-    bounds = reached[np.concatenate([[0], np.cumsum(counts)])]
-    if (tokens < 0).any():
-        of_docs = [
-            _with_bytes(tokens[a:b], path) for a, b in zip(bounds[:-1], bounds[1:], strict=True)
-        ]
-        bounds = np.cumsum([0, *map(len, of_docs)])
-        tokens = np.concatenate([np.empty(0, np.int32), *of_docs])
+    bounds = reached[np.append(0, np.cumsum(counts))]
     return pa.RecordBatch.from_arrays(
         [
             pa.array(row["doc_ids"], pa.int64()),
@@ -411,23 +472,30 @@ def decoded_text(ids: list[int], path: str) -> str:
 _DECODED_IDS = 1 << 20
 
 
-def _texts(lists: pa.ListArray, path: str) -> pa.Array:
-    """The texts of lists of ids; those without single bytes are joined all at once."""
+@cache
+def _raw_pieces(path: str) -> pa.BinaryArray:
+    """The UTF-8 bytes of each piece by id."""
     names, _, _, bytes_of = _vocabulary(path)
+    raw = [bytes([bytes_of[i]]) if i in bytes_of else name.encode() for i, name in enumerate(names)]
+    return pa.array(raw, pa.binary())
+
+
+def _texts(lists: pa.ListArray, path: str) -> pa.Array:
+    """The texts of lists of ids, as ``decoded_text`` gives them."""
     lengths = pa.compute.fill_null(pa.compute.list_value_length(lists), 0)
-    ends = np.concatenate([[0], np.cumsum(np.asarray(lengths, np.int64))])
-    ids = lists.flatten()
-    pieces_of = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names).take(ids))
-    joined = pa.compute.binary_join(pieces_of, "")
-    joined = pa.compute.replace_substring(joined, BLANK, " ")
-    stripped = pa.compute.utf8_slice_codeunits(joined, 1)
-    texts = pa.compute.if_else(pa.compute.starts_with(joined, " "), stripped, joined)
-    is_byte = np.isin(np.asarray(ids), list(bytes_of))
-    if is_byte.any():
-        seen = np.concatenate([[0], np.cumsum(is_byte)])
-        with_bytes = seen[ends[1:]] > seen[ends[:-1]]
-        slow = [decoded_text(lists[int(i)].as_py(), path) for i in np.flatnonzero(with_bytes)]
-        texts = pa.compute.replace_with_mask(texts, pa.array(with_bytes), pa.array(slow, pa.string()))
+    ends = np.append(0, np.cumsum(np.asarray(lengths, np.int64)))
+    taken = _raw_pieces(path).take(lists.flatten())
+    # The pieces stand one behind the other already; only the ends of texts are left.
+    _, offsets, data = taken.buffers()
+    places = np.frombuffer(offsets, np.int32, len(taken) + 1, taken.offset * 4)[ends]
+    raw = pa.BinaryArray.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(places), data])
+    raw = pa.compute.replace_substring(raw, BLANK.encode(), b" ")
+    try:
+        texts = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([text.decode("utf-8", "replace") for text in raw.to_pylist()], pa.string())
+    stripped = pa.compute.utf8_slice_codeunits(texts, 1)
+    texts = pa.compute.if_else(pa.compute.starts_with(texts, " "), stripped, texts)
     return pa.compute.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
 
 

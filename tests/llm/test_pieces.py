@@ -68,3 +68,44 @@ def test_long_word_helper_equals_the_library():
     model = sentencepiece.SentencePieceProcessor(model_file=PATH)
     for text in ("hello" * 40, "aab" * 100, "zqxj" * 50, "e" * 500):
         assert pieces.merged(pieces.BLANK + text, PATH) == model.encode(text)
+
+
+def test_texts_are_staged_once_and_not_shuffled(docs_of):
+    """Texts as numbers, half the size of the input, once moved on top of being staged."""
+    pairs = [(i, f"some words of text {i}") for i in range(50)]
+    plan = pieces.encode(docs_of(*pairs), PATH)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning(" in line]
+    assert not [line for line in exchanges if "hashpartitioning(part#" in line]
+    # Words and their ids meet where the words are dealt to: both uses read one exchange.
+    assert len([line for line in exchanges if "hashpartitioning(word#" in line]) == 2
+    assert len(exchanges) == 3
+
+
+def test_parts_of_many_pieces(docs_of, monkeypatch):
+    monkeypatch.setattr(pieces, "PART_BYTES", 400)
+    monkeypatch.setattr(pieces, "_CUT_BYTES", 90)
+    monkeypatch.setattr(pieces, "_PACKED_WORDS", 5)
+    pairs = [(i, f"part {i % 7}\n" * (i % 5) + "é\x00🙂" * (i % 3) + "z" * (i % 80)) for i in range(60)]
+    pairs += [(60, None), (61, "")]
+    check(docs_of(*pairs).repartition(2), pairs)
+
+
+def test_segments_hold_the_text_and_no_piece_reaches_over():
+    texts = ["a b", None, "", "  x\t\n", "日本 é🙂z", "don't STOP"]
+    words, sizes = pieces.segments(texts, PATH)
+    ends = sizes.cumsum()
+    pairs = {(a, b) for p in pieces._ranked(PATH) for a, b in zip(p, p[1:], strict=False)}
+    for text, start, end in zip(texts, ends - sizes, ends, strict=True):
+        some = words.to_pylist()[start:end]
+        assert "".join(some) == (pieces.BLANK + text.replace(" ", pieces.BLANK) if text else "")
+        assert all((a[-1], b[0]) not in pairs for a, b in zip(some, some[1:], strict=False))
+        assert all(pair in pairs for word in some for pair in zip(word, word[1:], strict=False))
+
+
+def test_decode_of_bytes_in_many_texts(spark):
+    model = sentencepiece.SentencePieceProcessor(model_file=PATH)
+    broken = [3 + 0xE2, 3 + 0x96, *model.encode("x\ny")]
+    lists = [model.encode("a\nb"), [], broken, None, model.encode("🙂 \x00"), [3 + 0xFF]]
+    frame = spark.createDataFrame(list(enumerate(lists)), "doc_id BIGINT, ids ARRAY<INT>").coalesce(1)
+    found = {r["doc_id"]: r["text"] for r in pieces.decode(frame, PATH).collect()}
+    assert found == {i: None if ids is None else pieces.decoded_text(ids, PATH) for i, ids in enumerate(lists)}
