@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from fleetlens.llm.texts import bounded_batches
 from fleetlens.llm.texts import pieces as bounded
 from fleetlens.sources.sinks import stage, stage_bucketed
 
@@ -150,20 +151,24 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def _part_rows(
-    part: int, doc_ids: list[list], sizes: list[np.ndarray], found: list[pa.StringArray]
+    part: int, doc_ids: list[list], sizes: list[np.ndarray], found: list[pa.DictionaryArray]
 ) -> Iterator[pa.RecordBatch]:
-    """The rows of a part: its texts as numbers, and its segments, the most frequent first."""
-    coded = pa.concat_arrays(found).dictionary_encode()
-    found.clear()
+    """The rows of a part: its texts as numbers, and its segments, the most frequent first.
+
+    ``found`` has the segments that were cut together, each time with a dictionary of their own.
+    """
+    coded = pa.concat_arrays([some.dictionary for some in found]).dictionary_encode()
     words, numbers = coded.dictionary, np.asarray(coded.indices)
-    counted = pa.table({"count": np.bincount(numbers, minlength=len(words)), "word": words})
+    ends = np.cumsum([0, *(len(some.dictionary) for some in found)])
+    numbers = [numbers[a:b][np.asarray(f.indices)] for a, b, f in zip(ends, ends[1:], found, strict=False)]
+    found.clear()
+    counts = sum(np.bincount(some, minlength=len(words)) for some in numbers)
+    counted = pa.table({"count": counts, "word": words})
     order = pa.compute.sort_indices(counted, [("count", "descending"), ("word", "ascending")])
     rank = np.empty(len(words), np.int32)
     rank[np.asarray(order)] = np.arange(len(words), dtype=np.int32)
-    end = 0
-    for ids, lengths in zip(doc_ids, sizes, strict=True):
-        start, end = end, end + int(lengths.sum())
-        row = {"part": part, "doc_ids": ids, "sizes": lengths, "codes": _packed(rank[numbers[start:end]])}
+    for ids, lengths, some in zip(doc_ids, sizes, numbers, strict=True):
+        row = {"part": part, "doc_ids": ids, "sizes": lengths, "codes": _packed(rank[some])}
         yield pa.RecordBatch.from_pylist([row], schema=_PART_TYPES)
     words = words.take(order)
     for first in range(0, len(words), PARTITION_WORDS):
@@ -185,7 +190,7 @@ def _in_parts(docs: DataFrame, path: str) -> DataFrame:
                 words, lengths = segments(piece.column("text").to_pylist(), path)
                 doc_ids.append(piece.column("doc_id").to_pylist())
                 sizes.append(lengths)
-                found.append(words)
+                found.append(words.dictionary_encode())
                 n_bytes += piece.column("text").nbytes
                 if n_bytes >= PART_BYTES:
                     yield from _part_rows(part, doc_ids, sizes, found)
@@ -195,6 +200,7 @@ def _in_parts(docs: DataFrame, path: str) -> DataFrame:
         if found:
             yield from _part_rows(part, doc_ids, sizes, found)
 
+    bounded_batches(docs.sparkSession)
     columns = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     return columns.mapInArrow(run, _PARTS)
 

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import public_tokenizers
+import pyarrow as pa
 import sentencepiece
 
 from fleetlens.llm import pieces
+from fleetlens.llm.texts import BATCH_KEY, PIECE_BYTES, in_pieces
 
 PATH = str(public_tokenizers.path("piece_bpe_32k.model"))
 TEXTS = [
@@ -109,3 +111,24 @@ def test_decode_of_bytes_in_many_texts(spark):
     frame = spark.createDataFrame(list(enumerate(lists)), "doc_id BIGINT, ids ARRAY<INT>").coalesce(1)
     found = {r["doc_id"]: r["text"] for r in pieces.decode(frame, PATH).collect()}
     assert found == {i: None if ids is None else pieces.decoded_text(ids, PATH) for i, ids in enumerate(lists)}
+
+
+def test_python_workers_get_bounded_batches(spark):
+    def whole(piece):
+        behind = piece.column("text").buffers()[2]
+        return pa.RecordBatch.from_pylist([{"n": behind.size, "texts": piece.num_rows}])
+
+    texts = spark.range(0, 2400, 1, 1).selectExpr("repeat(chr(97 + id % 26), 10000) AS text")
+    row = in_pieces(texts, whole, "n BIGINT, texts BIGINT").selectExpr("max(n)", "sum(texts)").first()
+    assert row[0] <= 2 * PIECE_BYTES and row[1] == 2400
+
+
+def test_texts_in_batches_of_few_bytes(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(pieces, "_CUT_BYTES", 4000)
+    monkeypatch.setattr(pieces, "PARTITION_WORDS", 50)
+    spark.conf.set(BATCH_KEY, "2000")
+    try:
+        check(docs_of(*TEXTS), TEXTS)
+        assert spark.conf.get(BATCH_KEY) == "2000"
+    finally:
+        spark.conf.unset(BATCH_KEY)
